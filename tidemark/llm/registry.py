@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash, url_filter
+from . import decontaminate, exact_dedup, quality_crf, simhash, url_filter
 from .common import read
 
 
@@ -28,12 +28,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
