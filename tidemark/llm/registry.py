@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, quality_crf, simhash, url_filter
+from . import decontaminate, exact_dedup, packing, quality_crf, simhash, url_filter
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
