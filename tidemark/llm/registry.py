@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, quality_crf, simhash, url_filter
+from . import decontaminate, exact_dedup, packing, quality_crf, simhash, token_counts, url_filter
 from .common import read
 
 
@@ -15,6 +15,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = token_counts.rendered(read(spark, sf_dir, "documents"), ["lang", "source", "text"], between=" ")
+    return token_counts.attribute(documents, sections_col="sections", rule="most")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -39,6 +44,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op5_token_counts": op5_token_counts,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_exact_dedup": op8_exact_dedup,
