@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, quality_crf, simhash, token_counts, url_filter
-from .common import read
+from . import decontaminate, exact_dedup, packing, quality_crf, simhash, token_counts, url_filter, warc
+from .common import new_path, read
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read_back(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = token_counts.rendered(read(spark, sf_dir, "documents"), ["lang", "source", "text"], between=" ")
     return token_counts.attribute(documents, sections_col="sections", rule="most")
@@ -44,6 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_warc_archive": op4_warc_archive,
         "op5_token_counts": op5_token_counts,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_url_filter": op7_url_filter,
@@ -53,6 +60,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN g ON d.h = g.h
+"""
+
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -77,6 +92,7 @@ FROM d WINDOW g AS (PARTITION BY h)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc_archive": OP4_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
