@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, quality_crf, simhash, token_counts, url_filter, warc
+from . import decontaminate, exact_dedup, license_scan, packing, quality_crf, simhash, token_counts, url_filter, warc
 from .common import new_path, read
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.templates_table(spark))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_warc_archive": op4_warc_archive,
         "op5_token_counts": op5_token_counts,
