@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, packing, quality_crf, simhash, token_counts, url_filter, warc
-from .common import new_path, read
+from . import chat_format, decontaminate, exact_dedup, license_scan, packing, quality_crf, simhash, token_counts, url_filter, warc
+from .common import new_path, read, staged
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat_format.windows(chat_format.with_probe(read(spark, sf_dir, "conversations")))
+    return chat_format.read_back(staged(made, "chat-windows"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +58,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_license_scan": op2_license_scan,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_warc_archive": op4_warc_archive,
