@@ -1,8 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training bins.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``, works on every row its predecessor kept and gives documents with their
+columns as they were; the last gives one row per packed piece. The runner writes each stage's result as Parquet and
+rereads it for the next, so a lost executor never costs an earlier stage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import common, decontaminate, exact_dedup, packing, quality_crf, simhash
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier, fitted on the labelled rows, does not reject."""
+    return quality_crf.accepted(docs, common.read(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for each text."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces in bins."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
+
+#: No SQL: a conditional random field decides the first stage. Tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
