@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import logs
+from . import constraints, logs, outbound, reads
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (logs,)
+MODULES = (logs, reads, constraints, outbound)
 
 
 def queries() -> dict[str, Query]:
