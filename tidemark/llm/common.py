@@ -1,13 +1,14 @@
-"""What several operators share: the shared folder, staged tables, words and connected components."""
+"""What several operators share: staged tables, words and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, new_path, shared_dir, staged
+
+__all__ = ["cut", "new_path", "shared_dir", "staged"]
+
 #: Characters that separate words: the space and the ASCII controls 9 to 13.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Runs of blanks that are not already one plain space (all that a normaliser has to touch).
@@ -20,37 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later passes reread files, and a lost executor costs no more than a task."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def normalised(text: Column) -> Column:
     """Each run of blanks as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN_BLANKS, " ")
