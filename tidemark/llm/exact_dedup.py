@@ -9,6 +9,8 @@ from .common import normalised, staged
 
 #: Bits of one bitmap (what bitmap_construct_agg makes); a text's probes all fall into one bitmap.
 BLOCK_BITS = 32768
+#: A group of copies is hot beyond this share of all rows and this number of rows.
+HOT_SHARE, HOT_ROWS = 1e-5, 1000
 
 
 def text_digest(text: Column) -> Column:
@@ -51,10 +53,10 @@ def may_repeat(rows: DataFrame, filter_bits: DataFrame, blocks: int, probes: int
     return joined.withColumn("repeats", F.coalesce(every, F.lit(False))).drop("block", "bits")
 
 
-def _filtered(digests: DataFrame, rows: DataFrame, bits_per_row: int, probes: int, max_filter_bits: int) -> DataFrame:
+def _filtered(digests: DataFrame, rows: DataFrame, count: int, bits_per_row: int, probes: int, max_filter_bits: int) -> DataFrame:
     """``rows`` with ``repeats``. The filter grows with the rows up to ``max_filter_bits`` (its proven bound for the broadcast);
     beyond that it only lets more rows through to the shuffle, and the result stays the same."""
-    wanted = min(max(digests.count(), 1) * bits_per_row, max_filter_bits)
+    wanted = min(max(count, 1) * bits_per_row, max_filter_bits)
     blocks = -(-wanted // BLOCK_BITS)
     return may_repeat(rows, seen_twice(digests, blocks, probes), blocks, probes)
 
@@ -63,21 +65,29 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are read and hashed once; both passes run over the staged (id, digest) table. Rows that the filter clears are
-    answered in place. The rest are counted by (digest, id), so hot groups shrink on the map side; group facts come back
-    by a join that adaptive execution can split.
+    answered in place. The rest are counted by (digest, id), with map-side partials. Facts of hot groups, those of over
+    ``HOT_SHARE`` of all rows (and ``HOT_ROWS``), go to their rows by broadcast, of others by a shuffle join; so no
+    task gets a hot group's rows.
 
     Null texts count as empty. A null id is larger than every other: it is kept only where its whole group has null
     ids. Of rows with one id and one text, the first stays and the others are dropped rows of their own. An empty
     table gives an empty result. Extra columns are ignored, whatever their names.
     """
     keys = staged(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "exact-keys")
-    flagged = _filtered(keys, keys, bits_per_row, probes, max_filter_bits)
+    rows = keys.count()
+    flagged = _filtered(keys, keys, rows, bits_per_row, probes, max_filter_bits)
     alone = flagged.where("not repeats").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
     )
     counted = flagged.where("repeats").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
     groups = counted.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    copies = counted.join(groups, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    hot = F.col("group_size") > max(HOT_ROWS, int(rows * HOT_SHARE))
+    # at most 1 / HOT_SHARE groups can be hot
+    marked = counted.join(F.broadcast(groups.where(hot)), "digest", "left")
+    answered = marked.where("group_size is not null")
+    others = marked.where("group_size is null").select("digest", "doc_id", "n").join(groups.where(~hot), "digest")
+    both = answered.unionByName(others, allowMissingColumns=False)
+    copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     shared = copies.select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256")
     )
@@ -93,7 +103,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = staged(docs.select(text_digest(F.col(text_col)).alias("digest")), "exact-digests")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("whole"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    flagged = _filtered(digests, rows, bits_per_row, probes, max_filter_bits)
+    flagged = _filtered(digests, rows, digests.count(), bits_per_row, probes, max_filter_bits)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("whole"))
     first = flagged.where("repeats").groupBy("digest").agg(F.min_by("whole", order).alias("whole"))
     return flagged.where("not repeats").select("whole.*").unionByName(first.select("whole.*"))
