@@ -49,14 +49,15 @@ def joined(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarr
     if not len(low):
         return np.full(len(starts), -1), np.zeros(len(starts), bool)
     first, last = holder(starts), holder(ends - 1)
-    crossing = first != last
+    borders = np.sort(np.r_[low[low < high], high[low < high]])
+    crossing = np.searchsorted(borders, starts, side="right") < np.searchsorted(borders, ends, side="left")
     if rule == "first":
         return first, crossing
     if rule == "last":
         return last, crossing
     out = first.copy()
     for t in np.flatnonzero(crossing):
-        spans = np.arange(max(np.searchsorted(high, starts[t], side="right"), 0), min(np.searchsorted(low, ends[t]), len(low)))
+        spans = np.arange(np.searchsorted(high, starts[t], side="right"), np.searchsorted(low, ends[t]))
         shared = np.minimum(high[spans], ends[t]) - np.maximum(low[spans], starts[t])
         outside = ends[t] - starts[t] - shared.sum()
         best = int(np.argmax(shared)) if len(spans) else 0
