@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_words
+from .common import plain_words, without
 
 #: Token offsets that each spaced seed compares; the others are ignored. In every stretch of 15 aligned words with
 #: three substitutions or fewer, some seed lies on equal words only (tests/llm tries all 455 patterns).
@@ -115,6 +115,4 @@ def _stretch(words: Column, start: Column, size: Column) -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that overlap a benchmark item, all columns as they were. A row with a null id goes if a
     row with a null id overlaps."""
-    leaks = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    leaked = leaks.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(f"`{id_col}`").eqNullSafe(F.col("_leaked")), "left_anti")
+    return without(docs, overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id"), id_col)
