@@ -169,6 +169,12 @@ def test_one_of_each_keeps_columns_and_smallest_ids(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 6]
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    rows = [(3, "a b c d"), (1, "A b C d"), (1, "quite another text here"), (None, "a b c d"), (None, "and some more text there")]
+    got = simhash.one_of_each(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+
+
 def test_components_of_chains_stars_and_nulls(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 60)]

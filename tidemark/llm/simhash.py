@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, staged
+from .common import components, staged, without
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: Bytes of a text that are split into words at a time.
@@ -241,12 +241,18 @@ def grouped(prints: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies: of each group the row of the smallest id stays, all columns as they were.
 
-    Rows that share the kept row's id and fingerprint stay with it (exact dedup, which runs before, leaves none).
+    Where every id is one row's (a count over the staged ids tells), the rows to go are named by id and whole rows stay
+    in place. Where ids repeat, rows carry their fingerprint along, and the pair names a row; rows that share the kept
+    row's id and fingerprint then stay with it (exact dedup, which runs before, leaves none).
     """
-    own = "fp"
-    while own in docs.columns:
-        own += "_"
-    printed = staged(with_fingerprint(docs, text_col, own), "simhash-rows")
-    groups = grouped(printed.select(F.col(id_col).alias("doc_id"), F.col(own).alias("fp")))
-    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("stay_id"), F.col("fp").alias("stay_fp")).distinct()
-    return printed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("stay_id")) & (F.col(own) == F.col("stay_fp")), "left_semi").drop(own)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = staged(with_fingerprint(own, "text", "fp").drop("text"), "simhash")
+    groups = staged(grouped(prints), "simhash-groups")
+    if prints.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return without(docs, groups.where("not (doc_id <=> component_id)").select("doc_id"), id_col)
+    mark = "fp"
+    while mark in docs.columns:
+        mark += "_"
+    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_fp"))
+    return with_fingerprint(docs, text_col, mark).join(stay, same, "left_semi").drop(mark)
