@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..plans.schema import ForeignKey, UniqueIndex
-from ..sources.shared import cut
+from ..sources.shared import cut, staged
 
 KEY = ["tbl", "row_id"]
 MAX_ROUNDS = 200
@@ -42,50 +42,54 @@ def _keys(rows: DataFrame, tbl: str, row_id: str) -> DataFrame:
     return rows.select(F.col("tbl").alias(tbl), F.col("row_id").alias(row_id))
 
 
-def _same(before: tuple, rows: DataFrame, *columns: str) -> tuple[bool, tuple]:
-    h = F.xxhash64(*columns)
-    now = tuple(rows.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1)))).first())
-    return now == before, now
-
-
 def closure(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Rows (tbl, row_id) reachable from ``roots`` along cascading references (P4, J14), each with ``lead``, the smallest root
-    that reaches it. ``links`` has (target_tbl, value) as parent and (tbl, row_id) as child."""
-    labels = cut(roots.select(*KEY, F.struct("tbl", "row_id").alias("lead")))
-    front = labels
+    that reaches it. ``links`` has (target_tbl, value) as parent and (tbl, row_id) as child. A round follows only rows whose
+    lead has just become smaller, so each level of the cascade is one join."""
+    labels = front = cut(roots.select(*KEY, F.struct("tbl", "row_id").alias("lead")))
     for _ in range(MAX_ROUNDS):
         down = front.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), "lead").join(links, ["target_tbl", "value"]).select(*KEY, "lead")
         reached = down.groupBy(*KEY).agg(F.min("lead").alias("new"))
-        better = reached.join(labels.withColumnRenamed("lead", "old"), KEY, "left").where("old is null or new < old")
-        front = cut(better.select(*KEY, F.col("new").alias("lead")))
+        known = labels.groupBy(*KEY).agg(F.min("lead").alias("old"))
+        front = cut(reached.join(known, KEY, "left").where("old is null or new < old").select(*KEY, F.col("new").alias("lead")))
         if front.isEmpty():
-            return labels
-        labels = cut(labels.unionByName(front).groupBy(*KEY).agg(F.min("lead").alias("lead")))
+            return cut(known.select(*KEY, F.col("old").alias("lead")))
+        labels = labels.unionByName(front)
     raise RuntimeError("the cascade did not settle")
 
 
-def _default_holds(rows: DataFrame, nodes: DataFrame, hidden: DataFrame) -> DataFrame:
+def _defaults(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The defaults that references may fall back on (as many as the schema has) and whether their rows exist."""
+    named = refs.where("action = 'setDefault' and default_id is not null").select("target_tbl", "default_id").distinct()
+    found = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("default_id"))
+    return cut(named.join(found, ["target_tbl", "default_id"], "left_semi"))
+
+
+def _default_holds(rows: DataFrame, defaults: DataFrame, hidden: DataFrame) -> DataFrame:
     """Adds ``_default``: whether the default of a reference may be shown (a null default: whether the column takes null)."""
-    live = nodes.join(hidden.select(*KEY), KEY, "left_anti")
-    targets = live.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("default_id"), F.lit(True).alias("_live"))
-    joined = rows.join(targets, ["target_tbl", "default_id"], "left")
+    live = defaults.join(_keys(hidden, "target_tbl", "default_id"), ["target_tbl", "default_id"], "left_anti").withColumn("_live", F.lit(True))
+    joined = rows.join(live, ["target_tbl", "default_id"], "left")
     return joined.withColumn("_default", F.when(F.col("default_id").isNull(), F.col("nullable")).otherwise(F.coalesce("_live", F.lit(False)))).drop("_live")
 
 
-def missing_hidden(refs: DataFrame, nodes: DataFrame, root_hidden: DataFrame) -> DataFrame:
-    """Rows hidden because a row they reference is missing, or hidden for that reason, and cannot be repaired (P5)."""
-    exists = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.lit(True).alias("_exists"))
-    open_refs = refs.where("action <> 'setNull'").join(root_hidden.select(*KEY), KEY, "left_anti").join(exists, ["target_tbl", "value"], "left")
-    hidden = root_hidden.select(*KEY).limit(0)
-    seen: tuple = ()
+def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root_hidden: DataFrame) -> DataFrame:
+    """Rows hidden because a row they reference is missing, or hidden for that reason, and cannot be repaired (P5).
+
+    ``held`` are references whose target exists, ``absent`` the others. Only references to rows just hidden are followed;
+    those that fall back on a default are judged again each round, as the default may have gone.
+    """
+    free = root_hidden.select(*KEY)
+    lost = absent.where("action <> 'setNull'").join(free, KEY, "left_anti")
+    follow = held.where("action <> 'setNull'")
+    hidden = front = free.limit(0)
     for _ in range(MAX_ROUNDS):
-        gone = _keys(hidden, "target_tbl", "value").withColumn("_gone", F.lit(True))
-        lost = open_refs.join(gone, ["target_tbl", "value"], "left").where("_exists is null or _gone")
-        judged = _default_holds(lost, nodes, root_hidden.select(*KEY).unionByName(hidden))
-        hidden = cut(judged.where("action <> 'setDefault' or not _default").select(*KEY).distinct())
-        done, seen = _same(seen, hidden, *KEY)
-        if done or seen[0] == 0:
+        judged = _default_holds(lost, defaults, free.unionByName(hidden)).where("action <> 'setDefault' or not _default")
+        front = cut(judged.select(*KEY).distinct().join(hidden, KEY, "left_anti"))
+        if front.isEmpty():
             return hidden
+        hidden = hidden.unionByName(front)
+        reached = follow.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(free, KEY, "left_anti")
+        lost = cut(lost.where("action = 'setDefault'").unionByName(reached.select(lost.columns)).join(hidden, KEY, "left_anti"))
     raise RuntimeError("missing parents did not settle")
 
 
@@ -97,27 +101,30 @@ def visibility(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     tried again. A root whose closure is covered by a smaller root is not tested in that round. Being blocked climbs the
     cascade from the needed row to its roots, so no table of (root, row) pairs is ever built.
     """
-    exists = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"))
-    held = cut(refs.join(exists, ["target_tbl", "value"], "left_semi"))
+    exists = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.lit(True).alias("_exists"))
+    marked = staged(refs.join(exists, ["target_tbl", "value"], "left"), "references")
+    held, absent = marked.where("_exists").drop("_exists"), marked.where("_exists is null").drop("_exists")
     links = held.where("action = 'cascade'").select(*KEY, "target_tbl", "value")
+    defaults = _defaults(refs, nodes)
     roots = nodes.where("deleted").select(*KEY)
     while True:
         labels = closure(roots, links)
-        missing = missing_hidden(refs, nodes, labels)
-        hidden = labels.select(*KEY).unionByName(missing)
-        needing = held.join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(hidden, KEY, "left_anti").where("action <> 'setNull'")
-        blocked = _default_holds(needing, nodes, hidden).where("action <> 'setDefault' or not _default")
+        hidden = labels.select(*KEY).unionByName(missing_hidden(held, absent, defaults, labels))
+        needing = held.where("action <> 'setNull'").join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(hidden, KEY, "left_anti")
+        blocked = _default_holds(needing, defaults, hidden).where("action <> 'setDefault' or not _default")
         blocked = cut(blocked.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct())
-        if not blocked.isEmpty():
-            blocked = _climbed(blocked, links, labels)
-        invalid = cut(roots.join(labels.where("lead.tbl = tbl and lead.row_id = row_id"), KEY, "left_semi").join(blocked, KEY, "left_semi"))
+        if blocked.isEmpty():
+            break
+        blocked = _climbed(blocked, links, labels)
+        leading = labels.where("lead.tbl = tbl and lead.row_id = row_id")
+        invalid = cut(roots.join(leading, KEY, "left_semi").join(blocked, KEY, "left_semi"))
         if invalid.isEmpty():
             break
         roots = cut(roots.join(invalid, KEY, "left_anti"))
-    marked = nodes.join(hidden.withColumn("hidden", F.lit(True)), KEY, "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+    shown = nodes.join(hidden.withColumn("hidden", F.lit(True)), KEY, "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
     own = values.visibility(F.col("reason"), F.lit(True))
-    shown = F.when(F.col("deleted"), 2).otherwise(0)
-    return marked.withColumn("visibility", F.when(F.col("hidden"), F.when(F.col("deleted"), own).otherwise(5)).otherwise(shown).cast("int"))
+    live = F.when(F.col("deleted"), 2).otherwise(0)
+    return shown.withColumn("visibility", F.when(F.col("hidden"), F.when(F.col("deleted"), own).otherwise(5)).otherwise(live).cast("int"))
 
 
 def _climbed(blocked: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,7 +136,7 @@ def _climbed(blocked: DataFrame, links: DataFrame, labels: DataFrame) -> DataFra
         front = cut(up.join(blocked, KEY, "left_anti"))
         if front.isEmpty():
             return blocked
-        blocked = cut(blocked.unionByName(front))
+        blocked = blocked.unionByName(front)
     raise RuntimeError("blocked roots did not settle")
 
 
@@ -140,8 +147,7 @@ def repaired(refs: DataFrame, nodes: DataFrame, current: Column | None = None) -
     null where the column takes it, and stays as stored (``current``, default the authored value) elsewhere.
     """
     state = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.col("hidden").alias("_hidden"))
-    hidden = nodes.where("hidden").select(*KEY)
-    judged = _default_holds(refs.join(state, ["target_tbl", "value"], "left"), nodes, hidden)
+    judged = _default_holds(refs.join(state, ["target_tbl", "value"], "left"), _defaults(refs, nodes), nodes.where("hidden"))
     lost = F.coalesce(F.col("_hidden"), F.lit(True))
     by_default = lost & (F.col("action") == "setDefault") & F.col("_default")
     shown = F.when(lost & (F.col("action") == "setNull"), F.lit(None)).when(by_default, F.col("default_id")).otherwise(F.col("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hlc as clocks
 from ..operators import projection
+from ..sources.shared import staged
 from .registry import query, table
 from .schema import ForeignKey, UniqueIndex
 
@@ -43,7 +44,7 @@ def world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = parts[0]
     for p in parts[1:]:
         nodes = nodes.unionByName(p)
-    return projection.cut(nodes), projection.cut(projection.references(tables, EDGES, IDS))
+    return staged(nodes, "nodes"), staged(projection.references(tables, EDGES, IDS), "refs")
 
 
 @query(f"""WITH {WORLD}, {SUPPLIER_HIDDEN}
@@ -67,7 +68,7 @@ def fk_repaired_values(spark, sf_dir):
     """What references show when their targets are hidden or missing."""
     nodes, refs = world(spark, sf_dir)
     own = refs.where("tbl = 'line'")
-    return projection.repaired(own, projection.visibility(nodes, refs)).select("row_id", "col", "shown", "reason")
+    return projection.repaired(own, staged(projection.visibility(nodes, refs), "visibility")).select("row_id", "col", "shown", "reason")
 
 
 @query(f"""WITH {WORLD} SELECT 'orders' AS tbl, CAST(o_orderkey AS VARCHAR) AS row_id, 'customer' AS lead_tbl FROM oh
