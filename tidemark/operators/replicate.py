@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hlc as clocks
 from ..functions import values
+from ..sources.shared import shipped
 from .merge import State, sparse_clocks
 
 KINDS = ("insert", "update", "delete")
@@ -197,6 +198,7 @@ def batches(parts: DataFrame, budget: Budget, by: str = "session") -> DataFrame:
             place(unit, ("grp", "part"))
         return frame.assign(batch=out)
 
+    shipped(parts.sparkSession)
     fields = "session string, unit long, grp long, part long, changes long, payload long, batch long"
     return parts.selectExpr(f"cast({by} as string) as session", "cast(unit as long) as unit", "cast(grp as long) as grp", "cast(part as long) as part", "cast(changes as long) as changes", "cast(payload as long) as payload").groupBy("session").applyInPandas(cut, fields)
 

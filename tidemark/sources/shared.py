@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends the library to Python workers, once a session: functions that run there name its modules, and executors need not
+    have it installed."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    if getattr(context, "_tidemark_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark-library.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import hlc as clocks
 from ..operators import merge
 from ..sources.log import SCHEMA
+from ..sources.shared import shipped
 
 
 class MergeSink:
@@ -118,6 +119,7 @@ def framed(frames: DataFrame, idle_ms: int | None = None) -> DataFrame:
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
 
+    shipped(frames.sparkSession)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
     return frames.groupBy("session").applyInPandasWithState(run, FRAMES_OUT, _STATE, "append", timeout)
 
