@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Any "<", backslashes, "|" inside a text gets one backslash more; so no control string is left, and taking one away undoes it.
@@ -133,6 +135,7 @@ def windows(conversations: DataFrame, *, budget: int = 4096, history: int = 1024
         if out:
             yield _batch(out)
 
+    shipped(conversations.sparkSession)
     return dealt.mapInArrow(run, WINDOW_OUT)
 
 
@@ -245,6 +248,7 @@ def read_back(made: DataFrame) -> DataFrame:
         if now is not None:
             yield _conversations([_digests(now)])
 
+    shipped(made.sparkSession)
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, new_path, shared_dir, staged
+from ..sources.shared import cut, new_path, shared_dir, shipped, staged
 
-__all__ = ["cut", "new_path", "shared_dir", "staged"]
+__all__ = ["cut", "new_path", "shared_dir", "shipped", "staged"]
 
 #: Characters that separate words: the space and the ASCII controls 9 to 13.
 BLANKS = r"[\x20\x09-\x0D]+"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normalised
+from .common import normalised, shipped
 
 #: Tokens are bytes: the vocabulary of a byte-level model.
 CAPACITY = 16384
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
         if held:
             yield packed(held, capacity)
 
+    shipped(docs.sparkSession)
     return ordered.mapInArrow(run, "doc_id long, piece long, span_start long, tokens long, bin_id long, bin_offset long")
 
 

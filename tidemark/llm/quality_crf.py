@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import shipped
+
 #: Byte classes whose shares of a line are features.
 CLASSES = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -203,6 +205,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str =
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(texts, model))], names=[*batch.schema.names, out])
 
+    shipped(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, staged, without
+from .common import components, shipped, staged, without
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: Bytes of a text that are split into words at a time.
@@ -70,6 +70,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "finger
             prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(at)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, out])
 
+    shipped(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
@@ -121,6 +122,7 @@ def near_links(prints: DataFrame, *, heavy: int = 50_000, chunk_rows: int = 400_
         if size:
             yield from _emit(np.concatenate(held, axis=1))
 
+    shipped(prints.sparkSession)
     return dealt.mapInArrow(run, "a long, b long")
 
 

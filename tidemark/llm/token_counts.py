@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 #: Fixed value: how the public 50k byte-level vocabulary cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -97,6 +99,7 @@ def attribute(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             columns += [pa.array(np.concatenate([r[k] for r in rows]) if rows else [], pa.int64()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "section", "span_start", "span_end", "tokens", "crossing"])
 
+    shipped(docs.sparkSession)
     return own.mapInArrow(run, OUT)
 
 

@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 #: Magic numbers of Zstandard frames, dictionaries, the dictionary's skippable frame and the first of the
 #: sixteen numbers of skippable frames.
 FRAME, DICTIONARY, DICTIONARY_FRAME, SKIPPABLE = 0xFD2FB528, 0xEC30A437, 0x184D2A5D, 0x184D2A50
@@ -118,6 +120,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
+    shipped(pages.sparkSession)
     # the cast keeps the bytes as they are; the "line separator" is an empty skippable frame
     rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN).text(folder)
 
@@ -176,4 +179,5 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
+    shipped(spark)
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, OUT)
