@@ -217,3 +217,42 @@ def attempted_diff(wanted: DataFrame, shown: DataFrame, keys: list[str]) -> Data
     """Fields whose shown value is not the authored one (P13): what has to be kept as attempted. Both have ``value``."""
     joined = wanted.withColumnRenamed("value", "authored").join(shown.withColumnRenamed("value", "shown"), keys)
     return joined.where(~F.col("authored").eqNullSafe(F.col("shown")))
+
+
+def insert_safety(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What an arriving row may write into each reference (P9): nodes has ``hidden``. A visible target is fine, and so is a hidden one
+    whose deletion would take the row along; else the action decides, and what cannot be repaired waits as attempted."""
+    state = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.col("hidden").alias("_hidden"))
+    judged = _default_holds(refs.join(state, ["target_tbl", "value"], "left"), _defaults(refs, nodes), nodes.where("hidden"))
+    fine = F.coalesce(~F.col("_hidden"), F.lit(False)) | (F.coalesce(F.col("_hidden"), F.lit(False)) & (F.col("action") == "cascade"))
+    safe = F.when(fine, F.col("value")).when((F.col("action") == "setDefault") & F.col("_default"), F.col("default_id"))
+    verdict = F.when(fine, "write").when(F.col("action") == "setNull", "setNull").when((F.col("action") == "setDefault") & F.col("_default"), "setDefault").otherwise("wait")
+    return judged.select(*KEY, "col", "value", safe.alias("safe"), verdict.alias("verdict"))
+
+
+def local_unique(rows: DataFrame, index: UniqueIndex, *, hidden: str = "hidden", restoring: str = "restoring", space: str = "space") -> DataFrame:
+    """Local writes do not arbitrate (P12): adds ``outcome``, ``refused`` for a visible row whose tuple another visible row has (rows
+    being restored are exempt), ``released`` for hidden claims, else ``kept``."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in index.columns])
+    others = F.sum(F.when(~F.col(hidden), 1).otherwise(0)).over(W.partitionBy(space, *index.columns))
+    outcome = F.when(whole & F.col(hidden), "released").when(whole & ~F.col(hidden) & (others > 1) & ~F.col(restoring), "refused").otherwise("kept")
+    return rows.withColumn("outcome", outcome)
+
+
+def claimants(rows: DataFrame, claims: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that hold any of the claimed tuples (F12): a semi join on the exact tuple."""
+    return rows.join(claims.select(*columns).distinct(), columns, "left_semi")
+
+
+def attempted_fields(attempted: DataFrame, fields: DataFrame, rows: DataFrame) -> DataFrame:
+    """Attempted values with the clocks of their field and row."""
+    key = ["space", "tbl", "row_id"]
+    clocks = fields.select(*key, "column", F.col("hlc").alias("field_hlc"))
+    return attempted.join(clocks, [*key, "column"]).join(rows.select(*key, F.col("hlc").alias("row_hlc")), key)
+
+
+def is_stable(rows: DataFrame, *conditions: Column) -> DataFrame:
+    """One row telling whether every condition holds for all rows (A14, R8): then a write needs no projection."""
+    return rows.agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(f"c{i}") for i, c in enumerate(conditions)]).select(
+        reduce(lambda a, b: a & b, [F.col(f"c{i}") for i in range(len(conditions))]).alias("stable")
+    )

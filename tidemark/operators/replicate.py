@@ -212,3 +212,12 @@ def isolated(changes: DataFrame, withheld: DataFrame, released: DataFrame) -> Da
     """Row isolation (D17): changes of withheld rows wait; rows released since go out again whole. Both have (space, tbl, row_id)."""
     key = ["space", "tbl", "row_id"]
     return changes.join(withheld, key, "left_anti").unionByName(released).dropDuplicates([*key, "kind", "column"])
+
+
+def status(rounds: DataFrame) -> DataFrame:
+    """The state of each replica from its rounds (T17): rounds has (replica, at, phase, ok, unsent). The newest phase and count,
+    and the newest success and failure."""
+    last = F.max(F.struct("at", "phase", "unsent"))
+    return rounds.groupBy("replica").agg(
+        last.alias("_last"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max(F.when(~F.col("ok"), F.col("at"))).alias("last_failure"), F.count("*").alias("rounds")
+    ).select("replica", F.col("_last.phase").alias("phase"), F.col("_last.unsent").alias("unsent"), "last_success", "last_failure", "rounds")

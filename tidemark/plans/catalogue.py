@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import constraints, logs, outbound, reads
+from . import constraints, logs, outbound, reads, rest
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (logs, reads, constraints, outbound)
+MODULES = (logs, reads, constraints, outbound, rest)
 
 
 def queries() -> dict[str, Query]:
