@@ -23,13 +23,17 @@ MAX_ROUNDS = 200
 
 
 def references(tables: dict[str, DataFrame], edges: list[ForeignKey], ids: dict[str, str]) -> DataFrame:
-    """The authored references of all tables; null values are none."""
+    """The authored references of all tables, each table read once; null values are none."""
     parts = []
-    for e in edges:
-        parts.append(tables[e.table].select(
-            F.lit(e.table).alias("tbl"), F.col(ids[e.table]).cast("string").alias("row_id"), F.lit(e.column).alias("col"), F.col(e.column).cast("string").alias("value"),
-            F.lit(e.parent).alias("target_tbl"), F.lit(e.on_delete).alias("action"), F.lit(e.nullable).alias("nullable"), F.lit(e.default).cast("string").alias("default_id"),
-        ).where("value is not null"))
+    for name in dict.fromkeys(e.table for e in edges):
+        own = [
+            F.struct(
+                F.lit(e.column).alias("col"), F.col(e.column).cast("string").alias("value"), F.lit(e.parent).alias("target_tbl"), F.lit(e.on_delete).alias("action"),
+                F.lit(e.nullable).alias("nullable"), F.lit(e.default).cast("string").alias("default_id"),
+            )
+            for e in edges if e.table == name
+        ]
+        parts.append(tables[name].select(F.lit(name).alias("tbl"), F.col(ids[name]).cast("string").alias("row_id"), F.inline(F.array(*own))).where("value is not null"))
     return reduce(DataFrame.unionByName, parts)
 
 
