@@ -82,21 +82,23 @@ def _rotated(value: Column, by: int, width: int) -> Column:
     return turned if width == 64 else turned.bitwiseAND(F.lit((1 << width) - 1))
 
 
-def near_links(prints: DataFrame, *, heavy: int = 50_000, chunk_rows: int = 400_000) -> DataFrame:
+def near_links(prints: DataFrame, *, heavy: int | None = None, chunk_rows: int = 400_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) at 3 or fewer differing bits, as a spanning forest of each task's links.
 
     By the pigeonhole principle one of four 16-bit blocks of a linked pair is equal. So each of four tries, one with
     each block on top, is cut into the subtrees below its 16 top levels, where no error may have been spent; subtrees
     are independent tasks' work, and a fingerprint is sent four times, however many there are. A subtree of over
-    ``heavy`` fingerprints is cut again by 12-bit blocks of the other 48 bits. Within a task, node pairs of the
+    ``heavy`` fingerprints (default: 50,000, or a hundred-thousandth of all if that is more, so that at most 400,000
+    subtrees are) is cut again by 12-bit blocks of the other 48 bits. Within a task, node pairs of the
     subtrees are traversed together (see ``trie_pairs``). Connectivity is that of all links; links that close a circle
     within a task are left out, so a dense group gives no more rows than it has members.
     """
+    heavy = max(50_000, prints.count() // 100_000) if heavy is None else heavy
     low = (1 << 48) - 1
     turns = F.array(*[F.struct(F.lit(t).alias("turn"), _rotated(F.col("fp"), 16 * t, 64).alias("key")) for t in range(4)])
     rows = prints.select("fp", F.inline(turns)).withColumn("top", F.shiftrightunsigned("key", 48))
     crowded = rows.groupBy("turn", "top").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("turn", "top", F.lit(True).alias("crowded"))
-    rows = rows.join(F.broadcast(crowded), ["turn", "top"], "left")  # at most 4 * rows / heavy rows
+    rows = rows.join(F.broadcast(crowded), ["turn", "top"], "left")  # at most 4 * fingerprints / heavy rows
     light = rows.where("crowded is null").select("turn", "key", "fp")
     rest = F.col("key").bitwiseAND(F.lit(low))
     again = F.array(*[
