@@ -48,10 +48,11 @@ def test_stamps_equal_a_sequence(spark):
         frame = spark.createDataFrame(rows, "node string, seq int, wall long")
         if last:
             frame = frame.withColumn("last", hlc.hlc(F.lit(last[0]), F.lit(last[1]), F.col("node")))
-        made = hlc.stamped(frame, node="node", wall_ms="wall", order="seq", last="last" if last else None)
-        got = {(r.node, r.seq): (r.hlc.ms, r.hlc.counter) for r in made.collect()}
-        for n in NODES:
-            assert [got[n, i] for i in range(40)] == model_stamps(walls[n], last)
+        for bucket in (None, 7):
+            made = hlc.stamped(frame, node="node", wall_ms="wall", order="seq", last="last" if last else None, bucket=bucket)
+            got = {(r.node, r.seq): (r.hlc.ms, r.hlc.counter) for r in made.collect()}
+            for n in NODES:
+                assert [got[n, i] for i in range(40)] == model_stamps(walls[n], last)
 
 
 def test_merge_and_errors(spark):

@@ -6,7 +6,7 @@ clock's total order: time, then counter, then node text. All functions take and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,21 +116,35 @@ def too_far_ahead(clock: Column, now_ms: Column, max_drift_ms: int = MAX_DRIFT_M
     return clock["ms"] - now_ms > max_drift_ms
 
 
-def stamped(writes: DataFrame, *, node: str, wall_ms: str, order: str | list[str], last: str | None = None, out: str = "hlc") -> DataFrame:
+def stamped(writes: DataFrame, *, node: str, wall_ms: str, order: str | list[str], last: str | None = None, out: str = "hlc", bucket: int | None = None) -> DataFrame:
     """Stamps each node's writes in ``order`` as its clock would, one after another.
 
     The sequential rule (time never goes back; the counter goes up while the time stands still) in closed form: the
     time is the running maximum of the wall clock and the last stamp, the counter the position within its time. ``last``
     names a column with the node's last clock (null: none).
+
+    Without ``bucket`` a node's writes are one window. With it (for one whole-number ``order`` column) they are windows of
+    that many numbers each: maxima and counts of whole buckets run along the node first, so that a node with very many
+    writes is many tasks' work.
     """
     by = [order] if isinstance(order, str) else order
-    line: WindowSpec = W.partitionBy(node).orderBy(*by)
-    so_far = F.max(wall_ms).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
     start = F.col(f"{last}.ms") if last else F.lit(None).cast("bigint")
-    timed = writes.withColumn("_ms", F.greatest(start, so_far))
-    place = F.row_number().over(W.partitionBy(node, "_ms").orderBy(*by)) - 1
     after = F.when(F.col("_ms") == F.col(f"{last}.ms"), F.col(f"{last}.counter") + 1).otherwise(0) if last else F.lit(0)
-    return timed.withColumn(out, hlc(F.col("_ms"), place + after, F.col(node))).drop("_ms")
+    if bucket is None:
+        so_far = F.max(wall_ms).over(W.partitionBy(node).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow))
+        timed = writes.withColumn("_ms", F.greatest(start, so_far))
+        place = F.row_number().over(W.partitionBy(node, "_ms").orderBy(*by)) - 1
+        return timed.withColumn(out, hlc(F.col("_ms"), place + after, F.col(node))).drop("_ms")
+    rows = writes.withColumn("_bucket", F.floor(F.col(by[0]) / bucket))
+    earlier = W.partitionBy(node).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    tops = rows.groupBy(node, "_bucket").agg(F.max(wall_ms).alias("_top")).select(node, "_bucket", F.max("_top").over(earlier).alias("_before"))
+    inside = F.max(wall_ms).over(W.partitionBy(node, "_bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow))
+    timed = rows.join(tops, [node, "_bucket"]).withColumn("_ms", F.greatest(start, F.col("_before"), inside))
+    along = W.partitionBy(node, "_ms").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = timed.groupBy(node, "_ms", "_bucket").agg(F.count("*").alias("_n")).select(node, "_ms", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_passed"))
+    place = F.row_number().over(W.partitionBy(node, "_ms", "_bucket").orderBy(*by)) - 1
+    stamped_rows = timed.join(counts, [node, "_ms", "_bucket"]).withColumn(out, hlc(F.col("_ms"), F.col("_passed") + place + after, F.col(node)))
+    return stamped_rows.select(*writes.columns, out)
 
 
 def follows(clock: Column, before: Column) -> Column:

@@ -248,7 +248,7 @@ def hlc_stamp(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     day = F.date_trunc("day", F.col("ts"))
     writes = e.select("event_id", F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")).alias("node"), clocks.truncated_ms(day.cast("timestamp_ntz")).alias("wall_ms"))
-    out = clocks.stamped(writes, node="node", wall_ms="wall_ms", order="event_id")
+    out = clocks.stamped(writes, node="node", wall_ms="wall_ms", order="event_id", bucket=1024)
     return out.select("event_id", "node", F.col("hlc.ms").alias("hlc_ms"), F.col("hlc.counter").alias("hlc_counter"))
 
 
