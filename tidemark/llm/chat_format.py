@@ -74,17 +74,21 @@ def located(turns: DataFrame, segment_tokens: int, history_tokens: int, bucket_t
     conversation, however long. A segment is a stretch of ``segment_tokens`` of prefix sums; turns that the next
     segment may need as history are given to it too (``context``).
     """
-    bucketed = turns.withColumn("bucket", F.coalesce(F.floor(F.col("turn") / bucket_turns), F.lit(-(1 << 60))))
-    sums = bucketed.groupBy("conv_id", "bucket").agg(F.sum("tokens").alias("sum"))
-    earlier = W.partitionBy("conv_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(F.col("conv_id").alias("b_conv"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
-    within = W.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    # a null conv_id as two plain keys: windows and join then share one shuffle
+    keys = ["_conv", "_none", "_bucket"]
+    bucketed = turns.withColumns({
+        "_conv": F.coalesce("conv_id", F.lit(0)), "_none": F.col("conv_id").isNull(), "_bucket": F.coalesce(F.floor(F.col("turn") / bucket_turns), F.lit(-(1 << 60))),
+    })
+    sums = bucketed.groupBy(*keys).agg(F.sum("tokens").alias("_sum"))
+    earlier = W.partitionBy("_conv", "_none").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = W.partitionBy(*keys).orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        bucketed.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-        .join(bases, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("bucket") == F.col("b_bucket")))
-        .withColumn("before", F.col("base") + F.col("inside"))
+        bucketed.withColumn("_inside", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+        .join(bases, keys)
+        .withColumn("before", F.col("_base") + F.col("_inside"))
         .withColumn("segment", F.floor(F.col("before") / segment_tokens))
-        .drop("b_conv", "b_bucket", "base", "inside", "bucket")
+        .drop(*keys, "_base", "_inside")
     )
     late = F.col("before") >= (F.col("segment") + 1) * segment_tokens - history_tokens
     copies = F.explode(F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
@@ -108,9 +112,12 @@ def windows(conversations: DataFrame, *, budget: int = 4096, history: int = 1024
     own = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     counted = own.withColumn("tokens", tokens(F.col("role"), F.col("text")))
     placed = located(counted, budget * segment_windows, history)
-    heads = placed.where("before = 0 and context = 0").groupBy("conv_id").agg(F.min_by(F.struct("role", "text", "tokens"), F.struct("turn", "role", "text")).alias("system"))
-    system = heads.where(F.col("system.role") == "system").select(F.col("conv_id").alias("s_conv"), "system")
-    later = placed.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where("segment > 0")
+    # only conversations of several segments need their system turn carried on
+    ids = counted.groupBy("conv_id").agg(F.sum("tokens").alias("all")).where(F.col("all") >= budget * segment_windows).select(F.col("conv_id").alias("s_conv"))
+    long = counted.join(ids, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left_semi")
+    heads = long.groupBy(F.col("conv_id").alias("s_conv")).agg(F.min_by(F.struct("role", "text", "tokens"), F.struct(F.col("turn").isNotNull(), "turn", "role", "text")).alias("system"))
+    system = heads.where(F.col("system.role") == "system")
+    later = located(long, budget * segment_windows, history).where("segment > 0").select("conv_id", "segment").distinct()
     carried = later.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv"))).select(
         "conv_id", F.lit(None).cast("long").alias("turn"), F.col("system.role").alias("role"), F.col("system.text").alias("text"),
         F.col("system.tokens").alias("tokens"), F.lit(-1).cast("long").alias("before"), "segment", F.lit(2).alias("context"),
