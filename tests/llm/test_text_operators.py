@@ -126,12 +126,13 @@ def test_rendered_fields(spark):
 PAGES = "page_id long, url string, html string, payload string, digest string, r_id string"
 
 
-def test_archives_come_back(spark, tmp_path):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_archives_come_back(spark, tmp_path, limit):
     same, small = "<p>same</p>" * 20, "<p>small</p>"
     rows = [(5, "http://a/", same), (2, "http://b/ x\r\nY: é", same), (9, None, same), (4, "http://c/", small), (3, "http://d/", small), (7, "u", None), (8, "u", ""), (None, "n", same), (11, "big", "é" * 400_000), (2, "twice", same), (12, "other", "<p>other</p>" * 30)]
     pages = spark.createDataFrame([(*r, "p", "d", "r") for r in rows], PAGES)
     folder = str(tmp_path / "warc")
-    warc.write(pages, folder, dictionary_bytes=2000, sample_bytes=1000)
+    warc.write(pages, folder, dictionary_bytes=2000, sample_bytes=1000, broadcast_revisits=limit)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_back(spark, folder).collect()), key=str)
     want = []
     for i, _, h in rows:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import shipped, staged
 
 #: Magic numbers of Zstandard frames, dictionaries, the dictionary's skippable frame and the first of the
 #: sixteen numbers of skippable frames.
@@ -76,11 +76,12 @@ def archive(records: Iterator[bytes], *, level: int, dictionary_bytes: int, samp
         yield compressor.compress(item)
 
 
-def with_reference(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+def with_reference(pages: DataFrame, id_col: str, url_col: str, payload_col: str, broadcast_revisits: int = 200_000) -> DataFrame:
     """page_id, url, payload, digest and refers_to: the smallest page_id of the equal payloads, null for that row itself.
 
-    Only ids and digests are grouped and joined; payloads move once, by id, to the tasks that write them. Each task's
-    share is bounded by adaptive execution's partition size.
+    Only ids and digests are grouped and joined. The revisits are staged and counted: up to ``broadcast_revisits`` of them
+    (some 100 bytes each) are broadcast, and payloads are written where they are read; more of them are met by a
+    join that moves payloads once, by id and digest.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
@@ -88,12 +89,15 @@ def with_reference(pages: DataFrame, id_col: str, url_col: str, payload_col: str
     keys = rows.where(F.octet_length("payload") >= LEAST_BYTES).select("page_id", "digest").distinct()
     groups = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     revisits = keys.join(groups, "digest").where("not (page_id <=> refers_to)").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
+    revisits = staged(revisits, "revisits")
+    revisits = F.broadcast(revisits) if revisits.count() <= broadcast_revisits else revisits
     same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
     return rows.join(revisits, same, "left").drop("r_id", "r_digest")
 
 
-def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", level: int = 3, dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20) -> None:
-    """Writes one record per row of ``pages`` to archives in ``folder``, one archive per task.
+def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", level: int = 3, dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, broadcast_revisits: int = 200_000) -> None:
+    """Writes one record per row of ``pages`` to archives in ``folder``, one archive per task, that is per input split
+    (spark.sql.files.maxPartitionBytes) or, after a join, per shuffle partition.
 
     Spark's text writer commits the files, so any file system that Spark writes to will do and a lost executor's files
     are written again. Of records with equal payloads of at least 100 bytes, that with the smallest page_id is the
@@ -101,7 +105,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     with a null id revisits where it can and is never referred to; a null url has no target header. An empty table
     gives no archive. Extra columns are ignored.
     """
-    rows = with_reference(pages, id_col, url_col, payload_col).select("page_id", "url", "payload", "digest", "refers_to")
+    rows = with_reference(pages, id_col, url_col, payload_col, broadcast_revisits).select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (
