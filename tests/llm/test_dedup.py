@@ -10,9 +10,9 @@ import xxhash
 from tidemark.llm import exact_dedup, simhash
 from tidemark.llm.common import components
 
-DOCS = "doc_id long, text string, lang string, digest string, repeats string, fp string, whole string"
+DOCS = "doc_id long, text string, lang string, digest string, repeats string, fp string, whole string, _gone string, _ID string, Score string"
 #: Extra columns are named as the operators name theirs.
-EXTRA = ("en", "d", "r", "f", "w")
+EXTRA = ("en", "d", "r", "f", "w", "g", "i", "s")
 
 
 def docs(spark, rows):
@@ -148,6 +148,19 @@ def test_near_links_on_spark(spark, heavy):
     assert {(g, w) for g, w in zip(got, want, strict=True)} and len(set(got)) == len(set(want)) == len({(g, w) for g, w in zip(got, want, strict=True)})
 
 
+def test_crowded_subtrees_are_cut_to_the_last_level(spark):
+    center = 0x0123456789ABCDEF
+    low = [1 << b for b in range(27)]
+    ball = {center} | {center ^ a for a in low} | {center ^ a ^ b for a in low for b in low if a != b}
+    apart = {center ^ (0x1F << 40), 17}
+    prints = spark.createDataFrame([(k,) for k in sorted(ball | apart)], "fp long")
+    links = simhash.near_links(prints, heavy=2, chunk_rows=50).cache()
+    roots = {r.node: r.root for r in components(links).collect()}
+    assert set(roots) == ball and set(roots.values()) == {min(ball)}
+    assert all(int(a ^ b).bit_count() <= 6 for a, b in links.collect())
+    links.unpersist()
+
+
 def test_near_duplicates_equal_brute_force(spark):
     body = [f"w{i * 37 % 211}" for i in range(400)]
     changed = [*body[:200], "other", *body[201:]]

@@ -31,12 +31,21 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), ASCII_PUNCTUATION), "")
 
 
+def unused(name: str, rows: DataFrame) -> str:
+    """``name``, with as many underscores as no column of ``rows`` needs."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(rows: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int = 1_000_000) -> DataFrame:
     """``rows`` whose id is not among ``ids`` (one column; null is an id). The ids are staged and counted: few are broadcast, so
     that whole rows need not move; more are met by a shuffle join."""
-    gone = staged(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct(), "gone")
+    name = unused("_gone", rows)
+    gone = staged(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    return rows.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shipped
+from .common import shipped, unused
 
 #: Byte classes whose shares of a line are features.
 CLASSES = (
@@ -224,8 +224,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
     """``docs`` without the rows that ``classify`` predicts as bad, all columns as they were."""
-    out = "score"
-    while out in docs.columns:
-        out += "_"
+    out = unused("score", docs)
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
     return with_score(docs, model, text_col, out).where(F.col(out) >= threshold).drop(out)

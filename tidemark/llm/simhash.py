@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, shipped, staged, without
+from .common import components, shipped, staged, unused, without
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
+#: Bits that each cut of the tries fixes: a fourth of those left. Turns 0 to 3 belong to the first, 4 to 19 to the second, 20 to 83 to the third.
+LEVELS = (16, 12, 9)
 #: Bytes of a text that are split into words at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -88,25 +90,37 @@ def near_links(prints: DataFrame, *, heavy: int | None = None, chunk_rows: int =
     By the pigeonhole principle one of four 16-bit blocks of a linked pair is equal. So each of four tries, one with
     each block on top, is cut into the subtrees below its 16 top levels, where no error may have been spent; subtrees
     are independent tasks' work, and a fingerprint is sent four times, however many there are. A subtree of over
-    ``heavy`` fingerprints (default: 50,000, or a hundred-thousandth of all if that is more, so that at most 400,000
-    subtrees are) is cut again by 12-bit blocks of the other 48 bits. Within a task, node pairs of the
+    ``heavy`` fingerprints (default: 50,000, or a hundred-thousandth of all if that is more) is cut again in the same
+    way by four 12-bit blocks of the other 48 bits, and what is still crowded by four 9-bit blocks of the other 36; the
+    bound grows fourfold with the copies, so at most 400,000 subtrees are crowded. Within a task, node pairs of the
     subtrees are traversed together (see ``trie_pairs``). Connectivity is that of all links; links that close a circle
     within a task are left out, so a dense group gives no more rows than it has members.
     """
     heavy = max(50_000, prints.count() // 100_000) if heavy is None else heavy
-    low = (1 << 48) - 1
-    turns = F.array(*[F.struct(F.lit(t).alias("turn"), _rotated(F.col("fp"), 16 * t, 64).alias("key")) for t in range(4)])
-    rows = prints.select("fp", F.inline(turns)).withColumn("top", F.shiftrightunsigned("key", 48))
-    crowded = rows.groupBy("turn", "top").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("turn", "top", F.lit(True).alias("crowded"))
-    rows = rows.join(F.broadcast(crowded), ["turn", "top"], "left")  # at most 4 * fingerprints / heavy rows
-    light = rows.where("crowded is null").select("turn", "key", "fp")
-    rest = F.col("key").bitwiseAND(F.lit(low))
-    again = F.array(*[
-        F.struct((F.col("turn") * 4 + 4 + s).alias("again"), F.shiftleft("top", 48).bitwiseOR(_rotated(rest, 12 * s, 48)).alias("turned")) for s in range(4)
-    ])
-    dense = rows.where("crowded").select("fp", F.inline(again)).select(F.col("again").alias("turn"), F.col("turned").alias("key"), "fp")
-    subtree = F.when(F.col("turn") < 4, F.shiftrightunsigned("key", 48)).otherwise(F.shiftrightunsigned("key", 36))
-    dealt = light.unionByName(dense).withColumn("subtree", subtree).repartition("turn", "subtree").sortWithinPartitions("turn", "subtree")
+    rows = prints.select("fp", F.lit(-1).alias("turn"), F.col("fp").alias("key"))
+    parts, done = [], 0
+    for level, bits in enumerate(LEVELS):
+        width = 64 - done
+        rest = F.col("key").bitwiseAND(F.lit((1 << width) - 1)) if done else F.col("key")
+        head = F.shiftleft(F.shiftrightunsigned("key", width), width) if done else F.lit(0)
+        turns = [F.struct(F.col("turn") * 4 + 4 + s, head.bitwiseOR(_rotated(rest, bits * s, width))) for s in range(4)]
+        done += bits
+        rows = rows.select("fp", F.inline(F.array(*turns))).toDF("fp", "turn", "key").withColumn("subtree", F.shiftrightunsigned("key", 64 - done))
+        if level + 1 == len(LEVELS):
+            parts.append(rows)
+            break
+        counts = rows.groupBy("turn", "subtree").agg(F.count("*").alias("n")).where(F.col("n") > heavy * 4**level)
+        crowded = staged(counts.select("turn", "subtree", F.lit(True).alias("crowded")), "crowded")
+        if crowded.isEmpty():
+            parts.append(rows)
+            break
+        marked = rows.join(F.broadcast(crowded), ["turn", "subtree"], "left")
+        parts.append(marked.where("crowded is null").select(rows.columns))
+        rows = marked.where("crowded").select("fp", "turn", "key")
+    all_rows = parts[0]
+    for part in parts[1:]:
+        all_rows = all_rows.unionByName(part)
+    dealt = all_rows.repartition("turn", "subtree").sortWithinPartitions("turn", "subtree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -131,7 +145,8 @@ def near_links(prints: DataFrame, *, heavy: int | None = None, chunk_rows: int =
 def _emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     for turn in np.unique(rows[0]):
         own = rows[:, rows[0] == turn]
-        a, b = trie_pairs(own[2].view(np.uint64), own[3], 16 if turn < 4 else 28)
+        depth = sum(LEVELS[: 1 + (turn >= 4) + (turn >= 20)])
+        a, b = trie_pairs(own[2].view(np.uint64), own[3], depth)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -254,9 +269,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = staged(grouped(prints), "simhash-groups")
     if prints.groupBy("doc_id").count().where("count > 1").isEmpty():
         return without(docs, groups.where("not (doc_id <=> component_id)").select("doc_id"), id_col)
-    mark = "fp"
-    while mark in docs.columns:
-        mark += "_"
-    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_fp"))
+    mark = unused("fp", docs)
+    own_id, own_fp = unused("_id", docs), unused("_fp", docs)
+    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_fp))
     return with_fingerprint(docs, text_col, mark).join(stay, same, "left_semi").drop(mark)
