@@ -103,6 +103,19 @@ def test_tokens_are_attributed_by_rule(spark, rule):
         assert {k: v for k, v in got[i].items() if k is not None} == want
 
 
+@pytest.mark.parametrize("run", [" " * 150_000, "\n" * 150_000, " \t\u3000" * 60_000])
+@pytest.mark.parametrize("frame", ["{}", "a {} b", "{}'s", "x{}", "y {}z{}é"])
+def test_long_blanks_are_the_tokens_of_the_whole_text(run, frame):
+    encoding, _ = token_counts.encoder(token_counts.VOCABULARY)
+    text = frame.replace("{}", run)
+    assert token_counts.encoded(text, encoding) == encoding.encode_ordinary(text)
+
+
+def test_a_run_of_blanks_beyond_the_stack(spark):
+    rows = token_counts.attribute(spark.createDataFrame([(1, "x" + " " * 2_000_000 + "y")], "doc_id long, text string")).collect()
+    assert [(r.section, r.tokens) for r in rows] == [("0", 2_000_001)]
+
+
 def test_lines_and_odd_texts(spark):
     encoding, _ = token_counts.encoder(token_counts.VOCABULARY)
     texts = {1: "one\n\ntwo é\n", 2: None, 3: "", 4: "a" * 100_000, 5: "x\n" * 3000}

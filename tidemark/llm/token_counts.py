@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,8 @@ from .common import shipped
 
 #: Fixed value: how the public 50k byte-level vocabulary cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of characters that are blanks to the pattern (Unicode's White_Space), long enough to be handled apart.
+LONG_BLANKS = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("first", "last", "most")
 OUT = "doc_id long, section string, span_start long, span_end long, tokens long, crossing long"
@@ -33,6 +36,18 @@ def encoder(vocabulary: str, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encoded(text: str, encoding) -> list[int]:
+    """The text's tokens. The pattern takes a run of blanks but for the last as one part (all, at the end of the text), and the
+    engine's stack ends in runs of about a million; so a very long run is handed over as the part it is."""
+    tokens, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        tokens += encoding.encode_ordinary(text[at : run.start()])
+        tokens += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return tokens + encoding.encode_ordinary(text[at:])
+
+
 def line_starts(data: np.ndarray) -> np.ndarray:
     """Byte offsets at which lines begin; a line keeps its break, and the empty text is one empty line."""
     breaks = np.flatnonzero(data == 10) + 1
@@ -105,7 +120,7 @@ def attribute(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 def _counted(text: str, sections: list[dict] | None, encoding, sizes: np.ndarray, rule: str) -> tuple:
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
-    ends = np.cumsum(sizes[np.array(encoding.encode_ordinary(text), np.int64)]) if text else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes[np.array(encoded(text, encoding), np.int64)]) if text else np.zeros(0, np.int64)
     starts = np.r_[0, ends[:-1]] if len(ends) else ends
     plain = len(data) == len(text)
     # byte offset of each character's first byte, and one past the end
