@@ -71,6 +71,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents)
+), i AS (
+  SELECT item_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS at
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark)
+), m AS (
+  SELECT doc_id, item_id, size, d.at - i.at AS start, i.at AS pos FROM d JOIN i ON d.word = i.word
+), least AS (
+  SELECT *, CASE WHEN size < 7 THEN size ELSE ceil(least(15, size) * 0.8) END AS need, count(*) OVER (PARTITION BY doc_id, item_id, size, start) AS total FROM m
+), runs AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, size, start ORDER BY pos RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) AS run FROM least WHERE total >= need
+)
+SELECT doc_id, item_id, CAST(max(total) AS INTEGER) AS equal_words, CAST(max(size) AS INTEGER) AS item_words FROM runs WHERE run >= need GROUP BY doc_id, item_id
+"""
+
 OP4_SQL = r"""
 WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
@@ -103,6 +120,7 @@ FROM d WINDOW g AS (PARTITION BY h)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_benchmark_decontamination": OP3_SQL,
         "op4_warc_archive": OP4_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
