@@ -20,11 +20,12 @@ EDGES = [
     ForeignKey("line", "l_suppkey", "supplier", "setDefault", default="1"),
 ]
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "line": "line_id"}
-#: Deleted by their users; orders divisible by 17 have not arrived.
+#: Deleted by their users; orders of low priority have not arrived.
+ARRIVED = "o_orderpriority <> '5-LOW'"
 DELETED = {"region": "r_regionkey = 4", "nation": "n_nationkey % 5 = 0", "customer": "c_acctbal < 0", "part": "p_size > 45", "supplier": "s_acctbal < 0"}
 
-WORLD = """ln AS (SELECT l_orderkey || '-' || l_linenumber AS line_id, min(l_orderkey) AS l_orderkey, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1),
-  od AS (SELECT * FROM orders WHERE o_orderkey % 17 <> 0),
+WORLD = f"""ln AS (SELECT l_orderkey || '-' || l_linenumber AS line_id, min(l_orderkey) AS l_orderkey, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1),
+  od AS (SELECT * FROM orders WHERE {ARRIVED}),
   oh AS (SELECT o_orderkey FROM od JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0),
   lh AS (SELECT line_id, l_orderkey IN (SELECT o_orderkey FROM oh) OR l_orderkey NOT IN (SELECT o_orderkey FROM od) AS hidden FROM ln)"""
 SUPPLIER_HIDDEN = """sh AS (SELECT s_suppkey, s_acctbal < 0 AND NOT (EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = 1 AND s_acctbal < 0)
@@ -34,7 +35,7 @@ SUPPLIER_HIDDEN = """sh AS (SELECT s_suppkey, s_acctbal < 0 AND NOT (EXISTS (SEL
 def world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """nodes and refs of the star schema as replicated tables."""
     names = ("region", "nation", "customer", "part", "supplier")
-    tables = {n: table(spark, sf_dir, n) for n in names} | {"orders": table(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0")}
+    tables = {n: table(spark, sf_dir, n) for n in names} | {"orders": table(spark, sf_dir, "orders").where(ARRIVED)}
     line = table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     tables["line"] = line.groupBy("line_id").agg(*[F.min(c).alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")])
     parts = [
@@ -63,7 +64,7 @@ def fk_visibility(spark, sf_dir):
 @query(f"""WITH {WORLD}, {SUPPLIER_HIDDEN}, one AS (SELECT NOT hidden AS live FROM sh WHERE s_suppkey = 1), l AS (SELECT ln.*, (SELECT live FROM one) AS live FROM ln)
   SELECT line_id AS row_id, 'l_partkey' AS col, CASE WHEN p_size > 45 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS shown, CASE WHEN p_size > 45 THEN 'foreignKeySetNull' END AS reason FROM l JOIN part ON p_partkey = l_partkey
   UNION ALL SELECT line_id, 'l_suppkey', CASE WHEN hidden AND live THEN '1' ELSE CAST(l_suppkey AS VARCHAR) END, CASE WHEN hidden AND live THEN 'foreignKeySetDefault' END FROM l JOIN sh ON s_suppkey = l_suppkey
-  UNION ALL SELECT line_id, 'l_orderkey', CAST(l_orderkey AS VARCHAR), CASE WHEN l_orderkey % 17 = 0 THEN 'foreignKeyMissingParent' END FROM l""")
+  UNION ALL SELECT line_id, 'l_orderkey', CAST(l_orderkey AS VARCHAR), CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM od) THEN 'foreignKeyMissingParent' END FROM l""")
 def fk_repaired_values(spark, sf_dir):
     """What references show when their targets are hidden or missing."""
     nodes, refs = world(spark, sf_dir)
@@ -82,12 +83,12 @@ def fk_cascade_closure(spark, sf_dir):
     return projection.closure(roots, links).select("tbl", "row_id", F.col("lead.tbl").alias("lead_tbl"))
 
 
-PRESENT = """SELECT line_id AS row_id, 'l_orderkey' AS col, CASE WHEN l_orderkey % 17 = 0 THEN 'absent' WHEN o_orderstatus = 'P' THEN 'hidden' ELSE 'visible' END AS presence FROM ln JOIN orders ON o_orderkey = l_orderkey
+PRESENT = """SELECT line_id AS row_id, 'l_orderkey' AS col, CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM od) THEN 'absent' WHEN o_orderstatus = 'P' THEN 'hidden' ELSE 'visible' END AS presence FROM ln JOIN orders ON o_orderkey = l_orderkey
   UNION ALL SELECT line_id, 'l_partkey', CASE WHEN p_size > 45 THEN 'hidden' ELSE 'visible' END FROM ln JOIN part ON p_partkey = l_partkey"""
 
 
 def _crdt(spark, sf_dir) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0")
+    orders = table(spark, sf_dir, "orders").where(ARRIVED)
     part = table(spark, sf_dir, "part")
     rows = orders.select(F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_id"), F.concat(F.lit("s"), (F.col("o_orderkey") % 2).cast("string")).alias("space"), F.when(F.col("o_orderstatus") == "P", 3).otherwise(0).alias("visibility"))
     return rows.unionByName(part.select(F.lit("part").alias("tbl"), F.col("p_partkey").cast("string").alias("row_id"), F.lit("s0").alias("space"), F.when(F.col("p_size") > 45, 5).otherwise(1).alias("visibility")))

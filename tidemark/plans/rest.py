@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hlc as clocks
 from ..operators import merge, projection, record, replicate
 from ..sources import log as logs_io
-from .constraints import PARTS, WORLD, parts, world
+from .constraints import ARRIVED, PARTS, WORLD, parts, world
 from .logs import EV, LOG, PROFILE, STATE_SQL, event_log, profile_log
 from .outbound import WR, writes
 from .registry import query, table
@@ -77,7 +77,7 @@ def projection_stable(spark, sf_dir):
 
 
 @query(f"""WITH {WORLD} SELECT line_id AS row_id, 'l_partkey' AS col, CASE WHEN p_size <= 45 THEN CAST(l_partkey AS VARCHAR) END AS safe, CASE WHEN p_size > 45 THEN 'setNull' ELSE 'write' END AS verdict FROM ln JOIN part ON p_partkey = l_partkey
-  UNION ALL SELECT line_id, 'l_orderkey', CASE WHEN l_orderkey % 17 <> 0 THEN CAST(l_orderkey AS VARCHAR) END, CASE WHEN l_orderkey % 17 = 0 THEN 'wait' ELSE 'write' END FROM ln""")
+  UNION ALL SELECT line_id, 'l_orderkey', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey IS NULL THEN 'wait' ELSE 'write' END FROM ln LEFT JOIN od ON o_orderkey = l_orderkey""")
 def insert_safety(spark, sf_dir):
     """What arriving lines may reference (P9): deletions as their users made them."""
     nodes, refs = world(spark, sf_dir)
@@ -93,11 +93,11 @@ def unique_local_mode(spark, sf_dir):
     return projection.local_unique(rows, UniqueIndex(("p_brand", "p_type"), "p_type")).select("row_id", "outcome")
 
 
-@query("SELECT count(*) > 0 AS found FROM lineitem WHERE l_orderkey % 17 = 0")
+@query(f"WITH {WORLD} SELECT count(*) > 0 AS found FROM ln WHERE l_orderkey NOT IN (SELECT o_orderkey FROM od)")
 def any_invalid_reference(spark, sf_dir):
     """Whether any reference is broken: union all over edges, and the first hit is enough."""
     line = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0").select(F.col("o_orderkey").alias("k"))
+    orders = table(spark, sf_dir, "orders").where(ARRIVED).select(F.col("o_orderkey").alias("k"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     lost = line.select(F.col("l_orderkey").alias("k")).join(orders, "k", "left_anti").unionByName(line.select(F.col("l_partkey").alias("k")).join(part, "k", "left_anti"))
     return lost.limit(1).agg((F.count("*") > 0).alias("found"))
