@@ -68,6 +68,49 @@ def _all_equal(text, item):
     return f" {item} " in f" {text.lower().replace(',', ' ')} "
 
 
+@pytest.mark.parametrize("hashes", [2_000_000, 0])
+def test_short_items_are_found_with_every_allowed_pattern(spark, hashes):
+    items = [(n, filler(n, n)) for n in range(5, 15)]
+    rows, want = [], set()
+    for n, text in items:
+        may = 0 if n < 7 else n - -(-n * 8 // 10)
+        for changes in range(may + 2):
+            for places in itertools.combinations(range(n), changes):
+                key = 1000 * n + len(rows)
+                rows.append((key, f"{filler(key % 4, key)} {with_changes(text, places)} {filler(key % 3, key + 1)}"))
+                if changes <= may:
+                    want.add((key, n, n - changes, n))
+    # the first word lies before the document
+    rows += [(-n, " ".join(text.split()[1:])) for n, text in items]
+    want |= {(-n, n, n - 1, n) for n in range(7, 15)}
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, items), broadcast_hashes=hashes).collect()
+    assert {(r.doc_id, r.item_id, r.equal_words, r.item_words) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("window, similarity", [(20, 0.7), (5, 0.6), (10, 0.8), (30, 0.95)])
+def test_other_windows_lose_nothing(spark, window, similarity):
+    items = [(n, filler(n, n)) for n in (4, 6, 8, 12, 19, 24, 31)]
+    rows = []
+    for k in range(140):
+        n, text = items[k % 7]
+        rng = random.Random(k)
+        rows.append((k, f"{filler(k % 3, k)} {with_changes(text, rng.sample(range(n), rng.randrange(n // 2 + 1)))} {filler(2, k + 9)}"))
+
+    def brute(text, n, item):
+        a, b = text.split(), item.split()
+        span = n if n < 7 else min(window, n)
+        least = n if n < 7 else -(-span * round(similarity * 100) // 100)
+        for start in range(-n + 1, len(a)):
+            equal = [0 <= start + i < len(a) and a[start + i] == b[i] for i in range(n)]
+            if any(sum(equal[i : i + span]) >= least for i in range(n - span + 1)):
+                return True
+        return False
+
+    want = {(i, n) for i, t in rows for n, x in items if brute(t, n, x)}
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, items), window=window, similarity=similarity).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 def test_clean_keeps_columns_and_other_rows(spark):
     items = [(1, filler(20, 1))]
     got = decontaminate.clean(docs(spark, [(1, "x " + items[0][1]), (2, filler(20, 5)), (3, None), (None, "")]), bench(spark, items))

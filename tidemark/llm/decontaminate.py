@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,32 @@ from .common import plain_words, without
 SEEDS = ((0, 1, 4, 7, 9, 10), (0, 1, 8, 9, 10, 11), (0, 1, 2, 4, 5, 6))
 #: The stretch of words that is compared, and the share of it that must be equal.
 WINDOW, SIMILARITY = 15, 0.8
+#: Items of fewer words need all their words equal.
+WHOLE_BELOW = 7
+
+
+def _seeds(window: int, similarity: float) -> tuple[tuple[int, ...], ...]:
+    """Seeds of which one lies on equal words only in every stretch that is similar enough: SEEDS where they are known to do,
+    else the run that as many substitutions cannot all break (the equal words fall into one run more than there are substitutions)."""
+    if window < 1 or not 0 < similarity <= 1:
+        raise ValueError("window is one word at least, similarity above 0 and at most 1")
+    apart = window - math.ceil(window * similarity)
+    if window >= WINDOW and apart <= 3:
+        return SEEDS
+    return (tuple(range(-(-(window - apart) // (apart + 1)))),)
+
+
+def _least(size: Column, window: int, similarity: float) -> Column:
+    """How many words of a stretch of an item of ``size`` words must be equal."""
+    return F.when(size < WHOLE_BELOW, size).otherwise(F.ceil(F.least(F.lit(window), size) * F.lit(similarity)).cast("int"))
+
+
+def _blocks(items: DataFrame, least: Column) -> DataFrame:
+    """Items cut into disjoint blocks (item_at, width), one more than the words that may differ: one block at least is equal."""
+    size, count = F.size("item_words"), F.size("item_words") - least + 1
+    cut = items.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
+    begin, end = [F.floor((F.col("block") + i) * size / count).cast("int") for i in (0, 1)]
+    return cut.select("item_id", "item_words", begin.alias("item_at"), (end - begin).alias("width"))
 
 
 def _seed_hash(words: Column, at: Column, seed: tuple[int, ...], number: int) -> Column:
@@ -36,31 +64,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
     Words are lower-cased and stand between ASCII blanks and punctuation. Some stretch of ``window`` words of the item
     (the whole item if it is shorter) must lie in the document with at least ``similarity`` of its words equal in place;
-    ``equal_words`` is the largest count of equal words along one alignment. Any stretch with three substitutions or
-    fewer in 15 words is found for certain.
+    ``equal_words`` is the largest count of equal words along one alignment. Items of fewer than seven words need all
+    their words equal. Every such stretch is found for certain, whatever words of it differ.
 
     Each position of a document and of an item gives one hash per spaced seed; equal hashes are a hit, a hit fixes an
     alignment (document position minus item position), and hits of one alignment are merged before its words are
-    compared. All steps are built-in expressions over whole texts. The item hashes are broadcast where they number
+    compared. Items shorter than ``window`` give one hash per block instead: they are cut into disjoint blocks, one more
+    than the words that may differ, so one block is equal; a document's positions give one hash more for each width of
+    block that the benchmark has (3, 4 and 5 words for items of 7 to 14). Blocks are less telling than seeds, so their hits are
+    compared before they are shuffled (where hashes are broadcast). For another ``window`` or ``similarity`` than
+    the seeds are proved for, an unbroken run that must be equal takes their place. All steps are built-in expressions over whole texts. The item hashes are broadcast where they number
     ``broadcast_hashes`` at most; a larger benchmark is met by a shuffle join of (id, position, hash) rows, and the
     documents with hits are read again to compare words.
 
-    Items of fewer words than a seed is wide are matched by the seeds that fit; those of fewer than seven words need
-    all their words equal. Null or empty texts and items overlap nothing. Rows with null ids are reported with null;
+    Null or empty texts and items overlap nothing. Rows with null ids are reported with null;
     repeated rows give one result row. Empty tables give an empty result.
     """
     items = _items(benchmark, item_col, item_text_col)
-    narrow = SEEDS[-1][-1] + 1
-    short = sorted(r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < narrow).distinct().collect())  # six values at most
-    seeds = (*SEEDS, *[tuple(range(n)) for n in short])
-    whole = {len(SEEDS) + k: n for k, n in enumerate(short)}
+    own_size = F.size("item_words")
+    whole = max(window, WHOLE_BELOW)  # shorter items are one stretch
+    spaced = _seeds(window, similarity)
+    blocks = _blocks(items.where(own_size < whole), _least(own_size, window, similarity))
+    widths = sorted(r[0] for r in blocks.select("width").distinct().collect())  # fewer than ``whole``
+    seeds = (*spaced, *[tuple(range(n)) for n in widths])
     item_at = F.col("item_at")
-    own = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("item_words") - 1)))
-    fits = [
-        F.when((item_at + seed[-1] < F.size("item_words")) & (F.size("item_words") == whole.get(n, F.size("item_words"))), _seed_hash(F.col("item_words"), item_at, seed, n))
-        for n, seed in enumerate(seeds)
-    ]
-    keys = own.select("item_id", "item_at", F.size("item_words").alias("item_size"), F.explode(F.array(*fits)).alias("seed")).where("seed is not null").distinct()
+    own = items.where(own_size >= whole).withColumn("item_at", F.explode(F.sequence(F.lit(0), own_size - 1)))
+    of_blocks = [F.when(F.col("width") == w, _seed_hash(F.col("item_words"), item_at, range(w), len(spaced) + k)) for k, w in enumerate(widths)]
+    keys = own.select("item_id", "item_at", own_size.alias("item_size"), F.explode(_hashes(F.col("item_words"), item_at, spaced)).alias("seed"), F.lit(None).cast("array<string>").alias("short_words"))
+    if widths:
+        keys = keys.unionByName(blocks.select("item_id", "item_at", own_size.alias("item_size"), F.coalesce(*of_blocks).alias("seed"), F.col("item_words").alias("short_words")))
+    keys = keys.where("seed is not null").distinct()
     few = keys.count() <= broadcast_hashes
 
     texts = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.col(text_col)).alias("words"))
@@ -69,11 +102,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     placed = texts.select("doc_id", "words", F.explode(places).alias("at"))
     probes = placed.select("doc_id", "words", "at", F.explode(_hashes(F.col("words"), F.col("at"), seeds)).alias("seed")).where("seed is not null")
     start = F.col("at") - item_at
+    least = _least(F.col("item_size"), window, similarity)
     if few:
         hits = probes.join(F.broadcast(keys), "seed")
-        aligned = hits.select("doc_id", "item_id", "item_size", start.alias("start"), _stretch(F.col("words"), start, F.col("item_size")).alias("stretch")).distinct()
+        aligned = hits.select("doc_id", "item_id", "item_size", start.alias("start"), _stretch(F.col("words"), start, F.col("item_size")).alias("stretch"), "short_words")
+        if widths:
+            same = F.aggregate(_equal("stretch", "short_words", F.col("item_size")), F.lit(0), lambda a, b: a + b)
+            aligned = aligned.where(F.when(F.col("short_words").isNull(), F.lit(True)).otherwise(same >= least))
+        aligned = aligned.drop("short_words").distinct()
     else:
-        met = probes.select("doc_id", "at", "seed").join(keys, "seed").select("doc_id", "item_id", "item_size", start.alias("start")).distinct()
+        met = probes.select("doc_id", "at", "seed").join(keys.drop("short_words"), "seed").select("doc_id", "item_id", "item_size", start.alias("start")).distinct()
         again = texts.withColumnRenamed("doc_id", "text_id")
         aligned = met.join(again, F.col("doc_id").eqNullSafe(F.col("text_id"))).select(
             "doc_id", "item_id", "item_size", "start", _stretch(F.col("words"), F.col("start"), F.col("item_size")).alias("stretch")
@@ -82,9 +120,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     right = items.select(F.col("item_id").alias("right_id"), "item_words")
     right = F.broadcast(right) if few else right
     pairs = aligned.join(right, F.col("item_id").eqNullSafe(F.col("right_id")) & (F.col("item_size") == F.size("item_words")))
-    # 1 where the document has the item's word in its place, else 0; places outside the document are empty
-    equal = F.transform(F.sequence(F.lit(0), F.col("item_size") - 1), lambda i: F.coalesce((F.get("stretch", i) == F.get("item_words", i)).cast("int"), F.lit(0)))
-    span = F.least(F.lit(window), F.col("item_size"))
+    equal = _equal("stretch", "item_words", F.col("item_size"))
+    span = F.when(F.col("item_size") < whole, F.col("item_size")).otherwise(F.lit(window))
     # sums of the equal words of every stretch of the window's length, kept running from left to right
     best = F.aggregate(
         F.sequence(F.lit(0), F.col("item_size") - 1),
@@ -92,13 +129,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
         lambda acc, i: _slide(acc, i, span),
         lambda acc: acc["best"],
     )
-    least = F.when(F.col("item_size") < narrow, F.col("item_size")).otherwise(F.ceil(span * F.lit(similarity)))
     scored = pairs.withColumn("equal", equal).withColumn("best", best)
     kept = scored.where(F.col("best") >= least)
     total = F.aggregate("equal", F.lit(0), lambda a, b: a + b)
     return kept.groupBy("doc_id", "item_id").agg(F.max(total).alias("equal_words"), F.max("item_size").alias("item_words"))
 
 
+def _equal(stretch: str, words: str, size: Column) -> Column:
+    """1 where the document has the item's word in its place, else 0; places outside the document are empty."""
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce((F.get(stretch, i) == F.get(words, i)).cast("int"), F.lit(0)))
+
+
 def _slide(acc: Column, i: Column, span: Column) -> Column:
     leaving = F.when(i >= span, F.get(F.col("equal"), i - span)).otherwise(F.lit(0))
     run = acc["run"] + F.get(F.col("equal"), i) - leaving
