@@ -159,6 +159,16 @@ def test_license_containment_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_templates_of_one_shingle_are_found_for_certain(spark, limit):
+    # of 30,000 such templates at the start of a text, the bands alone miss these
+    ids = [6509, 6729, 8348, 22396]
+    templates = license_scan.templates_table(spark, [(f"L{i}", f"a{i} b c d e") for i in ids])
+    rows = [(k, f"{before}a{i} b c d e f{i} g h i") for k, (i, before) in enumerate(itertools.product(ids, ("", "x ", "x y z ")))]
+    got = license_scan.scan(docs(spark, rows), templates, broadcast_keys=limit).collect()
+    assert {(r.doc_id, r.license, r.containment) for r in got} == {(k, f"L{ids[k // 3]}", 1.0) for k in range(len(rows))} and len(got) == len(rows)
+
+
 def test_empty_license_tables(spark):
     assert license_scan.scan(docs(spark, []), license_scan.templates_table(spark)).count() == 0
     assert license_scan.scan(docs(spark, [(1, "a b c d e f")]), license_scan.templates_table(spark).limit(0)).count() == 0

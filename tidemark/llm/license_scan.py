@@ -27,8 +27,9 @@ SHINGLE_WORDS, CONTAINMENT = 5, 0.8
 #: Shingles of a document's window, and the step between windows: every three neighbouring shingles lie in one window.
 WINDOW, STEP = 4, 2
 #: Bands of one row each. A window that holds all of a template's piece of k = 1, 2 or 3 shingles has a Jaccard
-#: similarity of k / 4 or more with it, so it misses every band with a probability of (1 - k / 4) ^ 32: 0.0001 for
-#: one shingle (which moreover lies in two windows), below 1e-9 for two or three.
+#: similarity of k / 4 or more with it, so it misses every band with a probability of (1 - k / 4) ^ 32: below 1e-9
+#: for two or three shingles. One shingle would be missed too often (0.0001 at the start of a text, where it lies in one
+#: window), so the hashes of single shingles are keys too: a template of one shingle is found for certain.
 BANDS = 32
 
 
@@ -53,9 +54,16 @@ def _band_key(shingles: list[str], band: Column) -> Column:
     return F.least(*[F.when(F.col(s).isNotNull(), F.xxhash64(F.col(s), band)) for s in shingles])
 
 
-def _banded(windows: DataFrame, columns: list[str], shingles: list[str]) -> DataFrame:
-    bands = F.explode(F.array(*[F.lit(b) for b in range(BANDS)])).alias("band")
-    return windows.select(*columns, *shingles, bands).select(*columns, _band_key(shingles, F.col("band")).alias("key")).where("key is not null")
+def _banded(windows: DataFrame, columns: list[str], shingles: list[str], single: list[Column]) -> DataFrame:
+    """A row per key: one of each band, and one of each shingle in ``single`` (null: none)."""
+    bands = F.explode(F.array(*[F.lit(b) for b in range(BANDS + len(single))])).alias("band")
+    band = F.col("band")
+    key = F.when(band < BANDS, _band_key(shingles, band))
+    for k, _ in enumerate(single):
+        one = F.col(f"single{k}")
+        key = key.when((band == BANDS + k) & one.isNotNull(), F.xxhash64(one, F.lit(BANDS)))
+    spread = windows.select(*columns, *shingles, *[c.alias(f"single{k}") for k, c in enumerate(single)], bands)
+    return spread.select(*columns, key.alias("key")).where("key is not null")
 
 
 def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, broadcast_keys: int = 2_000_000) -> DataFrame:
@@ -67,7 +75,8 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     and ``first_word`` the position at which the earliest stretch with that share begins (a word number from 0).
 
     Every whole text is cut into overlapping windows of shingles, a window gives one key per band, and keys that equal
-    a template piece's retrieve the template at an alignment; all steps are built-in expressions that run in one pass
+    a template piece's retrieve the template at an alignment; each shingle's hash is a key besides, which retrieves
+    templates of one shingle. All steps are built-in expressions that run in one pass
     over the texts, and only hits are shuffled. A document with enough of a template holds an unbroken run of three of
     its shingles (all, if it has fewer), for which the bands are set. Template keys are broadcast where they number
     ``broadcast_keys`` at most; a larger collection is met by a shuffle join of (id, position, key) rows.
@@ -81,7 +90,7 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     pieces = known.select("template", "t_size", "t_words", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), count - 3))).alias("t_at"))
     t_names = [f"t{i}" for i in range(3)]
     pieces = pieces.select("template", "t_size", "t_at", *[_shingle(F.col("t_words"), F.col("t_at") + i).alias(n) for i, n in enumerate(t_names)])
-    keys = _banded(pieces, ["template", "t_size", "t_at"], t_names).distinct()
+    keys = _banded(pieces, ["template", "t_size", "t_at"], t_names, [F.when(F.col("t_size") == SHINGLE_WORDS, F.col(t_names[0]))]).distinct()
     few = keys.count() <= broadcast_keys
 
     texts = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.col(text_col)).alias("words"))
@@ -91,14 +100,16 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     placed = texts.select("doc_id", "words", F.explode(starts).alias("at"))
     windows = placed.select("doc_id", "words", "at", *[_shingle(F.col("words"), F.col("at") + i).alias(n) for i, n in enumerate(names)])
 
+    own = [F.col(s) for s in names[:STEP]]  # those that the next window does not begin with
+
     slack = F.ceil(F.col("t_size") / 5).cast("int")
     # a window's position less the piece's is the alignment, give or take a step
     start = F.col("at") - F.col("t_at")
     if few:
-        hits = _banded(windows, ["doc_id", "words", "at"], names).join(F.broadcast(keys), "key")
+        hits = _banded(windows, ["doc_id", "words", "at"], names, own).join(F.broadcast(keys), "key")
         regions = hits.select("doc_id", "template", start.alias("start"), _region(F.col("words"), start, F.col("t_size"), slack).alias("region")).distinct()
     else:
-        met = _banded(windows, ["doc_id", "at"], names).join(keys, "key").select("doc_id", "template", "t_size", start.alias("start")).distinct()
+        met = _banded(windows, ["doc_id", "at"], names, own).join(keys, "key").select("doc_id", "template", "t_size", start.alias("start")).distinct()
         again = texts.withColumnRenamed("doc_id", "text_id")
         regions = met.join(again, F.col("doc_id").eqNullSafe(F.col("text_id"))).select(
             "doc_id", "template", "start", _region(F.col("words"), F.col("start"), F.col("t_size"), slack).alias("region")
