@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -118,6 +119,51 @@ def test_clean_keeps_columns_and_other_rows(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [2, 3, None]
 
 
+def test_clean_goes_by_text_not_by_id(spark):
+    leak, fine = f"x {filler(20, 1)} y", filler(20, 5)
+    rows = [(None, leak), (None, fine), (7, fine), (7, leak), (8, leak), (8, leak), (9, fine), (9, fine)]
+    got = decontaminate.clean(docs(spark, rows), bench(spark, [(1, filler(20, 1))])).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, fine), (7, fine), (9, fine), (9, fine)], key=str)
+    nested = spark.createDataFrame([(1, leak, {"k": "v"}), (2, fine, {"k": "v"})], "doc_id long, text string, extra map<string,string>")
+    assert [r.doc_id for r in decontaminate.clean(nested, bench(spark, [(1, filler(20, 1))])).collect()] == [2]
+
+
+def test_of_rows_that_share_an_id_each_is_compared_by_its_text(spark):
+    item = filler(30, 1)
+    rows = [(7, with_changes(item, [0, 1, 2])), (7, with_changes(item, [0])), (7, filler(9, 2)), (None, with_changes(item, [5, 9])), (None, filler(9, 3))]
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, [(1, item)])).collect()
+    assert {tuple(r) for r in got} == {(7, 1, 29, 30), (None, 1, 28, 30)} and len(got) == 2
+
+
+@pytest.mark.parametrize("hashes", [2_000_000, 0])
+def test_repeated_words_equal_brute_force(spark, hashes):
+    rng = random.Random(5)
+    period = lambda words, n: " ".join((words.split() * n)[:n])
+    items = [(1, period("a", 40)), (2, period("a b", 33)), (3, period("a", 9)), (4, period("a a b", 20)), (5, " ".join(rng.choice("ab") for _ in range(50)))]
+    texts = [period("a", 70), period("b a", 21), period("a b a", 90), " ".join(rng.choice("ab") for _ in range(120)), period("a", 12) + " c " + period("a", 12), period("b", 30), period("a", 5), "c " * 30]
+    rows = list(enumerate(texts))
+
+    def brute(text, item):
+        a, b = text.split(), item.split()
+        n, found = len(b), []
+        for start in range(-n + 1, len(a)):
+            equal = [0 <= start + i < len(a) and a[start + i] == b[i] for i in range(n)]
+            if any(sum(equal[i : i + min(15, n)]) >= -(-min(15, n) * 8 // 10) for i in range(max(1, n - 14))):
+                found.append(sum(equal))
+        return max(found, default=None)
+
+    want = {(i, k, brute(t, x), len(x.split())) for i, t in rows for k, x in items if brute(t, x)}
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, items), broadcast_hashes=hashes).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_long_runs_of_one_word_are_no_square(spark):
+    rows, items = [(1, "a " * 20_000), (2, "b " * 1000), (3, filler(50, 1))], [(1, "a " * 2000), (2, "b " * 14)]
+    began = time.monotonic()
+    got = decontaminate.overlaps(docs(spark, rows), bench(spark, items)).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 2000, 2000), (2, 2, 14, 14)} and time.monotonic() - began < 60
+
+
 def test_empty_benchmark_and_documents(spark):
     assert decontaminate.overlaps(docs(spark, [(1, "a b c")]), bench(spark, [])).count() == 0
     assert decontaminate.overlaps(docs(spark, []), bench(spark, [(1, "a b c")])).count() == 0

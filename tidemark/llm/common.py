@@ -39,13 +39,13 @@ def unused(name: str, rows: DataFrame) -> str:
     return name
 
 
-def without(rows: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """``rows`` whose id is not among ``ids`` (one column; null is an id). The ids are staged and counted: few are broadcast, so
-    that whole rows need not move; more are met by a shuffle join."""
+def without(rows: DataFrame, key: Column, keys: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``keys`` (one column; null is a key). The keys are staged and counted: few are
+    broadcast, so that whole rows need not move; more are met by a shuffle join."""
     name = unused("_gone", rows)
-    gone = staged(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    return rows.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
+    gone = staged(keys.select(F.col(f"`{keys.columns[0]}`").alias(name)).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_keys else gone
+    return rows.join(gone, key.eqNullSafe(F.col(name)), "left_anti")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -268,7 +268,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = staged(with_fingerprint(own, "text", "fp").drop("text"), "simhash")
     groups = staged(grouped(prints), "simhash-groups")
     if prints.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return without(docs, groups.where("not (doc_id <=> component_id)").select("doc_id"), id_col)
+        return without(docs, F.col(f"`{id_col}`"), groups.where("not (doc_id <=> component_id)").select("doc_id"))
     mark = unused("fp", docs)
     own_id, own_fp = unused("_id", docs), unused("_fp", docs)
     stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)).distinct()
