@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import exact_dedup, simhash
+from tidemark.llm import common, exact_dedup, simhash
 from tidemark.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, digest string, repeats string, fp string, whole string, _gone string, _ID string, Score string"
@@ -88,7 +88,7 @@ def test_fingerprints(text):
 def test_long_texts_are_read_in_blocks(monkeypatch):
     text = " ".join(f"w{i * i % 977}" for i in range(5000)) + "  end"
     whole = simhash.fingerprint(text)
-    monkeypatch.setattr(simhash, "BLOCK_BYTES", 97)
+    monkeypatch.setattr(common, "BLOCK_BYTES", 97)
     assert simhash.fingerprint(text) == whole == brute_print(text)
 
 

@@ -1,7 +1,10 @@
 """Chat formatting, token counts, WARC, the classifier and packing."""
 
 import hashlib
+import math
 import random
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -188,6 +191,85 @@ def test_marginals_equal_enumeration():
     assert np.allclose(share, want) and np.allclose(counts, total)
 
 
+KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", ".,;:?'\"()-", "!", "|", "*%$#&@^~_=+<>[]{}\\/`"]
+
+
+def brute_own(line, text):
+    n = len(line)
+    shares = [sum(chr(b) in k for b in line) / max(n, 1) for k in KINDS] + [sum(b >= 128 for b in line) / max(n, 1)]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", line)
+    echo = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words) if words else 0
+    upper, lower = (sum(chr(b) in k for b in line) for k in KINDS[:2])
+    return [*shares, math.log1p(n) / 8, float(n == 0), float(text.split(b"\n").count(line) > 1), echo, upper / max(upper + lower, 1)]
+
+
+def brute_score(text, model):
+    lines = text.split(b"\n")
+    own = [brute_own(x, text) for x in lines]
+    none = [0.0] * len(own[0])
+    good = [float(np.dot(model.unary, [*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), 1.0])) for i in range(len(own))]
+    total = np.zeros((len(lines), 2))
+    # every path over the states of all lines, by the lines before and after
+    ahead = [[0.0, good[0]]]
+    for g in good[1:]:
+        ahead.append([float(np.logaddexp(ahead[-1][0] + model.step[0, j], ahead[-1][1] + model.step[1, j])) + (g if j else 0.0) for j in (0, 1)])
+    behind = [[0.0, 0.0]]
+    for g in reversed(good[1:]):
+        behind.insert(0, [float(np.logaddexp(model.step[j, 0] + behind[0][0], model.step[j, 1] + g + behind[0][1])) for j in (0, 1)])
+    total = np.array(ahead) + np.array(behind)
+    share = 1 / (1 + np.exp(total[:, 0] - total[:, 1]))
+    weight = np.array([len(x) + 1 for x in lines])
+    return float(share @ weight / weight.sum())
+
+
+LINES = st.lists(st.sampled_from(["", "a", "a a b", "A B!", "x | 1", "é ü", "same line here", "\t", "3 3 3", "[~]", "\x0b\x0c\r"]), max_size=14)
+
+
+@given(st.lists(LINES, max_size=5), st.integers(0, 3))
+def test_scores_equal_brute_force_whatever_the_pieces(many, seed):
+    rng = np.random.default_rng(seed)
+    model = quality_crf.Model(rng.normal(size=3 * quality_crf.OWN + 1), 2 * rng.normal(size=(2, 2)))
+    texts = ["\n".join(x).encode() for x in many]
+    want = [brute_score(t, model) for t in texts]
+    assert np.allclose(quality_crf.score(texts, model), want)
+    for lines, size in ((1, 1), (3, 1000), (100, 7)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(quality_crf, "PIECE_LINES", lines)
+            patch.setattr(quality_crf, "PIECE_BYTES", size)
+            assert np.allclose(quality_crf.score(texts, model), want)
+
+
+def test_long_chains_equal_the_plain_recursion():
+    rng = np.random.default_rng(3)
+    model = quality_crf.Model(rng.normal(size=3 * quality_crf.OWN + 1), rng.normal(size=(2, 2)))
+    text = "\n".join(rng.choice(["", "some words", "MORE !!", "1 2 3"]) for _ in range(1000)).encode()
+    assert np.allclose(quality_crf.score([text, b"", text[:300]], model), [brute_score(t, model) for t in (text, b"", text[:300])])
+
+
+def test_millions_of_lines_take_bounded_memory():
+    model = quality_crf.Model(np.linspace(-1, 1, 3 * quality_crf.OWN + 1), np.array([[0.5, 0.0], [0.0, 0.5]]))
+    tracemalloc.start()
+    found = quality_crf.score([b"\n" * 1_000_000, b"a\nb\n" * 200_000], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((found > 0) & (found < 1)).all() and peak < 100_000_000
+
+
+def test_the_fit_takes_stretches_of_long_texts_and_no_more_rows_than_it_says(spark):
+    frame = spark.createDataFrame([(i, "\n".join([f"{'GOOD' if i % 2 else 'bad'} {k}" for k in range(500)])) for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    held = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality_crf, "fit", lambda texts, q: held.append((texts, q)) or quality_crf.untrained())
+        # most labels have no document here
+        quality_crf.train(frame, labels, sample_docs=20, sample_lines=50, sample_chars=120)
+        quality_crf.train(frame, labels, sample_docs=2000)
+    (few, _), (many, quality) = held
+    assert len(few) == 20 and all(t.count(b"\n") < 50 and len(t) <= 120 for t in few)
+    assert len(many) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)) and all(t.count(b"\n") == 99 for t in many)
+    assert all(t.startswith(b"GOOD") == bool(q) for t, q in zip(many, quality, strict=True))
+
+
 def labelled(n):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioutrn") for _ in range(rng.randrange(2, 8)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ __all__ = ["cut", "new_path", "shared_dir", "shipped", "staged"]
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Runs of blanks that are not already one plain space (all that a normaliser has to touch).
 UNEVEN_BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+#: Bytes of a text that are split into words at a time, and what ends a word.
+BLOCK_BYTES, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: ASCII characters that are neither letters nor digits.
 ASCII_PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -21,6 +26,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def word_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """The words of ``data`` by blocks of about ``BLOCK_BYTES``; no word is cut."""
+    if len(data) <= BLOCK_BYTES:
+        yield data.split()
+        return
+    at = 0
+    while at < len(data):
+        end = min(at + BLOCK_BYTES, len(data))
+        if end < len(data) and not data[end : end + 1].isspace():
+            # the word that straddles the border belongs to this block
+            rest = BLANK.search(data, end)
+            end = rest.start() if rest else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def normalised(text: Column) -> Column:
     """Each run of blanks as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN_BLANKS, " ")

@@ -11,26 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
 from .common import components, shipped, staged, unused, without
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: Bits that each cut of the tries fixes: a fourth of those left. Turns 0 to 3 belong to the first, 4 to 19 to the second, 20 to 83 to the third.
 LEVELS = (16, 12, 9)
-#: Bytes of a text that are split into words at a time.
-BLOCK_BYTES = 1 << 20
-
-
-def _blocks(data: bytes) -> Iterator[list[bytes]]:
-    """The words of ``data`` by blocks of about ``BLOCK_BYTES``; no word is cut."""
-    at = 0
-    while at < len(data):
-        end = min(at + BLOCK_BYTES, len(data))
-        if end < len(data):
-            tail = data[end:].split(None, 1)
-            # the word that straddles the border belongs to this block
-            end = len(data) if not tail else end if data[end : end + 1].isspace() else data.index(tail[0], end) + len(tail[0])
-        yield data[at:end].split()
-        at = end
 
 
 def fingerprint(text: str | None) -> int:
@@ -41,8 +27,7 @@ def fingerprint(text: str | None) -> int:
     """
     data = (text or "").encode("utf-8", "surrogatepass").lower()
     counts, total, carry = np.zeros(64, np.int64), 0, []
-    blocks = _blocks(data) if len(data) > BLOCK_BYTES else (data.split(),)
-    for block in blocks:
+    for block in common.word_blocks(data):
         words = carry + block
         if len(words) >= SHINGLE_WORDS:
             hashes = _shingle_hashes(words)
