@@ -246,3 +246,20 @@ def test_rule_precedence(spark):
     rules = url_filter.rules_table(spark, [("block", "b.com", "/a"), ("allow", "com", "/a/bb"), ("allow", "B.COM", "/a"), ("block", "b.com", "/")])
     pages = spark.createDataFrame([(1, "http://x.b.com/a"), (2, "http://b.com/c"), (3, "http://b.com/a/bbc")], "page_id long, url string")
     assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()} == {1: ("b.com/a", "block"), 2: ("b.com/", "block"), 3: ("com/a/bb", "allow")}
+
+
+def test_long_hosts_and_paths(spark):
+    rows = [(1, "http://" + "a." * 300_000 + "com/en/" + "x" * 300_000), (2, "http://" + "." * 500_000), (3, "http://" + "b" * 1_000_000 + "/en/"), (4, "http://x.com/" + "/" * 1_000_000), (5, "http://..com/en/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.monotonic()
+    assert {r.page_id: r.rule for r in url_filter.judge(pages, url_filter.rules_table(spark)).collect()} == {1: "com/en/", 2: None, 3: None, 4: None, 5: "com/en/"}
+    assert time.monotonic() - began < 60
+
+
+def test_hot_urls_are_answered_like_others(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "HOT_ROWS", 3)
+    urls = ["http://a.com/en/1", None, "http://a.com/fr/", "no url", "http://b.net/de/"]
+    rows = [(k, urls[k % 5]) for k in range(60)] + [(100 + k, f"http://c{k}.org/es/{k}") for k in range(9)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rules_table(spark)).collect()
+    rules = {0: "com/en/", 4: "net/de/"}
+    assert {r.page_id: r.rule for r in got} == {k: rules.get(k % 5) if k < 60 else "org/es/" for k, _ in rows} and len(got) == len(rows)
