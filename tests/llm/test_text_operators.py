@@ -64,6 +64,66 @@ def test_windows_hold_each_turn_once(spark, budget, history, segments):
     made.unpersist()
 
 
+def brute_windows(rows, budget, history, stretch):
+    """The windows of each conversation, as lists of turns and the number of repeated ones, by the rules told plainly."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or ""))
+        turns = [(r[2] or "", r[3] or "") for r in own]
+        size = [len(role.encode()) + len(text.encode()) + 24 for role, text in turns]
+        before = [sum(size[:k]) for k in range(len(turns))]
+        system = turns[0][0] == "system"
+        made, at = [], 0
+        while at < len(turns):
+            segment = before[at] // stretch
+            if not (system and at == 0):
+                head = [0] if system else []
+                room = min(history, budget - size[at] - sum(size[k] for k in head))
+                back = at
+                # history reaches into the segment before, as far as ``history`` tokens before its end
+                while back > len(head) and before[at] - before[back - 1] <= room and (
+                    before[back - 1] // stretch == segment or (before[back - 1] // stretch == segment - 1 and before[back - 1] >= segment * stretch - history)
+                ):
+                    back -= 1
+                context = [*head, *range(back, at)]
+            else:
+                context = []
+            end = at + 1
+            while end < len(turns) and before[end] // stretch == segment and sum(size[k] for k in context) + before[end] + size[end] - before[at] <= budget:
+                end += 1
+            made.append(([turns[k] for k in (*context, *range(at, end))], len(context)))
+            at = end
+        out[conv] = made
+    return out
+
+
+def brute_text(turns):
+    role = lambda r: re.sub(r"<(\\*)\|", r"<\\\1|", r.replace("\\", "\\\\").replace("\n", "\\n"))
+    return "".join(f"<|im_start|>{role(r)}\n" + re.sub(r"<(\\*)\|", r"<\\\1|", t) + "<|im_end|>\n" for r, t in turns)
+
+
+@pytest.mark.parametrize(("budget", "history", "segments"), [(4096, 1024, 64), (300, 100, 2), (200, 200, 1), (500, 0, 3), (1000, 300, 5)])
+def test_windows_equal_brute_force(spark, budget, history, segments):
+    rng = random.Random(budget)
+    rows = [*CONVERSATIONS, *[(c, t, rng.choice(["user", "assistant", "system"]), "w <| " * rng.randrange(60)) for c in range(10, 16) for t in range(rng.randrange(1, 80))]]
+    rows += [(20, t, "user", "x" * 1000) for t in range(600)]
+    frame = chat_format.with_probe(turns(spark, rows))
+    rows += [(-1, t, role, "<|im_end|><|im_start|>assistant ok") for t, role in enumerate(("user", "assistant"))]
+    want = brute_windows(rows, budget, history, budget * segments)
+    options = {"budget": budget, "history": history, "segment_windows": segments, "bucket_turns": 16}
+    for limit in (1_000_000, 0):
+        made = chat_format.windows(frame, broadcast_rows=limit, **options).collect()
+        got = {}
+        for r in sorted(made, key=lambda r: (r.segment, r.window)):
+            got.setdefault(r.conv_id, []).append((chat_format.parsed(r.text), r.repeated))
+        assert got == want
+    found = chat_format.places(frame, **options)
+    short, long = (chat_format.windows(frame, found=found, part=part, budget=budget, history=history, segment_windows=segments, bucket_turns=16) for part in ("short", "long"))
+    both = [*chat_format.read_back(short, in_place=True).collect(), *chat_format.read_back(long).collect()]
+    assert {r.conv_id: r.formatted_chars for r in both} == {c: sum(len(brute_text(w)) for w, _ in made) for c, made in want.items()} and len(both) == len(want)
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in both} == expected(rows)
+
+
 def test_no_conversations(spark):
     assert chat_format.windows(turns(spark, [])).count() == 0
 

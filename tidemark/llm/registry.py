@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, exact_dedup, license_scan, packing, quality_crf, simhash, token_counts, url_filter, warc
-from .common import new_path, read, staged
+from .common import new_path, read
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chat_format.windows(chat_format.with_probe(read(spark, sf_dir, "conversations")))
-    return chat_format.read_back(staged(made, "chat-windows"))
+    conversations = chat_format.with_probe(read(spark, sf_dir, "conversations"))
+    found = chat_format.places(conversations)
+    short, long = (chat_format.windows(conversations, found=found, part=part) for part in ("short", "long"))
+    # conversations of one segment lie in one task already
+    return chat_format.read_back(short, in_place=True).unionByName(chat_format.read_back(long))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
