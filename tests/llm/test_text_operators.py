@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, packing, quality_crf, token_counts, warc
 
@@ -385,6 +387,56 @@ def test_packing_takes_the_tightest_compatible_bin(items):
     assert packing.pack_shard(items, 20) == brute_pack(items, 20)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 7])
+def test_blocks_of_bins_change_nothing(most):
+    rng = random.Random(most)
+    for sources, clusters in ((1, 1000), (1000, 1), (3, 3), (40, 500)):
+        items = sorted(((rng.randrange(50), rng.randrange(sources), rng.randrange(clusters)) for _ in range(400)), reverse=True)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(packing.Bins.__init__, "__defaults__", (most,))
+            assert packing.pack_shard(items, 60) == brute_pack(items, 60)
+
+
+def test_one_source_is_no_square():
+    items = sorted(((i % 900 + 1, 0, i) for i in range(20_000)), reverse=True)
+    began = time.monotonic()
+    packed = packing.pack_shard(items, 16384)
+    assert len({b for b, _ in packed}) == len(items) and time.monotonic() - began < 20
+
+
+def brute_packed(rows, capacity):
+    """Bins of pieces (id, piece, tokens) as one shard gives them, from plain rows (id, text, source)."""
+    cut = []
+    for i, text, source in rows:
+        data = (text or "").encode()
+        for k in range(max(1, -(-len(data) // capacity))):
+            cut.append((i, k, min(capacity, len(data) - k * capacity), source, re.sub(r"[\x20\x09-\x0D]+", " ", text or "")))
+    # no two pieces here are of one size, but for repeated rows
+    cut.sort(key=lambda x: (-x[2], x[0] is not None, x[0] or 0, x[1]))
+    bins = {}
+    for (i, k, n, *_), (b, at) in zip(cut, brute_pack([(x[2], x[3], x[4]) for x in cut], capacity), strict=True):
+        bins.setdefault(b, []).append((i, k, n, at))
+    return sorted((sorted(x, key=str) for x in bins.values()), key=str)
+
+
+def test_a_shard_on_spark_equals_brute_force(spark):
+    rng = random.Random(8)
+    sizes = rng.sample(range(1, 300), 150)
+    rows = [(i, rng.choice("abc") * n, f"s{i % 5}") for i, n in enumerate(sizes)] + [(500, "z" * 777, "s1"), (501, None, None), (502, "q q", "t"), (502, "q q", "t"), (502, "q q", "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bins = {}
+    for r in packing.pack(frame, capacity=300, shard_rows=10_000).collect():
+        bins.setdefault(r.bin_id, []).append((r.doc_id, r.piece, r.tokens, r.bin_offset))
+    assert sorted((sorted(x, key=str) for x in bins.values()), key=str) == brute_packed(rows, 300)
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    frame = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'same text' as text", "cast(null as string) as source")
+    got = packing.pack(frame, shard_rows=4096)
+    shards = [r["count"] for r in got.groupBy(F.shiftright("bin_id", 32)).count().collect()]
+    assert sum(shards) == 100_000 and max(shards) <= 2 * 4096 and got.select("bin_id").distinct().count() == 100_000
+
+
 def test_packing_on_spark(spark):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randrange(60), "hot" if i % 3 == 0 else f"s{i % 7}", "b") for i in range(500)] + [(None, None, None, "b"), (900, "y" * 1050, "z", "b"), (901, "é" * 100, None, "b"), (901, "é" * 100, None, "b")]

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normalised, shipped
+from .common import normalised, shipped, staged
 
+#: Equal rows that are dealt together.
+COPIES = 64
 #: Tokens are bytes: the vocabulary of a byte-level model.
 CAPACITY = 16384
 
@@ -24,39 +29,72 @@ def copy_cluster(text: Column) -> Column:
     return F.xxhash64(normalised(text))
 
 
+class Bins:
+    """Open bins in order of (residual space, number), in blocks of at most ``most``. A block keeps the sources and the
+    clusters that all its bins hold: an item of one of them passes over the whole block."""
+
+    def __init__(self, most: int = 128):
+        self.most = most
+        self.blocks: list[list[tuple[int, int]]] = []
+        self.tops: list[tuple[int, int]] = []  # the last bin of each block
+        self.common: list[tuple[int, int]] = []
+        self.held: list[tuple[int, int]] = []  # the sources and clusters of each bin, open or full
+
+    def take(self, size: int, source: int, cluster: int) -> tuple[int, int] | None:
+        """Takes out the tightest bin that has room for ``size`` and neither of the two bits."""
+        first = bisect_left(self.tops, (size, -1))
+        for k in range(first, len(self.blocks)):
+            sources, clusters = self.common[k]
+            if sources & source or clusters & cluster:
+                continue
+            block = self.blocks[k]
+            for at in range(bisect_left(block, (size, -1)) if k == first else 0, len(block)):
+                sources, clusters = self.held[block[at][1]]
+                if not (sources & source or clusters & cluster):
+                    found = block.pop(at)
+                    self._settle(k)
+                    return found
+        return None
+
+    def put(self, residual: int, number: int) -> None:
+        k = min(bisect_left(self.tops, (residual, number)), len(self.blocks) - 1)
+        if k < 0:
+            self.blocks, self.tops, self.common, k = [[]], [(0, 0)], [(0, 0)], 0
+        insort(self.blocks[k], (residual, number))
+        self._settle(k)
+
+    def _settle(self, k: int) -> None:
+        block = self.blocks[k]
+        halves = [block] if 0 < len(block) <= self.most else [block[: len(block) // 2], block[len(block) // 2 :]] if block else []
+        self.blocks[k : k + 1] = halves
+        self.tops[k : k + 1] = [x[-1] for x in halves]
+        self.common[k : k + 1] = [(reduce(and_, (self.held[n][0] for _, n in x)), reduce(and_, (self.held[n][1] for _, n in x))) for x in halves]
+
+
 def pack_shard(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
     """Places items (size, source, cluster), the largest first; gives (bin, offset) of each.
 
-    Bins lie in a list ordered by residual space. An item looks up the smallest residual that holds it and goes on to
-    the successors until a bin has neither its source nor its cluster in its bitmaps: the tightest compatible bin.
-    Where there is none, it opens a bin.
+    Bins lie ordered by residual space. An item looks up the smallest residual that holds it and goes on to the successors
+    until a bin has neither its source nor its cluster in its bitmaps: the tightest compatible bin. Where there is none,
+    it opens a bin.
     """
-    open_bins: list[tuple[int, int]] = []
-    sources: list[int] = []
-    clusters: list[int] = []
+    bins = Bins()
     source_bit: dict[int, int] = {}
     cluster_bit: dict[int, int] = {}
     out = []
     for size, source, cluster in items:
         s = source_bit.setdefault(source, 1 << len(source_bit))
         c = cluster_bit.setdefault(cluster, 1 << len(cluster_bit))
-        at = bisect_left(open_bins, (size, -1))
-        while at < len(open_bins):
-            number = open_bins[at][1]
-            if not (sources[number] & s or clusters[number] & c):
-                break
-            at += 1
-        if at < len(open_bins):
-            residual, number = open_bins.pop(at)
-        else:
-            residual, number = capacity, len(sources)
-            sources.append(0)
-            clusters.append(0)
-        sources[number] |= s
-        clusters[number] |= c
+        found = bins.take(size, s, c)
+        if found is None:
+            found = capacity, len(bins.held)
+            bins.held.append((0, 0))
+        residual, number = found
+        sources, clusters = bins.held[number]
+        bins.held[number] = sources | s, clusters | c
         out.append((number, capacity - residual))
         if residual > size:
-            insort(open_bins, (residual - size, number))
+            bins.put(residual - size, number)
     return out
 
 
@@ -74,11 +112,12 @@ def pieces(docs: DataFrame, id_col: str, source_col: str, size: Column, cluster:
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = 4096) -> DataFrame:
     """One row per piece: doc_id, piece, span_start, tokens, bin_id, bin_offset.
 
-    No bin holds more than ``capacity`` tokens, two pieces of one source, or two of one duplicate cluster. Documents
-    are dealt into shards of about ``shard_rows`` pieces by a hash of id and piece, whatever their source, so that a
-    source or cluster with a third of all rows is spread over all shards, and each shard is packed by best fit, the
-    largest pieces first (ties by id, piece and span). A shard is the most that a task holds. ``bin_id`` is the shard's
-    number times 2^32 plus the bin's.
+    No bin holds more than ``capacity`` tokens, two pieces of one source, or two of one duplicate cluster. Pieces are
+    dealt into shards of about ``shard_rows`` by a hash of all that tells them apart, so that a source or cluster with a
+    third of all rows is spread over all shards; rows that nothing tells apart are counted first and dealt ``COPIES`` at
+    a time. Each shard is packed by best fit, the largest pieces first (ties by id, piece, source and cluster). A shard is
+    the most that a task holds: shards are numbered by the pieces there are, so they differ by chance alone. ``bin_id`` is
+    the shard's number times 2^32 plus the bin's.
 
     ``size`` gives a document's tokens (default: UTF-8 bytes) and ``cluster`` its duplicate cluster (default: equal
     texts). Full pieces of long documents take a bin each, as no space is left. Null and empty texts are pieces of no
@@ -88,10 +127,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     size = F.coalesce((byte_tokens(F.col(text_col)) if size is None else size).cast("long"), F.lit(0).cast("long"))
     cluster = copy_cluster(F.col(text_col)) if cluster is None else cluster
     cut = pieces(docs, id_col, source_col, size, F.coalesce(F.xxhash64(cluster), F.lit(0)), capacity)
-    # long documents give more pieces than rows; shards are numbered by rows, so they stay within a small factor
-    shards = max(1, -(-docs.count() // shard_rows))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)).cast("long"))
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("tokens"), "doc_id", "piece", "cluster")
+    told = ["doc_id", "piece", "source", "cluster", "span_start", "tokens"]
+    counted = staged(cut.groupBy(*told).agg(F.count("*").alias("copies")), "pieces")
+    shards = max(1, -(-(counted.agg(F.sum("copies")).first()[0] or 0) // shard_rows))
+    lots = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("lot")
+    dealt = counted.select(*told, lots, "copies").withColumn("copies", F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("lot") * COPIES).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(*told, "lot"), F.lit(shards)).cast("long"))
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("tokens"), "doc_id", "piece", "source", "cluster")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -115,7 +157,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def packed(parts: list[pa.RecordBatch], capacity: int) -> pa.RecordBatch:
-    table = pa.Table.from_batches(parts).combine_chunks()
+    table = pa.Table.from_batches(parts)
+    table = table.take(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())).combine_chunks()
     items = list(zip(*(table.column(c).to_pylist() for c in ("tokens", "source", "cluster")), strict=True))
     placed = pack_shard(items, capacity)
     base = table.column("shard")[0].as_py() << 32
