@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import normalised, staged
 
-#: Bits of one bitmap (what bitmap_construct_agg makes); a text's probes all fall into one bitmap.
+#: Bits of one bitmap (what bitmap_construct_agg makes); a hash's probes all fall into one bitmap.
 BLOCK_BITS = 32768
 #: A group of copies is hot beyond this share of all rows and this number of rows.
 HOT_SHARE, HOT_ROWS = 1e-5, 1000
@@ -18,53 +18,45 @@ def text_digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _block(digest: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(blocks))
+def repeated_hashes(hashes: DataFrame) -> DataFrame:
+    """Pass one: the hashes (column ``h``) that come twice or more. They are counted on the map side first, so a task sends eight
+    bytes for each distinct text and a text that a third of the rows share is one row of each task; what goes on is only
+    what repeats."""
+    return staged(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "exact-repeated")
 
 
-def _probes(digest: Column, probes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(1, probes + 1)]
+def _place(h: Column, blocks: int) -> Column:
+    return F.pmod(h, F.lit(blocks))
 
 
-def seen_twice(digests: DataFrame, blocks: int, probes: int) -> DataFrame:
-    """Pass one: (block, bits) bitmaps of the positions that two or more rows set.
+def _probes(h: Column, probes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(1, probes + 1)]
 
-    Counts of positions are summed on the map side first, so a text that a third of the rows share is one row of each
-    task. What leaves this pass is a filter of ``blocks`` * 4 KB at most, whatever the texts are.
-    """
-    digest = F.col("digest")
-    positions = digests.select(
-        _block(digest, blocks).alias("block"), F.explode(F.array_distinct(F.array(*_probes(digest, probes)))).alias("bit")
-    )
-    twice = positions.groupBy("block", "bit").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def may_repeat(rows: DataFrame, filter_bits: DataFrame, blocks: int, probes: int) -> DataFrame:
-    """Pass two: adds ``repeats``, true where every probe of the row's digest is set. Needs no shuffle of ``rows``: the filter is broadcast."""
-    digest = F.col("digest")
-    keyed = rows.withColumn("block", _block(digest, blocks))
-    joined = keyed.join(F.broadcast(filter_bits), "block", "left")
-    byte = [F.conv(F.hex(F.substring(F.col("bits"), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int") for p in _probes(digest, probes)]
-    hits = [F.getbit(b, (p % 8).cast("int")) == 1 for b, p in zip(byte, _probes(digest, probes), strict=True)]
-    every = hits[0]
-    for hit in hits[1:]:
-        every = every & hit
-    return joined.withColumn("repeats", F.coalesce(every, F.lit(False))).drop("block", "bits")
 
+def may_repeat(rows: DataFrame, repeated: DataFrame, *, bits_per_hash: int, probes: int, max_filter_bits: int) -> DataFrame:
+    """Pass two: adds ``repeats`` to rows with a hash ``h``, true for all whose hash is among ``repeated`` and, by chance, for few others.
 
-def _filtered(digests: DataFrame, rows: DataFrame, count: int, bits_per_row: int, probes: int, max_filter_bits: int) -> DataFrame:
-    """``rows`` with ``repeats``. The filter grows with the rows up to ``max_filter_bits`` (its proven bound for the broadcast);
-    beyond that it only lets more rows through to the shuffle, and the result stays the same."""
-    wanted = min(max(count, 1) * bits_per_row, max_filter_bits)
-    blocks = -(-wanted // BLOCK_BITS)
-    return may_repeat(rows, seen_twice(digests, blocks, probes), blocks, probes)
-
-
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 16, probes: int = 3, max_filter_bits: int = 2**28) -> DataFrame:
+    The Bloom filter of the repeated hashes is a table of bitmaps (block, bits) and is broadcast, so ``rows`` need not move.
+    It has ``bits_per_hash`` bits for each repeated hash, and ``max_filter_bits`` at most (the bound of the broadcast): with
+    the bound of 32 MB it keeps its sharpness to 16 million repeated hashes, however many rows there are. Beyond that it
+    only lets more rows through to the shuffle, and the result stays the same.
+    """
+    h = F.col("h")
+    blocks = -(-min(max(repeated.count(), 1) * bits_per_hash, max_filter_bits) // BLOCK_BITS)
+    positions = repeated.select(_place(h, blocks).alias("block"), F.explode(F.array_distinct(F.array(*_probes(h, probes)))).alias("bit"))
+    bitmaps = positions.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    joined = rows.withColumn("block", _place(h, blocks)).join(F.broadcast(bitmaps), "block", "left")
+    byte = [F.conv(F.hex(F.substring(F.col("bits"), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int") for p in _probes(h, probes)]
+    every = F.lit(True)
+    for b, p in zip(byte, _probes(h, probes), strict=True):
+        every = every & (F.getbit(b, (p % 8).cast("int")) == 1)
+    return joined.withColumn("repeats", F.coalesce(every, F.lit(False))).drop("block", "bits", "h")
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_hash: int = 16, probes: int = 3, max_filter_bits: int = 2**28) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are read and hashed once; both passes run over the staged (id, digest) table. Rows that the filter clears are
+    Texts are read and digested once; both passes run over the staged (id, digest) table. Rows that the filter clears are
     answered in place. The rest are counted by (digest, id), with map-side partials. Facts of hot groups, those of over
     ``HOT_SHARE`` of all rows (and ``HOT_ROWS``), go to their rows by broadcast, of others by a shuffle join; so no
     task gets a hot group's rows.
@@ -75,7 +67,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
     """
     keys = staged(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "exact-keys")
     rows = keys.count()
-    flagged = _filtered(keys, keys, rows, bits_per_row, probes, max_filter_bits)
+    hashed = F.xxhash64("digest").alias("h")
+    flagged = may_repeat(keys.select("*", hashed), repeated_hashes(keys.select(hashed)), bits_per_hash=bits_per_hash, probes=probes, max_filter_bits=max_filter_bits)
     alone = flagged.where("not repeats").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
     )
@@ -94,16 +87,17 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
     return alone.unionByName(shared)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 16, probes: int = 3, max_filter_bits: int = 2**28) -> DataFrame:
-    """``docs`` with one row for each text, that of the smallest id, all columns as they were.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_hash: int = 16, probes: int = 3, max_filter_bits: int = 2**28) -> DataFrame:
+    """``docs`` with one row for each text, that of the smallest id, all columns as they were (of any type).
 
     Rows that the filter clears pass straight through; the rest meet in one min_by aggregate with map-side partials.
-    Nulls, ties and empty tables as in ``decide``; of rows with one id and text, that with the smallest row hash stays.
+    Nulls, ties and empty tables as in ``decide``; of rows with one id and text, that with the smallest hash of its JSON
+    form stays.
     """
-    digests = staged(docs.select(text_digest(F.col(text_col)).alias("digest")), "exact-digests")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("whole"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    flagged = _filtered(digests, rows, digests.count(), bits_per_row, probes, max_filter_bits)
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("whole"))
-    first = flagged.where("repeats").groupBy("digest").agg(F.min_by("whole", order).alias("whole"))
+    text = F.col(f"`{text_col}`")
+    hashed = F.xxhash64(normalised(text)).alias("h")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), hashed)
+    flagged = may_repeat(rows, repeated_hashes(docs.select(hashed)), bits_per_hash=bits_per_hash, probes=probes, max_filter_bits=max_filter_bits)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64(F.to_json("whole")))
+    first = flagged.where("repeats").groupBy(text_digest(F.col("text")).alias("digest")).agg(F.min_by("whole", order).alias("whole"))
     return flagged.where("not repeats").select("whole.*").unionByName(first.select("whole.*"))
