@@ -46,7 +46,7 @@ def test_exact_decisions_equal_brute_force(spark):
 
 def test_a_full_filter_changes_nothing(spark):
     rows = [(i, f"text {i % 700}") for i in range(1000)]
-    got = exact_dedup.decide(docs(spark, rows), max_filter_bits=1, bits_per_row=1)
+    got = exact_dedup.decide(docs(spark, rows), max_filter_bits=1, bits_per_hash=1)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_exact(rows)
 
 
@@ -66,6 +66,45 @@ def test_exact_rows_stay_whole(spark):
     assert got.first().lang == "en"
 
 
+def test_columns_of_any_type_stay(spark):
+    rows = [(2, "a b", {"k": "v"}, [1]), (1, "a  b", {"k": "w"}, None), (1, "a\tb", None, [2]), (3, "c", {}, [])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,string>, list array<int>")
+    got = exact_dedup.deduplicated(frame)
+    assert got.schema == frame.schema and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_only_what_repeats_goes_through_the_filter(spark):
+    rows = spark.range(20_000).selectExpr("xxhash64(if(id % 100 < 5, id % 100, id)) as h")
+    flagged = exact_dedup.may_repeat(rows, exact_dedup.repeated_hashes(rows), bits_per_hash=16, probes=3, max_filter_bits=2**28)
+    assert 1000 <= flagged.where("repeats").count() < 1100
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 5)
+    frame = docs(spark, [(i, "same words here" if i % 3 == 0 else f"text number {i} of many") for i in range(2, 62)] + [(1, None), (0, "")])
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert len(got) == 62 and all(got[i][1] == 3 for i in range(3, 62, 3)) and got[1] == got[0] == (0, 0)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 5, 6])
+def test_other_numbers_of_bits(spark, bits):
+    rng = np.random.default_rng(bits)
+    base = rng.integers(0, 2**63, 25, dtype=np.uint64)
+    flips = [base]
+    for n in range(1, bits + 2):
+        x = base.copy()
+        for _ in range(n):
+            x ^= np.uint64(1) << rng.integers(0, 64, 25, dtype=np.uint64)
+        flips.append(x)
+    keys = np.unique(np.concatenate(flips))
+    prints = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    for heavy in (None, 2):
+        roots = {r.node: r.root for r in components(simhash.near_links(prints, bits=bits, heavy=heavy, chunk_rows=40)).collect()}
+        got = [roots.get(int(k), int(k)) for k in keys.view(np.int64)]
+        want = brute_classes(keys, bits)
+        assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+
+
 @pytest.mark.parametrize("make", [exact_dedup.decide, exact_dedup.deduplicated, simhash.near_duplicates, simhash.one_of_each])
 def test_empty_tables(spark, make):
     assert make(docs(spark, [])).count() == 0

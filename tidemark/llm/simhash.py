@@ -15,8 +15,24 @@ from . import common
 from .common import components, shipped, staged, unused, without
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
-#: Bits that each cut of the tries fixes: a fourth of those left. Turns 0 to 3 belong to the first, 4 to 19 to the second, 20 to 83 to the third.
-LEVELS = (16, 12, 9)
+#: How often crowded subtrees are cut.
+CUTS = 3
+#: A fingerprint is hot beyond this share of all rows and this number of rows.
+HOT_SHARE, HOT_ROWS = 1e-5, 1000
+
+
+def levels(bits: int) -> list[tuple[int, int]]:
+    """Of each cut of the tries: the bits that it fixes, and the first turn beyond it. Of so many blocks of the bits that are left,
+    one more than may differ, one is equal; each cut has one turn for each choice of blocks. Three bits give blocks of
+    16, 12 and 9 and turns 0 to 3, 4 to 19 and 20 to 83."""
+    out, done, turns = [], 0, 0
+    for cut in range(1, CUTS + 1):
+        width = (64 - done) // (bits + 1)
+        done, turns = done + width, turns + (bits + 1) ** cut
+        out.append((width, turns))
+    return out
+
+
 
 
 def fingerprint(text: str | None) -> int:
@@ -69,12 +85,13 @@ def _rotated(value: Column, by: int, width: int) -> Column:
     return turned if width == 64 else turned.bitwiseAND(F.lit((1 << width) - 1))
 
 
-def near_links(prints: DataFrame, *, heavy: int | None = None, chunk_rows: int = 400_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column ``fp``) at 3 or fewer differing bits, as a spanning forest of each task's links.
+def near_links(prints: DataFrame, *, bits: int = MAX_BITS, heavy: int | None = None, chunk_rows: int = 400_000) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column ``fp``) at ``bits`` or fewer differing bits, as a spanning forest of each task's links.
 
-    By the pigeonhole principle one of four 16-bit blocks of a linked pair is equal. So each of four tries, one with
-    each block on top, is cut into the subtrees below its 16 top levels, where no error may have been spent; subtrees
-    are independent tasks' work, and a fingerprint is sent four times, however many there are. A subtree of over
+    Told for three bits: by the pigeonhole principle one of four 16-bit blocks of a linked pair is equal. So each of four
+    tries, one with each block on top, is cut into the subtrees below its 16 top levels, where no error may have been
+    spent; subtrees are independent tasks' work, and a fingerprint is sent four times, however many there are. (More bits
+    make more and shorter blocks: subtrees grow and copies multiply, which is the price.) A subtree of over
     ``heavy`` fingerprints (default: 50,000, or a hundred-thousandth of all if that is more) is cut again in the same
     way by four 12-bit blocks of the other 48 bits, and what is still crowded by four 9-bit blocks of the other 36; the
     bound grows fourfold with the copies, so at most 400,000 subtrees are crowded. Within a task, node pairs of the
@@ -82,19 +99,22 @@ def near_links(prints: DataFrame, *, heavy: int | None = None, chunk_rows: int =
     within a task are left out, so a dense group gives no more rows than it has members.
     """
     heavy = max(50_000, prints.count() // 100_000) if heavy is None else heavy
+    if not 1 <= bits <= 7:
+        raise ValueError("bits is 1 to 7")
+    blocks, cuts = bits + 1, levels(bits)
     rows = prints.select("fp", F.lit(-1).alias("turn"), F.col("fp").alias("key"))
     parts, done = [], 0
-    for level, bits in enumerate(LEVELS):
+    for level, (fixed, _) in enumerate(cuts):
         width = 64 - done
         rest = F.col("key").bitwiseAND(F.lit((1 << width) - 1)) if done else F.col("key")
         head = F.shiftleft(F.shiftrightunsigned("key", width), width) if done else F.lit(0)
-        turns = [F.struct(F.col("turn") * 4 + 4 + s, head.bitwiseOR(_rotated(rest, bits * s, width))) for s in range(4)]
-        done += bits
+        turns = [F.struct(F.col("turn") * blocks + blocks + s, head.bitwiseOR(_rotated(rest, fixed * s, width))) for s in range(blocks)]
+        done += fixed
         rows = rows.select("fp", F.inline(F.array(*turns))).toDF("fp", "turn", "key").withColumn("subtree", F.shiftrightunsigned("key", 64 - done))
-        if level + 1 == len(LEVELS):
+        if level + 1 == len(cuts):
             parts.append(rows)
             break
-        counts = rows.groupBy("turn", "subtree").agg(F.count("*").alias("n")).where(F.col("n") > heavy * 4**level)
+        counts = rows.groupBy("turn", "subtree").agg(F.count("*").alias("n")).where(F.col("n") > heavy * blocks**level)
         crowded = staged(counts.select("turn", "subtree", F.lit(True).alias("crowded")), "crowded")
         if crowded.isEmpty():
             parts.append(rows)
@@ -108,30 +128,36 @@ def near_links(prints: DataFrame, *, heavy: int | None = None, chunk_rows: int =
     dealt = all_rows.repartition("turn", "subtree").sortWithinPartitions("turn", "subtree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # whole subtrees, but for the last
         size = 0
         for batch in batches:
-            held.append(np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("turn", "subtree", "key", "fp")]))
-            size += batch.num_rows
-            if size >= chunk_rows:
-                rows = np.concatenate(held, axis=1)
-                last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
-                cut = int(last[-1]) + 1 if len(last) else 0  # the last subtree may go on
-                if cut:
-                    yield from _emit(rows[:, :cut])
-                held, size = [rows[:, cut:]], rows.shape[1] - cut
+            rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("turn", "subtree", "key", "fp")])
+            last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+            ends = int(last[-1]) + 1 if len(last) else 0  # where the batch's last subtree begins
+            if not ends and held and (held[-1][:2, -1] != rows[:2, -1]).any():
+                yield from _emit(np.concatenate(held, axis=1), bits)
+                held, size = [], 0
+            elif ends and size + ends >= chunk_rows:
+                yield from _emit(np.concatenate([*held, rows[:, :ends]], axis=1), bits)
+                held, size, rows = [], 0, rows[:, ends:]
+            held.append(rows)
+            size += rows.shape[1]
         if size:
-            yield from _emit(np.concatenate(held, axis=1))
+            yield from _emit(np.concatenate(held, axis=1), bits)
 
     shipped(prints.sparkSession)
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(rows: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     for turn in np.unique(rows[0]):
         own = rows[:, rows[0] == turn]
-        depth = sum(LEVELS[: 1 + (turn >= 4) + (turn >= 20)])
-        a, b = trie_pairs(own[2].view(np.uint64), own[3], depth)
+        depth = 0
+        for width, beyond in levels(bits):
+            depth += width
+            if turn < beyond:
+                break
+        a, b = trie_pairs(own[2].view(np.uint64), own[3], depth, bits)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -220,29 +246,33 @@ def _union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed), component_id, the smallest doc_id that links reach.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (signed), component_id, the smallest doc_id that links of ``bits`` reach.
 
     Fingerprints are computed once and staged; equal ones are one class, so copies cost no pairs. Null and empty texts
     have fingerprint zero and link like any other. A null id gets its group's smallest id (null if the group has none).
     Repeated rows stay repeated. An empty table gives an empty result; extra columns are ignored.
     """
     prints = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "fp").drop("text")
-    return grouped(staged(prints, "simhash"))
+    return grouped(staged(prints, "simhash"), bits)
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """Adds component_id to staged rows (doc_id, fp)."""
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    roots = components(near_links(classes.select("fp"))).withColumnsRenamed({"node": "fp", "root": "root"})
+def grouped(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """Adds component_id to staged rows (doc_id, fp). It goes to the rows of hot fingerprints by broadcast, to others by a
+    shuffle join."""
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
+    roots = components(near_links(classes.select("fp"), bits=bits)).withColumnsRenamed({"node": "fp", "root": "root"})
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    # only fingerprints with a link can have another's id
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(rooted.join(smallest, "root").select("fp", "n", "component_id"), "simhash-named")
+    hot = F.col("n") > max(HOT_ROWS, int((named.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    # at most 1 / HOT_SHARE fingerprints can be hot
+    marked = prints.join(F.broadcast(named.where(hot)), "fp", "left")
+    others = marked.where("n is null").select("doc_id", "fp").join(named.where(~hot), "fp")
+    return marked.where("n is not null").select("doc_id", "fp", "component_id").unionByName(others.select("doc_id", "fp", "component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """``docs`` without near copies: of each group the row of the smallest id stays, all columns as they were.
 
     Where every id is one row's (a count over the staged ids tells), the rows to go are named by id and whole rows stay
@@ -251,7 +281,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = staged(with_fingerprint(own, "text", "fp").drop("text"), "simhash")
-    groups = staged(grouped(prints), "simhash-groups")
+    groups = staged(grouped(prints, bits), "simhash-groups")
     if prints.groupBy("doc_id").count().where("count > 1").isEmpty():
         return without(docs, F.col(f"`{id_col}`"), groups.where("not (doc_id <=> component_id)").select("doc_id"))
     mark = unused("fp", docs)
