@@ -93,12 +93,41 @@ def test_projection_equals_the_model(spark, seed, cyclic):
     _, rows, refs = world(seed, cyclic)
     nodes = spark.createDataFrame([(*r, d, "userDelete") for r, d in rows.items()], "tbl string, row_id string, deleted boolean, reason string")
     frame = spark.createDataFrame(refs, "tbl string, row_id string, col string, value string, target_tbl string, action string, nullable boolean, default_id string")
-    shown = projection.cut(projection.visibility(nodes, frame))
+    shown = projection._kept(projection.visibility(nodes, frame))
     seen, values = model(rows, refs)
     assert {(r.tbl, r.row_id): r.visibility for r in shown.collect()} == seen
     assert {(r.tbl, r.row_id, r.col): (r.shown, r.reason) for r in projection.repaired(frame, shown).collect()} == values
 
 
+@pytest.mark.parametrize(("seed", "cyclic"), [(1, False), (5, True)])
+def test_projecting_some_rows_equals_the_whole(spark, seed, cyclic):
+    _, rows, refs = world(seed, cyclic)
+    refs = [r for k, r in enumerate(refs) if k % 3]  # not all hang together
+    nodes = spark.createDataFrame([(*r, d, "userDelete") for r, d in rows.items()], "tbl string, row_id string, deleted boolean, reason string")
+    frame = spark.createDataFrame(refs, "tbl string, row_id string, col string, value string, target_tbl string, action string, nullable boolean, default_id string")
+    seen, _ = model(rows, refs)
+    for seeds in ([("d", "1")], [("a", "0"), ("b", "3")]):
+        got = {(r.tbl, r.row_id): r.visibility for r in projection.project(nodes, frame, spark.createDataFrame(seeds, "tbl string, row_id string")).collect()}
+        assert set(seeds) <= set(got) and got == {k: seen[k] for k in got}
+        # what the seeds can change is within: their deletion leaves all other rows as they were
+        other, _ = model({k: (not d if k in seeds else d) for k, d in rows.items()}, refs)
+        assert {k for k in seen if other[k] != seen[k]} <= set(got)
+
+
+def test_long_chains_settle(spark):
+    n = 3000
+    nodes = spark.range(n).selectExpr("'t' as tbl", "cast(id as string) as row_id", "id = 0 as deleted", "'userDelete' as reason")
+    refs = spark.range(1, n).selectExpr("'t' as tbl", "cast(id as string) as row_id", "'up' as col", "cast(id - 1 as string) as value", "'t' as target_tbl", "'cascade' as action", "true as nullable", "cast(null as string) as default_id")
+    assert {r[0]: r[1] for r in projection.visibility(nodes, refs).groupBy("visibility").count().collect()} == {3: 1, 5: n - 1}
+    # a row below needs the chain: the deletion is rejected
+    user = spark.createDataFrame([("u", "0", "down", str(n - 1), "t", "noAction", True, None)], refs.schema)
+    more = nodes.unionByName(spark.createDataFrame([("u", "0", False, "userDelete")], nodes.schema))
+    assert {r[0]: r[1] for r in projection.visibility(more, refs.unionByName(user)).groupBy("visibility").count().collect()} == {2: 1, 0: n}
+    # the first row is missing: all hang on it
+    gone = nodes.where("row_id <> '0'")
+    assert {r[0]: r[1] for r in projection.visibility(gone, refs).groupBy("visibility").count().collect()} == {5: n - 1}
+
+
 def test_unique_release_kinds(spark):
     rows = spark.createDataFrame(
         [("s", "1", "x", "p", False, 5), ("s", "2", "x", "p", False, 3), ("s", "3", "x", "p", True, 1), ("s", "4", "x", None, False, 1), ("t", "5", "x", "p", False, 9), ("s", "6", "x", "p", False, 3)],

@@ -92,6 +92,31 @@ def try_uuid(text: Column) -> Column:
     return F.when(plain.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), plain)
 
 
+def uuid_of_bytes(data: Column) -> Column:
+    """The UUID of 16 bytes, or null."""
+    h = F.lower(F.hex(data))
+    parts = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(F.octet_length(data) == 16, F.concat_ws("-", *parts))
+
+
+def default_value(text: Column, data_type: str) -> Column:
+    """The value of a declared column default (X21): without its quotes; a UUID that is made anew each time is none, and so is a broken one."""
+    plain = F.replace(text, F.lit("'"), F.lit(""))
+    return plain if data_type != "uuid" else F.when(~plain.isin("random", "random_v7"), try_uuid(plain))
+
+
+def same_map(a: Column, b: Column) -> Column:
+    """Whether two maps hold the same entries, in whatever order (X17); null equals null only."""
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    return entries(a).eqNullSafe(entries(b))
+
+
+def canonical(value: Column, data_type: str = "string") -> Column:
+    """The text by which projection compares a value (X16): null is empty, a UUID lower-case."""
+    text = value.cast("string")
+    return F.coalesce(F.lower(text) if data_type == "uuid" else text, F.lit(""))
+
+
 def utf16_length(text: Column) -> Column:
     """UTF-16 code units, the measure of payloads."""
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("bigint")

@@ -2,8 +2,10 @@
 
 A change log has the columns space, tbl, row_id, kind (insert, update, delete), column, value, payload
 (map<string,string> of an insert), cl_flag, reason, hlc. State is three tables: rows (birth clock), fields (value and
-clock per column) and generations (visibility). Every register is a maximum over clocks, so merging is commutative,
-associative and idempotent, and one shuffle by row key with map-side partials is all it takes.
+clock per column) and generations (visibility). Registers and generations are maxima over clocks, so merging them is commutative,
+associative and idempotent, and one shuffle by row key with map-side partials is all it takes. Births are not: a row that
+is stored keeps its clock, so batches that bring the inserts of one row in another order give it another birth (a
+rebuild takes the smallest), and updates that come before any insert of their row are dropped.
 """
 
 from __future__ import annotations
@@ -51,17 +53,32 @@ def births(changes: DataFrame) -> DataFrame:
 
 def generations(changes: DataFrame) -> DataFrame:
     """The largest (causal length, clock) of each row's replicated visibility changes."""
-    synced = changes.where("kind = 'delete'").where(values.is_synced(F.col("reason")))
+    return _largest(changes.where("kind = 'delete'").where(values.is_synced(F.col("reason"))))
+
+
+def later_inserts(changes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Generations of inserts that name a known row (M5): causal length one, ``userInsert``, where the insert is newer than the row's
+    birth. They count as long as nothing has deleted the row."""
+    born = rows.select(*ROW, F.col("hlc").alias("_born"))
+    again = changes.where("kind = 'insert'").join(born, ROW).where("hlc > _born")
+    return _largest(again.select(*ROW, F.lit(1).alias("cl_flag"), "hlc", F.lit("userInsert").alias("reason")))
+
+
+def _largest(synced: DataFrame) -> DataFrame:
     last = synced.groupBy(*ROW).agg(F.max(F.struct("cl_flag", "hlc", "reason")).alias("last"))
     return last.select(*ROW, F.col("last.cl_flag").alias("cl_flag"), F.col("last.hlc").alias("hlc"), F.col("last.reason").alias("reason"))
 
 
-def state_of(changes: DataFrame, columns: dict[str, list[str]]) -> State:
-    """State of a whole log. Updates and visibility changes of rows without an insert are dropped (M6, M7)."""
+def state_of(changes: DataFrame, columns: dict[str, list[str]], *, with_later_inserts: bool = False) -> State:
+    """State of a whole log. Updates and visibility changes of rows without an insert are dropped (M6, M7). ``with_later_inserts``
+    also stores the generations that inserts of known rows make (M5)."""
     rows = births(changes)
     keys = rows.select(*ROW)
     fields = registers(field_writes(changes, columns)).join(keys, ROW, "left_semi")
-    return State(rows, fields, generations(changes).join(keys, ROW, "left_semi"))
+    stored = generations(changes).join(keys, ROW, "left_semi")
+    if with_later_inserts:
+        stored = _largest(stored.unionByName(later_inserts(changes, rows)))
+    return State(rows, fields, stored)
 
 
 def merged(state: State, changes: DataFrame, columns: dict[str, list[str]]) -> State:

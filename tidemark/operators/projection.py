@@ -2,8 +2,10 @@
 
 Rows of all tables are one long table ``nodes`` (tbl, row_id, deleted, reason), and their authored references another,
 ``refs`` (tbl, row_id, col, value, target_tbl, action, nullable, default_id); so each step is a few equi joins on
-(table, id), whatever the schema. Fixpoints run as driver loops over distributed tables; each round is a reliable cut
-of lineage, and rounds are as many as a chain of references is long.
+(table, id), whatever the schema. Fixpoints run as driver loops over distributed tables; each round is a written table,
+whose size the planner knows, and follows only what the last round found. Where tables refer to each other in circles,
+links are first doubled again and again, so that a chain takes as many rounds as its length has binary digits. No loop
+has a bound: each ends when nothing changes.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..plans.schema import ForeignKey, UniqueIndex
-from ..sources.shared import cut, staged
+from ..sources.shared import staged
 
 KEY = ["tbl", "row_id"]
-MAX_ROUNDS = 200
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    return staged(rows, "projection")
 
 
 def references(tables: dict[str, DataFrame], edges: list[ForeignKey], ids: dict[str, str]) -> DataFrame:
@@ -46,27 +51,72 @@ def _keys(rows: DataFrame, tbl: str, row_id: str) -> DataFrame:
     return rows.select(F.col("tbl").alias(tbl), F.col("row_id").alias(row_id))
 
 
-def closure(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _circles(pairs: set[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Those (table, parent) pairs that lie on a circle of references."""
+    reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    while True:
+        more = {a: found | {c for b in found for c in reach.get(b, ())} for a, found in reach.items()}
+        if more == reach:
+            return sorted((a, b) for a, b in pairs if b == a or a in reach.get(b, ()))
+        reach = more
+
+
+def shortcuts(links: DataFrame) -> DataFrame | None:
+    """Links (tbl, row_id, target_tbl, value) to the rows 2, 4, 8, ... steps up, for rows with one parent within a circle of tables (there
+    alone can chains be longer than the schema); None where tables form no circle. They lead nowhere that links do not."""
+    circle = _circles({tuple(r) for r in links.select("tbl", "target_tbl").distinct().collect()})  # as many as the schema has
+    if not circle:
+        return None
+    inside = reduce(lambda x, y: x | y, [(F.col("tbl") == a) & (F.col("target_tbl") == b) for a, b in circle])
+    up = F.struct("target_tbl", "value")
+    single = links.where(inside).groupBy(*KEY).agg(F.min(up).alias("up"), F.max(up).alias("other")).where("up = other")
+    hop = _kept(single.select(*KEY, "up.*"))
+    rows, step, found = hop.count(), 1, [hop.limit(0)]
+    while step < rows:
+        above = hop.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.col("target_tbl").alias("_tbl"), F.col("value").alias("_id"))
+        hop = _kept(hop.join(above, ["target_tbl", "value"]).select(*KEY, F.col("_tbl").alias("target_tbl"), F.col("_id").alias("value")))
+        if hop.isEmpty():
+            break
+        found.append(hop)
+        step *= 2
+    return reduce(DataFrame.unionByName, found)
+
+
+def with_shortcuts(links: DataFrame) -> DataFrame:
+    plain = links.select(*KEY, "target_tbl", "value")
+    more = shortcuts(plain)
+    return plain if more is None else _kept(plain.unionByName(more))
+
+
+def closure(roots: DataFrame, links: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """Rows (tbl, row_id) reachable from ``roots`` along cascading references (P4, J14), each with ``lead``, the smallest root
     that reaches it. ``links`` has (target_tbl, value) as parent and (tbl, row_id) as child. A round follows only rows whose
-    lead has just become smaller, so each level of the cascade is one join."""
-    labels = front = cut(roots.select(*KEY, F.struct("tbl", "row_id").alias("lead")))
-    for _ in range(MAX_ROUNDS):
+    lead has just become smaller, and looks up only rows it reaches. ``settled`` are rows whose lead is known already, from
+    a run with more roots: only what lies beyond them is followed."""
+    own = roots.select(*KEY, F.struct("tbl", "row_id").alias("lead"))
+    if settled is None:
+        front = _kept(own)
+        labels = front
+    else:
+        beyond = links.join(settled.select(*KEY), KEY, "left_anti")
+        border = settled.join(_keys(beyond.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")), "tbl", "row_id"), KEY, "left_semi")
+        fresh = _kept(own.join(settled.select(*KEY), KEY, "left_anti"))
+        front = _kept(border.unionByName(fresh))
+        labels = settled.unionByName(fresh)
+    while not front.isEmpty():
         down = front.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), "lead").join(links, ["target_tbl", "value"]).select(*KEY, "lead")
-        reached = down.groupBy(*KEY).agg(F.min("lead").alias("new"))
-        known = labels.groupBy(*KEY).agg(F.min("lead").alias("old"))
-        front = cut(reached.join(known, KEY, "left").where("old is null or new < old").select(*KEY, F.col("new").alias("lead")))
-        if front.isEmpty():
-            return cut(known.select(*KEY, F.col("old").alias("lead")))
+        reached = _kept(down.groupBy(*KEY).agg(F.min("lead").alias("new")))
+        known = labels.join(reached.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("lead").alias("old"))
+        front = _kept(reached.join(known, KEY, "left").where("old is null or new < old").select(*KEY, F.col("new").alias("lead")))
         labels = labels.unionByName(front)
-    raise RuntimeError("the cascade did not settle")
+    return _kept(labels.groupBy(*KEY).agg(F.min("lead").alias("lead")))
 
 
 def _defaults(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The defaults that references may fall back on (as many as the schema has) and whether their rows exist."""
     named = refs.where("action = 'setDefault' and default_id is not null").select("target_tbl", "default_id").distinct()
     found = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("default_id"))
-    return cut(named.join(found, ["target_tbl", "default_id"], "left_semi"))
+    return _kept(named.join(found, ["target_tbl", "default_id"], "left_semi"))
 
 
 def _default_holds(rows: DataFrame, defaults: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -84,17 +134,25 @@ def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root
     """
     free = root_hidden.select(*KEY)
     lost = absent.where("action <> 'setNull'").join(free, KEY, "left_anti")
-    follow = held.where("action <> 'setNull'")
-    hidden = front = free.limit(0)
-    for _ in range(MAX_ROUNDS):
+    follow = held.where("action <> 'setNull'").join(free, KEY, "left_anti")
+    front = _kept(_default_holds(lost, defaults, free).where("action <> 'setDefault' or not _default").select(*KEY).distinct())
+    hidden = front
+    if front.isEmpty():
+        return hidden
+    # a row in between must not be one that its own root hides
+    sure = follow.where("action <> 'setDefault'")
+    more = shortcuts(sure.join(_keys(free, "target_tbl", "value"), ["target_tbl", "value"], "left_anti").select(*KEY, "target_tbl", "value"))
+    if more is not None:
+        nothing = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns if c not in (*KEY, "target_tbl", "value", "action")]
+        follow = follow.unionByName(more.select(*KEY, "target_tbl", "value", F.lit("noAction").alias("action"), *nothing))
+    while True:
+        reached = follow.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi")
+        lost = _kept(lost.where("action = 'setDefault'").unionByName(reached.select(lost.columns)).join(hidden, KEY, "left_anti"))
         judged = _default_holds(lost, defaults, free.unionByName(hidden)).where("action <> 'setDefault' or not _default")
-        front = cut(judged.select(*KEY).distinct().join(hidden, KEY, "left_anti"))
+        front = _kept(judged.select(*KEY).distinct())
         if front.isEmpty():
             return hidden
         hidden = hidden.unionByName(front)
-        reached = follow.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(free, KEY, "left_anti")
-        lost = cut(lost.where("action = 'setDefault'").unionByName(reached.select(lost.columns)).join(hidden, KEY, "left_anti"))
-    raise RuntimeError("missing parents did not settle")
 
 
 def visibility(nodes: DataFrame, refs: DataFrame) -> DataFrame:
@@ -102,29 +160,32 @@ def visibility(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
     Deletions are accepted with their cascade closures unless a row outside still needs one of the closure's rows: by a
     restricting reference, or by a default that cannot be shown. All such roots are rejected together, and the rest is
-    tried again. A root whose closure is covered by a smaller root is not tested in that round. Being blocked climbs the
-    cascade from the needed row to its roots, so no table of (root, row) pairs is ever built.
+    tried again; rows that a root which stays leads keep their lead. A root whose closure is covered by a smaller root is
+    not tested in that round. Being blocked climbs the cascade from the needed row to its roots, so no table of (root,
+    row) pairs is ever built.
     """
     exists = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.lit(True).alias("_exists"))
     marked = staged(refs.join(exists, ["target_tbl", "value"], "left"), "references")
     held, absent = marked.where("_exists").drop("_exists"), marked.where("_exists is null").drop("_exists")
-    links = held.where("action = 'cascade'").select(*KEY, "target_tbl", "value")
+    links = with_shortcuts(held.where("action = 'cascade'"))
     defaults = _defaults(refs, nodes)
-    roots = nodes.where("deleted").select(*KEY)
+    roots = _kept(nodes.where("deleted").select(*KEY))
+    labels = closure(roots, links)
     while True:
-        labels = closure(roots, links)
         hidden = labels.select(*KEY).unionByName(missing_hidden(held, absent, defaults, labels))
         needing = held.where("action <> 'setNull'").join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(hidden, KEY, "left_anti")
         blocked = _default_holds(needing, defaults, hidden).where("action <> 'setDefault' or not _default")
-        blocked = cut(blocked.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct())
+        blocked = _kept(blocked.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct())
         if blocked.isEmpty():
             break
         blocked = _climbed(blocked, links, labels)
         leading = labels.where("lead.tbl = tbl and lead.row_id = row_id")
-        invalid = cut(roots.join(leading, KEY, "left_semi").join(blocked, KEY, "left_semi"))
+        invalid = _kept(leading.select(*KEY).join(blocked, KEY, "left_semi"))
         if invalid.isEmpty():
             break
-        roots = cut(roots.join(invalid, KEY, "left_anti"))
+        roots = _kept(roots.join(invalid, KEY, "left_anti"))
+        of_invalid = invalid.select(F.struct("tbl", "row_id").alias("lead"))
+        labels = closure(roots, links, _kept(labels.join(of_invalid, "lead", "left_anti").select(*KEY, "lead")))
     shown = nodes.join(hidden.withColumn("hidden", F.lit(True)), KEY, "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
     own = values.visibility(F.col("reason"), F.lit(True))
     live = F.when(F.col("deleted"), 2).otherwise(0)
@@ -135,13 +196,86 @@ def _climbed(blocked: DataFrame, links: DataFrame, labels: DataFrame) -> DataFra
     """Blocked rows and those whose closure holds one."""
     within = links.join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi")
     front = blocked
-    for _ in range(MAX_ROUNDS):
+    while True:
         up = within.join(front, KEY, "left_semi").select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct()
-        front = cut(up.join(blocked, KEY, "left_anti"))
+        front = _kept(up.join(blocked, KEY, "left_anti"))
         if front.isEmpty():
             return blocked
         blocked = blocked.unionByName(front)
-    raise RuntimeError("blocked roots did not settle")
+
+
+def scope(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What a projection of some rows has to read (P1, P17): (tbl, row_id, inner). Inner rows are those whose state may change with the
+    seeds: what refers to an inner row, also by a default, and the deleted rows above one. The others are only what inner
+    rows refer to, and so on upwards. A row that many refer to is entered from below without all that refers to it."""
+    edges = refs.select(*KEY, "target_tbl", "value").unionByName(
+        refs.where("action = 'setDefault' and default_id is not null").select(*KEY, "target_tbl", F.col("default_id").alias("value"))
+    )
+    edges = _kept(edges.distinct())
+    quick = with_shortcuts(edges)
+    deleted = nodes.where("deleted").select(*KEY)
+    inner = outer = nodes.select(*KEY).limit(0)
+    front = _kept(seeds.select(*KEY).distinct())
+    while not front.isEmpty():
+        while not front.isEmpty():  # down
+            inner = inner.unionByName(front)
+            down = quick.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").select(*KEY).distinct()
+            front = _kept(down.join(inner, KEY, "left_anti"))
+        inner = _kept(inner)
+        reach = inner.unionByName(outer)
+        up = _kept(_above(edges, inner).join(reach, KEY, "left_anti"))
+        while not up.isEmpty():
+            outer = outer.unionByName(up)
+            reach = reach.unionByName(up)
+            up = _kept(_above(edges, up).join(reach, KEY, "left_anti"))
+        outer = _kept(outer)
+        front = _kept(outer.join(deleted, KEY, "left_semi").join(inner, KEY, "left_anti"))
+    return _kept(inner.withColumn("inner", F.lit(True)).unionByName(outer.join(inner, KEY, "left_anti").withColumn("inner", F.lit(False))))
+
+
+def _above(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    return edges.join(rows.select(*KEY), KEY, "left_semi").select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct()
+
+
+def project(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``visibility`` of the rows that may change with ``seeds`` (Z10), from their scope alone; the same as the whole projection gives them."""
+    part = scope(nodes, refs, seeds)
+    own = _kept(visibility(nodes.join(part.select(*KEY), KEY, "left_semi"), refs.join(part.select(*KEY), KEY, "left_semi")))
+    return own.join(part.where("inner").select(*KEY), KEY, "left_semi")
+
+
+def overlaid(refs: DataFrame, overlays: DataFrame) -> DataFrame:
+    """References as planned writes would leave them (R10, P2): ``overlays`` has (tbl, row_id, col, value); a null takes the
+    reference away. Projecting these tells what a local write would show."""
+    key = [*KEY, "col"]
+    new = overlays.select(*key, F.struct("value").alias("_new"))
+    joined = refs.join(new, key, "left")
+    value = F.when(F.col("_new").isNotNull(), F.col("_new.value")).otherwise(F.col("value"))
+    return joined.withColumn("value", value).where("value is not null").select(refs.columns)
+
+
+def restored_references(shown: DataFrame, stored: DataFrame, pending: DataFrame) -> DataFrame:
+    """What may be written before a batch's inserts (P15): a reference (``shown``) of a row that is there to one that is still to be
+    inserted keeps its stored value. ``pending`` has (tbl, row_id); rows that are themselves pending carry theirs along."""
+    waits = _keys(pending, "target_tbl", "shown").withColumn("_waits", F.lit(True))
+    own = pending.select(*KEY).withColumn("_own", F.lit(True))
+    joined = shown.join(waits, ["target_tbl", "shown"], "left").join(own, KEY, "left").join(stored.select(*KEY, "col", F.col("value").alias("_stored")), [*KEY, "col"], "left")
+    return joined.withColumn("shown", F.when(F.col("_waits") & F.col("_own").isNull(), F.col("_stored")).otherwise(F.col("shown"))).select(shown.columns)
+
+
+def attempts(wanted: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """What the store of attempted values needs (Z12): ``insert`` or ``update`` of fields whose shown value is not the authored one,
+    ``delete`` of those kept so far without need; equal ones are left out. ``wanted`` has ``authored`` and ``shown``."""
+    need = wanted.where(~F.col("authored").eqNullSafe(F.col("shown"))).select(*key, F.struct("authored").alias("_new"))
+    joined = need.join(stored.select(*key, F.struct("value").alias("_old")), key, "full")
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(~F.col("_new.authored").eqNullSafe(F.col("_old.value")), "update")
+    return joined.select(*key, F.col("_new.authored").alias("value"), action.alias("action")).where("action is not null")
+
+
+def visibility_writes(stored: DataFrame, projected: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose stored visibility is not the projected one, with both (Z14): all that has to be written."""
+    old = stored.select(*key, F.col("visibility").alias("before"))
+    return projected.select(*key, "visibility").join(old, key, "left").where(~F.col("visibility").eqNullSafe(F.col("before")))
 
 
 def repaired(refs: DataFrame, nodes: DataFrame, current: Column | None = None) -> DataFrame:

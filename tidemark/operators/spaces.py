@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import NotAMember, ReadOnlyMember
 from ..functions import hlc as clocks
 
 ROLES = ("readOnly", "readWrite")
@@ -29,6 +30,29 @@ def unauthorized(changes: DataFrame, granted: DataFrame) -> DataFrame:
     return changes.join(granted.where("role = 'readWrite'").select("user", "space"), ["user", "space"], "left_anti")
 
 
+def acting(requests: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds ``outcome`` to requests (user, space) to act in a space (Z2): ``allowed`` in one's own and where the role is readWrite,
+    ``notMember`` without a role, ``readOnly`` with another one. A user has one role per space, the best of what is stored."""
+    role = members.groupBy("user", "space").agg(F.max(F.col("role") == "readWrite").alias("_writes"))
+    joined = requests.join(role, ["user", "space"], "left")
+    outcome = F.when((F.col("user") == F.col("space")) | F.col("_writes"), "allowed").when(F.col("_writes").isNull(), "notMember").otherwise("readOnly")
+    return joined.withColumn("outcome", outcome).drop("_writes")
+
+
+def require_acting(members: DataFrame, user: str, space: str) -> None:
+    """Raises NotAMember or ReadOnlyMember where ``acting`` does not allow it."""
+    request = members.sparkSession.createDataFrame([(user, space)], "user string, space string")
+    outcome = acting(request, members).first()["outcome"]
+    if outcome != "allowed":
+        raise (NotAMember if outcome == "notMember" else ReadOnlyMember)(f"{user} in {space}")
+
+
+def registered(stored: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
+    """The registry of nodes after a batch (M12): what is stored, and each newly seen key once (``found`` tells which was known)."""
+    fresh = seen.select(*key).distinct().join(stored.select(*key), key, "left_anti")
+    return stored.select(*key, F.lit(True).alias("found")).unionByName(fresh.withColumn("found", F.lit(False)))
+
+
 def pruned(local: DataFrame, granted: DataFrame) -> DataFrame:
     """What a follower's membership table needs (T10, T22): upsert granted, delete what is no longer granted, keep the rest."""
     old, new = local.withColumnRenamed("role", "_old"), granted.withColumnRenamed("role", "_new")

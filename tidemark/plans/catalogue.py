@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import constraints, logs, outbound, reads, rest
+from . import constraints, local, logs, outbound, reads, rest
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (logs, reads, constraints, outbound, rest)
+MODULES = (logs, reads, constraints, outbound, rest, local)
 
 
 def queries() -> dict[str, Query]:

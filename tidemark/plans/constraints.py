@@ -32,12 +32,16 @@ SUPPLIER_HIDDEN = """sh AS (SELECT s_suppkey, s_acctbal < 0 AND NOT (EXISTS (SEL
     AND s_suppkey IN (SELECT l_suppkey FROM ln JOIN lh USING (line_id) WHERE NOT hidden)) AS hidden FROM supplier)"""
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with an id of its own; of rows that share order and number the smallest values count."""
+    line = table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return line.groupBy("line_id").agg(*[F.min(c).alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")])
+
+
 def world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """nodes and refs of the star schema as replicated tables."""
     names = ("region", "nation", "customer", "part", "supplier")
-    tables = {n: table(spark, sf_dir, n) for n in names} | {"orders": table(spark, sf_dir, "orders").where(ARRIVED)}
-    line = table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    tables["line"] = line.groupBy("line_id").agg(*[F.min(c).alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")])
+    tables = {n: table(spark, sf_dir, n) for n in names} | {"orders": table(spark, sf_dir, "orders").where(ARRIVED), "line": lines(spark, sf_dir)}
     parts = [
         t.select(F.lit(n).alias("tbl"), F.col(IDS[n]).cast("string").alias("row_id"), F.coalesce(F.expr(DELETED.get(n, "false")), F.lit(False)).alias("deleted"), F.lit("userDelete").alias("reason"))
         for n, t in tables.items()
@@ -97,7 +101,8 @@ def _crdt(spark, sf_dir) -> DataFrame:
 @query(f"WITH {WORLD} {PRESENT}")
 def fk_target_presence(spark, sf_dir):
     """Whether referenced rows are absent, hidden or visible."""
-    refs = world(spark, sf_dir)[1].where("col in ('l_orderkey', 'l_partkey')")
+    edges = [e for e in EDGES if e.column in ("l_orderkey", "l_partkey")]
+    refs = projection.references({"line": lines(spark, sf_dir)}, edges, IDS)
     return projection.target_presence(refs, _crdt(spark, sf_dir)).select("row_id", "col", "presence")
 
 

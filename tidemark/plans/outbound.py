@@ -266,7 +266,8 @@ def record_updates(spark, sf_dir):
 @query("""WITH r AS (SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS row_id, 0 AS st FROM customer WHERE c_acctbal < 0),
   k AS (SELECT 'orders' AS tbl, CAST(o_orderkey AS VARCHAR) AS row_id, 1 AS st FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)), b AS (SELECT * FROM r UNION ALL SELECT * FROM k),
   g AS (SELECT *, CASE WHEN CAST(row_id AS BIGINT) % 5 = 0 AND tbl = 'orders' THEN 1 + CAST(row_id AS BIGINT) % 2 ELSE NULL END AS fl FROM b)
-  SELECT tbl, row_id, CAST(CASE WHEN fl IS NULL THEN 2 ELSE fl + 1 END AS INTEGER) AS cl_flag, CASE st WHEN 0 THEN 'userDelete' ELSE 'userCascadeDelete' END AS reason FROM g WHERE fl IS NULL OR fl % 2 = 1""")
+  SELECT tbl, row_id, CAST(CASE WHEN fl IS NULL THEN 2 ELSE fl + 1 END AS INTEGER) AS cl_flag, CASE st WHEN 0 THEN 'userDelete' ELSE 'userCascadeDelete' END AS reason, 1 AS hlc_ms,
+    CAST(row_number() OVER (ORDER BY st, CAST(row_id AS BIGINT)) - 1 AS INTEGER) AS hlc_counter FROM g WHERE fl IS NULL OR fl % 2 = 1""")
 def record_deletes(spark, sf_dir):
     """Soft deletes with their cascade and next generations; rows already deleted are left."""
     at = {"space": F.lit("s"), "node": F.lit("n"), "wall_ms": F.lit(1)}
@@ -274,7 +275,7 @@ def record_deletes(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     taken = orders.join(roots.select(F.col("seq").alias("o_custkey")), "o_custkey", "left_semi").select(F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_id"), F.col("o_orderkey").alias("seq")).withColumns(at)
     flags = orders.where("o_orderkey % 5 = 0").select(F.lit("s").alias("space"), F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_id"), (1 + F.col("o_orderkey") % 2).cast("int").alias("cl_flag"))
-    return record.deletes(roots, taken, flags).select("tbl", "row_id", "cl_flag", "reason")
+    return record.deletes(roots, taken, flags).select("tbl", "row_id", "cl_flag", "reason", F.col("hlc.ms").alias("hlc_ms"), F.col("hlc.counter").alias("hlc_counter"))
 
 
 @query(f"WITH {WR} SELECT row_id, CAST(seq % 4 + 1 AS INTEGER) AS cl_flag, 'userReinsert' AS reason FROM w WHERE seq % 4 > 0 AND seq % 2 = 0")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column as SqlColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import SchemaMismatch
+
 ACTIONS = ("cascade", "restrict", "noAction", "setNull", "setDefault")
 
 
@@ -126,6 +129,39 @@ def schema_hash(tables: list[Table]) -> str:
     return f"{uuid.uuid5(uuid.NAMESPACE_URL, text)}:{uuid.uuid5(uuid.NAMESPACE_OID, text)}"
 
 
+def compatibility(own: SqlColumn | str, peer: SqlColumn) -> SqlColumn:
+    """What a peer's hash says before a session (T9): ``unknown`` without one, else ``compatible`` or ``mismatch``."""
+    mine = F.lit(own) if isinstance(own, str) else own
+    return F.when(peer.isNull() | (peer == ""), "unknown").when(peer == mine, "compatible").otherwise("mismatch")
+
+
+def require_peer(own: str, peer: str | None) -> None:
+    """Raises SchemaMismatch unless a session's peer has the same hash; none at all is not accepted."""
+    if peer != own:
+        raise SchemaMismatch(f"received {peer!r}, expected {own!r}")
+
+
+def reference_columns(edges: list[ForeignKey], table: str) -> set[str]:
+    """Columns of a table that are references."""
+    return {e.column for e in edges if e.table == table}
+
+
+def may_affect_references(edges: list[ForeignKey], table: str, touched: set[str]) -> bool:
+    """Whether a write may change what references show: it touches one, or the id that others name."""
+    return bool(touched & reference_columns(edges, table)) or ("id" in touched and any(e.parent == table for e in edges))
+
+
+def default_consumers(edges: list[ForeignKey]) -> set[str]:
+    """Tables whose references may fall back on a default row."""
+    return {e.table for e in edges if e.on_delete == "setDefault" and e.default is not None}
+
+
+def direct_columns(tables: list[Table], name: str) -> set[str]:
+    """Columns that no reference or unique index names: authored values go straight to them, without projection."""
+    t = next(t for t in tables if t.name == name)
+    return {c.name for c in t.columns} - {k.column for k in t.foreign_keys} - {c for i in t.indexes for c in i.columns}
+
+
 def reconcile(registered: DataFrame, wanted: DataFrame) -> DataFrame:
     """What a stored registry of (tbl, column, type) needs (Z9): insert, update or delete per column; equal ones are left out."""
     old, new = registered.withColumnRenamed("type", "_old"), wanted.withColumnRenamed("type", "_new")

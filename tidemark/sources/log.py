@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hlc as clocks
@@ -35,10 +37,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{SCHEMA}, batch_id long").parquet(path)
 
 
-def encoded(changes: DataFrame) -> DataFrame:
-    """Wire frames: each change as JSON with its payload measure in UTF-16 units."""
+def encoded(changes: DataFrame, measure: Callable[[Column], Column] = values.utf16_length) -> DataFrame:
+    """Wire frames: each change as JSON with its payload measure, by default in UTF-16 units."""
     text = F.to_json(F.struct(*changes.columns))
-    return changes.withColumn("frame", text).withColumn("frame_chars", values.utf16_length(F.col("frame")))
+    return changes.withColumn("frame", text).withColumn("frame_chars", measure(F.col("frame")))
 
 
 def decoded(frames: DataFrame, column: str = "frame") -> DataFrame:
@@ -50,6 +52,11 @@ def table(spark: SparkSession, url: str, name: str, *, key: str, low: int, high:
     return spark.read.jdbc(url, name, column=key, lowerBound=low, upperBound=high, numPartitions=partitions, properties=options)
 
 
+def save_table(rows: DataFrame, url: str, name: str, *, mode: str = "append", batch_rows: int = 10_000, **options: str) -> None:
+    """Writes a domain table over JDBC (S10), one connection and transaction per partition, in batches of rows."""
+    rows.write.mode(mode).option("batchsize", batch_rows).jdbc(url, name, properties=options)
+
+
 def raw(spark: SparkSession, text: str, **parameters: object) -> DataFrame:
     """A raw query with named parameters, never by pasting text."""
     return spark.sql(text, args=parameters)
