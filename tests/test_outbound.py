@@ -75,9 +75,10 @@ def test_units_equal_the_model(spark, seed):
     changes = make(seed)
     depends = [(3, 9), (8, 14)] if seed % 2 else []
     order, want = model(changes, depends)
-    rows = replicate.ordered(spark.createDataFrame(changes, CHANGES))
+    rows = replicate.ordered(spark.createDataFrame(changes, CHANGES), bucket_ms=3)
     frame = spark.createDataFrame([("s", a, b) for a, b in depends], "session string, dependent int, prerequisite int")
-    got = replicate.units(rows, frame).orderBy("pos").collect()
+    got = replicate.units(rows, frame, stretch=7).orderBy("pos").collect()
+    assert got == replicate.units(replicate.ordered(spark.createDataFrame(changes, CHANGES)), frame).orderBy("pos").collect()
     assert [(r.kind, r.tbl, r.row_id, r.column) for r in got] == [c[1:5] for c in order]
     for level in ("part", "grp", "unit"):
         assert [r[level] for r in got] == want[level]

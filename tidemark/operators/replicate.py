@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hlc as clocks
 from ..functions import values
-from ..sources.shared import shipped
+from ..sources.shared import shipped, staged
 from .merge import State, sparse_clocks
 
 KINDS = ("insert", "update", "delete")
@@ -94,10 +96,42 @@ def resolved(changes: DataFrame, fields: DataFrame, attempted: DataFrame) -> Dat
     return joined.select(*changes.columns, value.alias("value"), lost.alias("missing"))
 
 
-def ordered(changes: DataFrame, by: str = "session") -> DataFrame:
-    """Adds ``pos``: clock, then insert before update before delete, then table, row and column (W5), within each session."""
+def ordered(changes: DataFrame, by: str = "session", *, tie: list[str] = (), bucket_ms: int = 60_000) -> DataFrame:
+    """Adds ``pos``: clock, then insert before update before delete, then table, row and column, then ``tie`` (W5), within each session.
+
+    In two levels: rows are numbered within stretches of ``bucket_ms`` of the clock, and the stretches' counts run along the
+    session; so a session with very many changes is many tasks' work.
+    """
     kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    return changes.withColumn("pos", F.row_number().over(W.partitionBy(by).orderBy("hlc", kind, "tbl", "row_id", F.coalesce("column", F.lit("")))))
+    rows = changes.withColumn("_bucket", F.floor(F.col("hlc.ms") / bucket_ms))
+    earlier = W.partitionBy(by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    passed = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n")).select(by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_passed"))
+    within = F.row_number().over(W.partitionBy(by, "_bucket").orderBy("hlc", kind, "tbl", "row_id", F.coalesce("column", F.lit("")), *tie))
+    return rows.withColumn("_within", within).join(passed, [by, "_bucket"]).select(*changes.columns, (F.col("_passed") + F.col("_within")).alias("pos"))
+
+
+def _stretched(rows: DataFrame, stretch: int) -> DataFrame:
+    return rows.withColumn("_stretch", F.floor((F.col("pos") - 1) / stretch))
+
+
+def _running(rows: DataFrame, keys: list[str], sums: dict[str, Column], *, to_current: bool) -> DataFrame:
+    """Adds running sums along the positions of each key, in two levels: within stretches, and over the stretches' totals."""
+    inside = W.partitionBy(*keys, "_stretch").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow if to_current else -1)
+    earlier = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_stretch").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    bases = totals.select(*keys, "_stretch", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums])
+    own = rows.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    joined = own.join(bases, [*keys, "_stretch"])
+    return joined.withColumns({n: F.col(f"_base_{n}") + F.col(f"_own_{n}") for n in sums}).drop(*[f"_{k}_{n}" for k in ("base", "own") for n in sums])
+
+
+def _before(rows: DataFrame, keys: list[str], what: list[str]) -> DataFrame:
+    """Adds ``_prior``, a struct of the columns ``what`` of the row before along the positions of each key (null at the first)."""
+    row = F.struct(*what)
+    inside = F.lag(row).over(W.partitionBy(*keys, "_stretch").orderBy("pos"))
+    along = W.partitionBy(*keys).orderBy("_stretch")
+    last = rows.groupBy(*keys, "_stretch").agg(F.max_by(row, "pos").alias("_last")).select(*keys, "_stretch", F.lag("_last").over(along).alias("_carried"))
+    return rows.withColumn("_inside", inside).join(last, [*keys, "_stretch"]).withColumn("_prior", F.coalesce("_inside", "_carried")).drop("_inside", "_carried")
 
 
 def dependencies(changes: DataFrame, references: DataFrame, by: str = "session") -> DataFrame:
@@ -108,31 +142,32 @@ def dependencies(changes: DataFrame, references: DataFrame, by: str = "session")
     return met.where("prerequisite > dependent").select(by, "dependent", "prerequisite").distinct()
 
 
-def units(changes: DataFrame, depends: DataFrame | None = None, by: str = "session") -> DataFrame:
+def units(changes: DataFrame, depends: DataFrame | None = None, by: str = "session", *, stretch: int = 65536) -> DataFrame:
     """Adds part, grp and unit numbers to ordered changes (W7, W8): a batch ends between parts, should between groups, better between units.
 
     What belongs together is a range of positions, and a cut is allowed where no range is open: ranges become +1 and -1
-    at their ends, a running sum counts open ones, and a second running sum counts cuts. All of it is windows over the
-    session's positions.
+    at their ends, a running sum counts open ones, and a second running sum counts cuts. Running sums and looks at the
+    change before go by stretches of positions, whose totals are carried on; only an unbroken run of one node's deletes
+    is one window.
     """
-    line = W.partitionBy(by).orderBy("pos")
-    rows = changes.withColumn("_next", F.lead("hlc").over(line))
+    changes = staged(changes, "ordered")  # each of the ranges reads them
+    rows = _stretched(changes, stretch).withColumn("_node", F.col("hlc.node"))
+    rows = _before(rows, [by], ["hlc"]).withColumn("_same_clock", F.coalesce(F.col("_prior.hlc") == F.col("hlc"), F.lit(False))).drop("_prior")
     row = W.partitionBy(by, "tbl", "row_id")
     insert = F.max(F.when(F.col("kind") == "insert", F.col("pos"))).over(row)
-    node_line = W.partitionBy(by, "hlc.node").orderBy("pos")
-    before = lambda c: F.lag(c).over(node_line)
-    rows = rows.withColumns({
-        "_insert": insert, "_first": F.min("pos").over(row), "_chain": F.coalesce(clocks.follows(F.col("hlc"), before("hlc")), F.lit(False)),
-        "_prev": before("pos"), "_same_row": (before("tbl") == F.col("tbl")) & (before("row_id") == F.col("row_id")),
+    prior = lambda c: F.col(f"_prior.{c}")
+    rows = _before(rows, [by, "_node"], ["pos", "hlc", "tbl", "row_id"]).withColumns({
+        "_insert": insert, "_first": F.min("pos").over(row), "_chain": F.coalesce(clocks.follows(F.col("hlc"), prior("hlc")), F.lit(False)),
+        "_prev": prior("pos"), "_same_row": (prior("tbl") == F.col("tbl")) & (prior("row_id") == F.col("row_id")),
         "_cascade": F.coalesce((F.col("kind") == "delete") & (F.col("reason") == "userCascadeDelete"), F.lit(False)),
         "_tomb": F.coalesce((F.col("kind") == "delete") & F.col("reason").isin("userDelete", "userCascadeDelete"), F.lit(False)),
-    })
-    same_clock = rows.where("_next = hlc").select(by, F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"), F.lit("part").alias("level"))
+    }).drop("_prior", "cl_flag", "column", "kind", "reason", "hlc")
+    rows = staged(rows, "ordered-marks")
+    same_clock = rows.where("_same_clock").select(by, (F.col("pos") - 1).alias("lo"), F.col("pos").alias("hi"), F.lit("part").alias("level"))
     with_insert = rows.where("pos = _insert and _first < pos").select(by, F.col("_first").alias("lo"), F.col("pos").alias("hi"), F.lit("part").alias("level"))
     one_write = rows.where("_chain and _same_row").select(by, F.col("_prev").alias("lo"), F.col("pos").alias("hi"), F.lit("grp").alias("level"))
     # islands of deletes of a node, then of unbroken stamps within them
-    run = F.sum(F.when(~F.col("_tomb"), 1).otherwise(0)).over(node_line)
-    tombs = rows.withColumn("_run", run).where("_tomb").withColumn("_node", F.col("hlc.node"))
+    tombs = _running(rows, [by, "_node"], {"_run": F.when(~F.col("_tomb"), 1).otherwise(0)}, to_current=True).where("_tomb")
     island = W.partitionBy(by, "_node", "_run")
     in_run = island.orderBy("pos")
     tombs = tombs.withColumns({"_start": F.min("pos").over(island), "_last": F.max(F.when(F.col("_cascade"), F.col("pos"))).over(island), "_first_cascade": F.min(F.when(F.col("_cascade"), F.col("pos"))).over(island)})
@@ -148,59 +183,81 @@ def units(changes: DataFrame, depends: DataFrame | None = None, by: str = "sessi
     ends = every.select(by, "level", F.inline(F.array(F.struct(F.col("lo").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("pos"), F.lit(-1).alias("d")))))
     names = ("part", "grp", "unit")
     steps = ends.groupBy(by, "pos").agg(*[F.sum(F.when(F.col("level") == n, F.col("d")).otherwise(0)).alias(f"_{n}") for n in names])
-    open_ranges = rows.select(*changes.columns).join(steps, [by, "pos"], "left").na.fill(0, [f"_{n}" for n in names])
-    so_far = line.rowsBetween(W.unboundedPreceding, W.currentRow)
-    depth = open_ranges.withColumns({f"_{n}": F.sum(f"_{n}").over(so_far) for n in names})
+    places = _stretched(changes.select(by, "pos"), stretch).join(steps, [by, "pos"], "left").na.fill(0, [f"_{n}" for n in names])
     covers = {"part": F.col("_part"), "grp": F.col("_part") + F.col("_grp"), "unit": F.col("_part") + F.col("_grp") + F.col("_unit")}
-    cut = depth.withColumns({f"_cut_{n}": F.when(c == 0, 1).otherwise(0) for n, c in covers.items()})
-    earlier = line.rowsBetween(W.unboundedPreceding, -1)
-    return cut.select(*changes.columns, *[F.coalesce(F.sum(f"_cut_{n}").over(earlier), F.lit(0)).alias(n) for n in names])
+    depth = _running(places, [by], {f"_open_{n}": c for n, c in covers.items()}, to_current=True)
+    cuts = {n: F.when(F.col(f"_open_{n}") == 0, 1).otherwise(0) for n in names}
+    numbered = _running(depth, [by], cuts, to_current=False).select(by, "pos", *names)
+    return changes.join(numbered, [by, "pos"]).select(*changes.columns, *names)
 
 
 def prefix(units_of: DataFrame, max_changes: int, by: str = "session") -> DataFrame:
-    """The units an empty batch takes under a change limit (W10): the first whatever its size, then those whose running total fits."""
-    sizes = units_of.groupBy(by, "unit").agg(F.count("*").alias("n"))
+    """The units an empty batch takes under a change limit (W10): the first whatever its size, then those whose running total fits.
+    A unit has a change at least, so no more than the limit's number of units are looked at."""
+    sizes = units_of.where(F.col("unit") <= max_changes).groupBy(by, "unit").agg(F.count("*").alias("n"))
     line = W.partitionBy(by).orderBy("unit")
     taken = sizes.withColumn("_sum", F.sum("n").over(line)).withColumn("_k", F.row_number().over(line)).where((F.col("_k") == 1) | (F.col("_sum") <= max_changes))
     return units_of.join(taken.select(by, "unit"), [by, "unit"], "left_semi")
 
 
+class Cutter:
+    """Cuts one session's units, in order, into batches under a budget."""
+
+    def __init__(self, budget: Budget):
+        self.budget, self.number, self.changes, self.payload = budget, 0, 0, 0
+
+    def fits(self, changes: int, payload: int) -> bool:
+        most, load = self.budget.max_changes, self.budget.max_payload
+        return (most is None or changes <= most) and (load is None or payload <= load)
+
+    def place(self, parts: list[tuple], level: int = 0) -> list[int]:
+        """The batch of each part (unit, grp, part, changes, payload) of one block."""
+        changes, payload = sum(p[3] for p in parts), sum(p[4] for p in parts)
+        if not self.fits(self.changes + changes, self.payload + payload):
+            if self.changes:
+                self.number, self.changes, self.payload = self.number + 1, 0, 0
+            if level < 2 and not self.fits(changes, payload):
+                return [n for _, inner in groupby(parts, key=lambda p: p[level + 1]) for n in self.place(list(inner), level + 1)]
+        self.changes, self.payload = self.changes + changes, self.payload + payload
+        return [self.number] * len(parts)
+
+
+CUT = "session string, unit long, grp long, part long, changes long, payload long, batch long"
+
+
 def batches(parts: DataFrame, budget: Budget, by: str = "session") -> DataFrame:
     """Cuts all rounds of a session at once (W11): adds ``batch`` to one row per part (session, unit, grp, part, changes, payload).
 
     A batch takes whole units while they fit; a unit that exceeds an empty batch goes by groups, such a group by parts,
     and a part that alone exceeds the budget is a batch. The cut depends on all before it, so a session's parts (not
-    its changes) are read in order by one task; sessions are independent.
+    its changes) stream through one task in order, which holds the open unit; sessions are independent.
     """
 
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("part")
-        number, changes, payload = 0, 0, 0
-        out: list[int] = []
-
-        def fits(c: int, p: int, used_c: int, used_p: int) -> bool:
-            return (budget.max_changes is None or used_c + c <= budget.max_changes) and (budget.max_payload is None or used_p + p <= budget.max_payload)
-
-        def place(block: pd.DataFrame, levels: tuple[str, ...]) -> None:
-            nonlocal number, changes, payload
-            c, p = int(block["changes"].sum()), int(block["payload"].sum())
-            if not fits(c, p, changes, payload):
-                if changes:
-                    number, changes, payload = number + 1, 0, 0
-                if levels and not fits(c, p, 0, 0):
-                    for _, inner in block.groupby(levels[0], sort=True):
-                        place(inner, levels[1:])
-                    return
-            out.extend([number] * len(block))
-            changes, payload = changes + c, payload + p
-
-        for _, unit in frame.groupby("unit", sort=True):
-            place(unit, ("grp", "part"))
-        return frame.assign(batch=out)
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, session, unit = Cutter(budget), None, []
+        for batch in found:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("session", "unit", "grp", "part", "changes", "payload")), strict=True):
+                if unit and (row[0], row[1]) != (session, unit[0][0]):
+                    out += [(session, *p, n) for p, n in zip(unit, cutter.place(unit), strict=True)]
+                    unit = []
+                if row[0] != session:
+                    cutter, session = Cutter(budget), row[0]
+                unit.append(row[1:])
+            if out:
+                yield _cut_rows(out)
+        if unit:
+            yield _cut_rows([(session, *p, n) for p, n in zip(unit, cutter.place(unit), strict=True)])
 
     shipped(parts.sparkSession)
-    fields = "session string, unit long, grp long, part long, changes long, payload long, batch long"
-    return parts.selectExpr(f"cast({by} as string) as session", "cast(unit as long) as unit", "cast(grp as long) as grp", "cast(part as long) as part", "cast(changes as long) as changes", "cast(payload as long) as payload").groupBy("session").applyInPandas(cut, fields)
+    own = parts.selectExpr(f"cast({by} as string) as session", *[f"cast({c} as long) as {c}" for c in ("unit", "grp", "part", "changes", "payload")])
+    return own.repartition("session").sortWithinPartitions("session", "part").mapInArrow(run, CUT)
+
+
+def _cut_rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in CUT.split(", ")]
+    types = [pa.string(), *[pa.int64()] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def chunks(changes: DataFrame, size: int = 100, by: str = "session") -> DataFrame:

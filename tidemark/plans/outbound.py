@@ -42,7 +42,7 @@ def outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_order(spark, sf_dir) -> DataFrame:
     """Positions as the library gives them; the event's id settles what is equal in all keys."""
-    return replicate.ordered(outbound(spark, sf_dir).orderBy("event_id"))
+    return replicate.ordered(outbound(spark, sf_dir), tie=["event_id"], bucket_ms=256).withColumn("pos", F.col("pos").cast("int"))
 
 
 @query(f"WITH {EV}, {OUT} SELECT s AS session, pos, kind, row_id, col AS \"column\", hr AS hlc_ms, c AS hlc_counter FROM o")
