@@ -222,6 +222,24 @@ def test_archives_come_back(spark, tmp_path, limit):
     assert files and all(int.from_bytes(f[:4], "little") == warc.DICTIONARY_FRAME for f in files)
 
 
+def test_text_files_keep_any_bytes(spark, tmp_path):
+    data = bytes(range(256)) * 3 + b"\xff\xfe\r\n\n" + b"\xed\xa0\x80"
+    frame = spark.createDataFrame([(data,), (data[::-1],)], "frame binary").coalesce(1)
+    frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", warc.BETWEEN).text(str(tmp_path / "t"))
+    written = next(p.read_bytes() for p in (tmp_path / "t").glob("part-*") if p.stat().st_size)
+    between = warc.BETWEEN.encode("ascii")
+    assert written == data + between + data[::-1] + between
+
+
+def test_hot_payloads_are_met_like_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 3)
+    same, pair = "<p>hot</p>" * 20, "<p>pair</p>" * 20
+    rows = [(k, "u", same) for k in range(10, 30)] + [(k, "u", pair) for k in (3, 4)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: r.refers_to for r in warc.read_back(spark, str(tmp_path / "w")).collect()}
+    assert got == {10: None, 3: None, 4: 3} | {k: 10 for k in range(11, 30)}
+
+
 def test_an_archive_that_ends_early_is_an_error():
     data = b"".join(warc.archive(iter([warc.record(1, "u", b"x" * 500, hashlib.sha256(b"x" * 500).hexdigest(), None, "d")]), level=3, dictionary_bytes=500, sample_bytes=10))
     assert warc.parsed(next(iter(warc.frames(data))))[:2] == (1, 500)

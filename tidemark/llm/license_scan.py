@@ -93,12 +93,12 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     keys = _banded(pieces, ["template", "t_size", "t_at"], t_names, [F.when(F.col("t_size") == SHINGLE_WORDS, F.col(t_names[0]))]).distinct()
     few = keys.count() <= broadcast_keys
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("words"))
     last = F.size("words") - SHINGLE_WORDS
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(STEP)))
     names = [f"s{i}" for i in range(WINDOW)]
-    placed = texts.select("doc_id", "words", F.explode(starts).alias("at"))
-    windows = placed.select("doc_id", "words", "at", *[_shingle(F.col("words"), F.col("at") + i).alias(n) for i, n in enumerate(names)])
+    placed = texts.select("doc_id", "text_key", "words", F.explode(starts).alias("at"))
+    windows = placed.select("doc_id", "text_key", "words", "at", *[_shingle(F.col("words"), F.col("at") + i).alias(n) for i, n in enumerate(names)])
 
     own = [F.col(s) for s in names[:STEP]]  # those that the next window does not begin with
 
@@ -109,9 +109,9 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
         hits = _banded(windows, ["doc_id", "words", "at"], names, own).join(F.broadcast(keys), "key")
         regions = hits.select("doc_id", "template", start.alias("start"), _region(F.col("words"), start, F.col("t_size"), slack).alias("region")).distinct()
     else:
-        met = _banded(windows, ["doc_id", "at"], names, own).join(keys, "key").select("doc_id", "template", "t_size", start.alias("start")).distinct()
-        again = texts.withColumnRenamed("doc_id", "text_id")
-        regions = met.join(again, F.col("doc_id").eqNullSafe(F.col("text_id"))).select(
+        # by the text, so that rows without an id or with one that repeats meet their own text alone
+        met = _banded(windows, ["text_key", "at"], names, own).join(keys, "key").select("text_key", "template", "t_size", start.alias("start")).distinct()
+        regions = met.join(texts, "text_key").select(
             "doc_id", "template", "start", _region(F.col("words"), F.col("start"), F.col("t_size"), slack).alias("region")
         ).distinct()
     right = known.select("template", "license", "t_shingles")

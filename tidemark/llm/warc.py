@@ -19,6 +19,8 @@ from .common import shipped, staged
 FRAME, DICTIONARY, DICTIONARY_FRAME, SKIPPABLE = 0xFD2FB528, 0xEC30A437, 0x184D2A5D, 0x184D2A50
 #: What Spark's text writer puts between records: an empty skippable frame, which every reader passes over.
 BETWEEN = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
+#: Payloads are hot beyond this share of all rows and this number of rows.
+HOT_SHARE, HOT_ROWS = 1e-5, 1000
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,16 +81,22 @@ def archive(records: Iterator[bytes], *, level: int, dictionary_bytes: int, samp
 def with_reference(pages: DataFrame, id_col: str, url_col: str, payload_col: str, broadcast_revisits: int = 200_000) -> DataFrame:
     """page_id, url, payload, digest and refers_to: the smallest page_id of the equal payloads, null for that row itself.
 
-    Only ids and digests are grouped and joined. The revisits are staged and counted: up to ``broadcast_revisits`` of them
+    Only ids and digests are grouped and joined; groups of over ``HOT_SHARE`` of all rows (and ``HOT_ROWS``) meet their
+    rows by broadcast. The revisits are staged and counted: up to ``broadcast_revisits`` of them
     (some 100 bytes each) are broadcast, and payloads are written where they are read; more of them are met by a
     join that moves payloads once, by id and digest.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    keys = rows.where(F.octet_length("payload") >= LEAST_BYTES).select("page_id", "digest").distinct()
-    groups = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    revisits = keys.join(groups, "digest").where("not (page_id <=> refers_to)").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
+    keys = staged(rows.where(F.octet_length("payload") >= LEAST_BYTES).select("page_id", "digest").distinct(), "digests")
+    groups = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    hot = F.col("n") > max(HOT_ROWS, int(keys.count() * HOT_SHARE))
+    # at most 1 / HOT_SHARE groups can be hot
+    marked = keys.join(F.broadcast(groups.where(hot)), "digest", "left")
+    others = marked.where("n is null").select("page_id", "digest").join(groups.where(~hot), "digest")
+    again = marked.where("n is not null").select("page_id", "digest", "refers_to").unionByName(others.select("page_id", "digest", "refers_to"))
+    revisits = again.where("not (page_id <=> refers_to)").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
     revisits = staged(revisits, "revisits")
     revisits = F.broadcast(revisits) if revisits.count() <= broadcast_revisits else revisits
     same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
@@ -99,8 +107,9 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     """Writes one record per row of ``pages`` to archives in ``folder``, one archive per task, that is per input split
     (spark.sql.files.maxPartitionBytes) or, after a join, per shuffle partition.
 
-    Spark's text writer commits the files, so any file system that Spark writes to will do and a lost executor's files
-    are written again. Of records with equal payloads of at least 100 bytes, that with the smallest page_id is the
+    Spark's text writer commits the files (so they are named ``.txt``), so any file system that Spark writes to will do
+    and a lost executor's files are written again. It is given bytes that are no valid text, which it keeps as they are
+    (a test fails where it does not). Of records with equal payloads of at least 100 bytes, that with the smallest page_id is the
     response and others revisit it; rows that share this smallest id are all responses. A null payload is empty; a row
     with a null id revisits where it can and is never referred to; a null url has no target header. An empty table
     gives no archive. Extra columns are ignored.
