@@ -1,9 +1,12 @@
 """Scoped reads, local writes and streaming on micro-tables."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import accounts, merge, record, visibility
+from tidemark import errors
+from tidemark.operators import accounts, merge, record, spaces, visibility
+from tidemark.plans import schema
 from tidemark.sources import log as logs
 from tidemark.streaming import live
 
@@ -68,6 +71,57 @@ def test_stream_merge_is_idempotent_and_refuses_the_future(spark, tmp_path):
     assert merge.row_visibility(state).first().visibility == 0 and sink.state(spark, -1) is None
 
 
+def test_versions_take_turns(spark, tmp_path):
+    sink = live.MergeSink(str(tmp_path / "state"), {"note": ["title"]}, kept=2)
+    for k in range(4):
+        sink(spark.createDataFrame([("s", "note", str(k), "insert", None, None, {"title": "a"}, None, None, (k, 0, "a"))], logs.SCHEMA), k)
+    assert sink.newest == 3 and sink.state(spark, 3).rows.count() == 4 and sink.state(spark, 2).rows.count() == 3
+    assert len(list((tmp_path / "state").iterdir())) == 2
+    with pytest.raises(LookupError):
+        sink.state(spark, 1)
+
+
+def test_a_local_store_by_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/store;create=true"
+    rows = spark.range(1000).selectExpr("id as k", "concat('n', id) as name")
+    logs.save_table(rows, url, "note", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    logs.save_table(rows.selectExpr("k + 1000 as k", "name"), url, "note", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = logs.table(spark, url, "note", key="k", low=0, high=2000, partitions=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert back.rdd.getNumPartitions() == 4 and back.count() == 2000 and back.selectExpr("sum(k)").first()[0] == 1999 * 1000
+
+
+def test_refusals(spark):
+    members = spark.createDataFrame([("u", "s", "readOnly"), ("u", "t", "readWrite")], "user string, space string, role string")
+    spaces.require_acting(members, "u", "t")
+    spaces.require_acting(members, "u", "u")
+    with pytest.raises(errors.ReadOnlyMember):
+        spaces.require_acting(members, "u", "s")
+    with pytest.raises(errors.NotAMember):
+        spaces.require_acting(members, "v", "s")
+    with pytest.raises(errors.ForeignSpace):
+        record.require_own_space(members, "s")
+    schema.require_peer("h", "h")
+    for peer in ("", None, "g"):
+        with pytest.raises(errors.SchemaMismatch):
+            schema.require_peer("h", peer)
+
+
+def test_merging_in_another_order(spark):
+    early, late = ("s", "n", "1", "insert", None, None, {"t": "a"}, None, None, (1, 0, "a")), ("s", "n", "1", "insert", None, None, {"t": "b"}, None, None, (5, 0, "b"))
+    frames = [spark.createDataFrame([x], logs.SCHEMA) for x in (early, late)]
+    columns = {"n": ["t"]}
+    states = [merge.merged(merge.state_of(a, columns), b, columns) for a, b in (frames, frames[::-1])]
+    # registers agree, births are those that came first
+    assert [[r.value for r in s.fields.collect()] for s in states] == [["b"], ["b"]] and [s.rows.first().hlc.ms for s in states] == [1, 5]
+    whole = merge.state_of(frames[0].unionByName(frames[1]), columns, with_later_inserts=True)
+    assert whole.rows.first().hlc.ms == 1 and [(r.cl_flag, r.hlc.ms, r.reason) for r in whole.generations.collect()] == [(1, 5, "userInsert")]
+
+
+def test_payloads_are_measured_as_told(spark):
+    changes = spark.createDataFrame(LOG[:1], logs.SCHEMA)
+    assert logs.encoded(changes, F.octet_length).first().frame_chars == len(logs.encoded(changes).first().frame.encode())
+
+
 def test_watch_emits_changes_only(spark):
     emitted, result = [], {"rows": [(1,)]}
     watch = live.Watch(lambda s: s.createDataFrame(result["rows"], "v int"), lambda k, r: emitted.append(k), {"note"})

@@ -342,6 +342,9 @@ def _streamed(spark: SparkSession, rows: DataFrame, order: str, slices: int) ->
     """``rows`` as files that a stream reads one by one, cut into even stretches of ``order``."""
     folder = new_path(spark, "stream-input")
     low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        rows.limit(0).write.parquet(folder)
+        return folder
     place = F.floor((F.col(order) - F.lit(low)) * slices / F.lit(high - low + 1))
     for k in range(slices):  # a few files in their order of arrival
         rows.where(place == k).coalesce(1).write.mode("append").parquet(folder)
@@ -369,7 +372,8 @@ def _merged_stream(spark, sf_dir, **options) -> live.MergeSink:
 @query()
 def stream_merge(spark, sf_dir):
     """A log merged batch by batch from a stream."""
-    state = _merged_stream(spark, sf_dir).state(spark, 2)
+    sink = _merged_stream(spark, sf_dir)
+    state = sink.state(spark, sink.newest) or merge.state_of(logs_io.aligned(profile_log(spark, sf_dir)).limit(0), PROFILE)
     fields = merge.wide(state.fields, PROFILE["profile"])
     return merge.row_visibility(state).join(fields, merge.ROW).select("row_id", "name", "score", F.col("hlc.ms").alias("birth_ms"), "cl_flag", "visibility")
 

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a temporary one of this machine
+    will do in local mode; on a cluster it is an error, as executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+        folder = context.getCheckpointDir()
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = folder or tempfile.mkdtemp(prefix="tidemark-")
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -20,21 +20,27 @@ from ..sources.shared import shipped
 class MergeSink:
     """foreachBatch target: merges micro-batches into versioned state.
 
-    Every version is a folder of its own and the newest complete one counts, so a batch that is tried again, on a new
-    executor or after a restart, rewrites its own version only; registers make merging it twice harmless. Late changes
-    need no watermark, as clocks and not arrival decide (T19); stamps too far in the future are refused.
+    A version is a folder, one of ``kept`` that take turns; so the last ``kept`` versions are there to be read and older ones
+    give up their room. A batch that is tried again, on a new executor or after a restart, reads the version before its
+    own and rewrites its own only; registers make merging it twice harmless. Late changes need no watermark, as clocks
+    and not arrival decide (T19); stamps too far in the future are refused. Each batch writes the whole state anew.
     """
 
-    def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None):
-        self.folder, self.columns, self.now_ms, self.on_merge = folder, columns, now_ms, on_merge
+    def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None, kept: int = 3):
+        if kept < 2:
+            raise ValueError("a batch needs the version before its own")
+        self.folder, self.columns, self.now_ms, self.on_merge, self.kept = folder, columns, now_ms, on_merge, kept
+        self.newest = -1
 
     def path(self, version: int, part: str) -> str:
-        return f"{self.folder}/v{version:012d}/{part}"
+        return f"{self.folder}/v{version % self.kept}/{part}"
 
     def state(self, spark: SparkSession, version: int) -> merge.State | None:
-        """The state after micro-batch ``version``; None before the first."""
+        """The state after micro-batch ``version``, one of the last ``kept``; None before the first."""
         if version < 0:
             return None
+        if version <= self.newest - self.kept:
+            raise LookupError(f"version {version} is gone, the newest is {self.newest}")
         return merge.State(*(spark.read.parquet(self.path(version, p)) for p in ("rows", "fields", "generations")))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -46,6 +52,7 @@ class MergeSink:
         new = merge.state_of(changes, self.columns) if old is None else merge.merged(old, changes, self.columns)
         for name in ("rows", "fields", "generations"):
             getattr(new, name).write.mode("overwrite").parquet(self.path(batch_id, name))
+        self.newest = max(self.newest, batch_id)
         if self.on_merge:
             self.on_merge(batch_id, changes)
 
