@@ -104,7 +104,7 @@ def brute_text(turns):
     return "".join(f"<|im_start|>{role(r)}\n" + re.sub(r"<(\\*)\|", r"<\\\1|", t) + "<|im_end|>\n" for r, t in turns)
 
 
-@pytest.mark.parametrize(("budget", "history", "segments"), [(4096, 1024, 64), (300, 100, 2), (200, 200, 1), (500, 0, 3), (1000, 300, 5)])
+@pytest.mark.parametrize(("budget", "history", "segments"), [(4096, 1024, 64), (300, 100, 2), (200, 200, 1)])
 def test_windows_equal_brute_force(spark, budget, history, segments):
     rng = random.Random(budget)
     rows = [*CONVERSATIONS, *[(c, t, rng.choice(["user", "assistant", "system"]), "w <| " * rng.randrange(60)) for c in range(10, 16) for t in range(rng.randrange(1, 80))]]
