@@ -115,7 +115,7 @@ def test_projecting_some_rows_equals_the_whole(spark, seed, cyclic):
 
 
 def test_long_chains_settle(spark):
-    n = 3000
+    n = 1000
     nodes = spark.range(n).selectExpr("'t' as tbl", "cast(id as string) as row_id", "id = 0 as deleted", "'userDelete' as reason")
     refs = spark.range(1, n).selectExpr("'t' as tbl", "cast(id as string) as row_id", "'up' as col", "cast(id - 1 as string) as value", "'t' as target_tbl", "'cascade' as action", "true as nullable", "cast(null as string) as default_id")
     assert {r[0]: r[1] for r in projection.visibility(nodes, refs).groupBy("visibility").count().collect()} == {3: 1, 5: n - 1}

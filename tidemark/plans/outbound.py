@@ -266,7 +266,7 @@ def record_updates(spark, sf_dir):
 @query("""WITH r AS (SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS row_id, 0 AS st FROM customer WHERE c_acctbal < 0),
   k AS (SELECT 'orders' AS tbl, CAST(o_orderkey AS VARCHAR) AS row_id, 1 AS st FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)), b AS (SELECT * FROM r UNION ALL SELECT * FROM k),
   g AS (SELECT *, CASE WHEN CAST(row_id AS BIGINT) % 5 = 0 AND tbl = 'orders' THEN 1 + CAST(row_id AS BIGINT) % 2 ELSE NULL END AS fl FROM b)
-  SELECT tbl, row_id, CAST(CASE WHEN fl IS NULL THEN 2 ELSE fl + 1 END AS INTEGER) AS cl_flag, CASE st WHEN 0 THEN 'userDelete' ELSE 'userCascadeDelete' END AS reason, 1 AS hlc_ms,
+  SELECT tbl, row_id, CAST(CASE WHEN fl IS NULL THEN 2 ELSE fl + 1 END AS INTEGER) AS cl_flag, CASE st WHEN 0 THEN 'userDelete' ELSE 'userCascadeDelete' END AS reason, CAST(1 AS BIGINT) AS hlc_ms,
     CAST(row_number() OVER (ORDER BY st, CAST(row_id AS BIGINT)) - 1 AS INTEGER) AS hlc_counter FROM g WHERE fl IS NULL OR fl % 2 = 1""")
 def record_deletes(spark, sf_dir):
     """Soft deletes with their cascade and next generations; rows already deleted are left."""
