@@ -61,10 +61,13 @@ def _circles(pairs: set[tuple[str, str]]) -> list[tuple[str, str]]:
         reach = more
 
 
-def shortcuts(links: DataFrame) -> DataFrame | None:
+def shortcuts(links: DataFrame, pairs: set[tuple[str, str]] | None = None) -> DataFrame | None:
     """Links (tbl, row_id, target_tbl, value) to the rows 2, 4, 8, ... steps up, for rows with one parent within a circle of tables (there
-    alone can chains be longer than the schema); None where tables form no circle. They lead nowhere that links do not."""
-    circle = _circles({tuple(r) for r in links.select("tbl", "target_tbl").distinct().collect()})  # as many as the schema has
+    alone can chains be longer than the schema); None where tables form no circle. They lead nowhere that links do not.
+    ``pairs`` are (table, parent) of all links, and maybe of more, where the caller knows them."""
+    if pairs is None:
+        pairs = {tuple(r) for r in links.select("tbl", "target_tbl").distinct().collect()}  # as many as the schema has
+    circle = _circles(pairs)
     if not circle:
         return None
     inside = reduce(lambda x, y: x | y, [(F.col("tbl") == a) & (F.col("target_tbl") == b) for a, b in circle])
@@ -82,9 +85,9 @@ def shortcuts(links: DataFrame) -> DataFrame | None:
     return reduce(DataFrame.unionByName, found)
 
 
-def with_shortcuts(links: DataFrame) -> DataFrame:
+def with_shortcuts(links: DataFrame, pairs: set[tuple[str, str]] | None = None) -> DataFrame:
     plain = links.select(*KEY, "target_tbl", "value")
-    more = shortcuts(plain)
+    more = shortcuts(plain, pairs)
     return plain if more is None else _kept(plain.unionByName(more))
 
 
@@ -102,10 +105,14 @@ def closure(roots: DataFrame, links: DataFrame, settled: DataFrame | None = None
         border = settled.join(_keys(beyond.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")), "tbl", "row_id"), KEY, "left_semi")
         fresh = _kept(own.join(settled.select(*KEY), KEY, "left_anti"))
         front = _kept(border.unionByName(fresh))
+        if front.isEmpty():
+            return settled
         labels = settled.unionByName(fresh)
     while not front.isEmpty():
         down = front.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), "lead").join(links, ["target_tbl", "value"]).select(*KEY, "lead")
         reached = _kept(down.groupBy(*KEY).agg(F.min("lead").alias("new")))
+        if reached.isEmpty():
+            break
         known = labels.join(reached.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("lead").alias("old"))
         front = _kept(reached.join(known, KEY, "left").where("old is null or new < old").select(*KEY, F.col("new").alias("lead")))
         labels = labels.unionByName(front)
@@ -116,7 +123,7 @@ def _defaults(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The defaults that references may fall back on (as many as the schema has) and whether their rows exist."""
     named = refs.where("action = 'setDefault' and default_id is not null").select("target_tbl", "default_id").distinct()
     found = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("default_id"))
-    return _kept(named.join(found, ["target_tbl", "default_id"], "left_semi"))
+    return _kept(found.join(F.broadcast(named), ["target_tbl", "default_id"]).distinct())
 
 
 def _default_holds(rows: DataFrame, defaults: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -126,11 +133,11 @@ def _default_holds(rows: DataFrame, defaults: DataFrame, hidden: DataFrame) -> D
     return joined.withColumn("_default", F.when(F.col("default_id").isNull(), F.col("nullable")).otherwise(F.coalesce("_live", F.lit(False)))).drop("_live")
 
 
-def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root_hidden: DataFrame) -> DataFrame:
+def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root_hidden: DataFrame, pairs: set[tuple[str, str]] | None = None) -> DataFrame:
     """Rows hidden because a row they reference is missing, or hidden for that reason, and cannot be repaired (P5).
 
     ``held`` are references whose target exists, ``absent`` the others. Only references to rows just hidden are followed;
-    those that fall back on a default are judged again each round, as the default may have gone.
+    those that fall back on a default are judged again each round, as the default may have gone. ``pairs`` as in ``shortcuts``.
     """
     free = root_hidden.select(*KEY)
     lost = absent.where("action <> 'setNull'").join(free, KEY, "left_anti")
@@ -141,13 +148,15 @@ def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root
         return hidden
     # a row in between must not be one that its own root hides
     sure = follow.where("action <> 'setDefault'")
-    more = shortcuts(sure.join(_keys(free, "target_tbl", "value"), ["target_tbl", "value"], "left_anti").select(*KEY, "target_tbl", "value"))
+    more = shortcuts(sure.join(_keys(free, "target_tbl", "value"), ["target_tbl", "value"], "left_anti").select(*KEY, "target_tbl", "value"), pairs)
     if more is not None:
         nothing = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns if c not in (*KEY, "target_tbl", "value", "action")]
         follow = follow.unionByName(more.select(*KEY, "target_tbl", "value", F.lit("noAction").alias("action"), *nothing))
     while True:
         reached = follow.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi")
         lost = _kept(lost.where("action = 'setDefault'").unionByName(reached.select(lost.columns)).join(hidden, KEY, "left_anti"))
+        if lost.isEmpty():
+            return hidden
         judged = _default_holds(lost, defaults, free.unionByName(hidden)).where("action <> 'setDefault' or not _default")
         front = _kept(judged.select(*KEY).distinct())
         if front.isEmpty():
@@ -167,12 +176,14 @@ def visibility(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     exists = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.lit(True).alias("_exists"))
     marked = staged(refs.join(exists, ["target_tbl", "value"], "left"), "references")
     held, absent = marked.where("_exists").drop("_exists"), marked.where("_exists is null").drop("_exists")
-    links = with_shortcuts(held.where("action = 'cascade'"))
-    defaults = _defaults(refs, nodes)
+    kinds = {tuple(r) for r in marked.select("tbl", "target_tbl", "action").distinct().collect()}  # as many as the schema has
+    links = with_shortcuts(held.where("action = 'cascade'"), {(t, p) for t, p, a in kinds if a == "cascade"})
+    binding = {(t, p) for t, p, a in kinds if a not in ("setNull", "setDefault")}
+    defaults = _defaults(marked, nodes)
     roots = _kept(nodes.where("deleted").select(*KEY))
     labels = closure(roots, links)
     while True:
-        hidden = labels.select(*KEY).unionByName(missing_hidden(held, absent, defaults, labels))
+        hidden = labels.select(*KEY).unionByName(missing_hidden(held, absent, defaults, labels, binding))
         needing = held.where("action <> 'setNull'").join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(hidden, KEY, "left_anti")
         blocked = _default_holds(needing, defaults, hidden).where("action <> 'setDefault' or not _default")
         blocked = _kept(blocked.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct())
