@@ -14,7 +14,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, packing, quality_crf, token_counts, warc
+from tidemark.llm import chat_format, packing, quality_crf, simhash, token_counts, warc
 
 TURNS = "conv_id long, turn long, role string, text string, tokens long, segment long"
 
@@ -448,6 +448,40 @@ def test_a_shard_on_spark_equals_brute_force(spark):
     assert sorted((sorted(x, key=str) for x in bins.values()), key=str) == brute_packed(rows, 300)
 
 
+def test_near_copies_are_packed_apart(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        base = rng.choices(words, k=rng.randrange(60, 90))
+        for copy in range(rng.randrange(1, 4)):
+            rows.append((len(rows), " ".join([*base, *["z"] * (copy // 2)]) + " " * copy, f"s{len(rows)}", "extra"))
+    rows += [(None, None, None, "extra"), (900, "", "t", "extra"), (901, "Tea  for TWO", "u", "extra"), (902, "tea for two", "v", "extra"), (902, "tea for two", "v", "extra"), (903, "long " * 700, "w", "extra")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster string")
+    got = packing.pack_apart(frame, capacity=2000, shard_rows=10_000).collect()
+    # components by comparing all pairs
+    prints = [simhash.fingerprint(text) for _, text, *_ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                group = [group[b] if g == group[a] else g for g in group]
+    assert len(set(group)) < len({(text or "").strip().lower() for _, text, *_ in rows})  # not only equal texts are linked
+    items = [(i, k, min(2000, len((text or "").encode()) - 2000 * k), source, g) for (i, text, source, _), g in zip(rows, group, strict=True) for k in range(max(1, -(-len((text or "").encode()) // 2000)))]
+    cluster, by_bin = {(i, k): g for i, k, _, _, g in items}, {}
+    for r in got:
+        by_bin.setdefault(r.bin_id, []).append(r)
+    assert sorted((r.doc_id or -1, r.piece, r.tokens) for r in got) == sorted((i or -1, k, n) for i, k, n, *_ in items)
+    for own in by_bin.values():
+        assert len({cluster[r.doc_id, r.piece] for r in own}) == len(own) and sum(r.tokens for r in own) <= 2000
+    order = sorted(items, key=lambda x: (-x[2], x[0] is not None, x[0] or 0, x[1]))
+    want = {}
+    for (i, k, *_), (b, at) in zip(order, brute_pack([(n, s, g) for _, _, n, s, g in order], 2000), strict=True):
+        want.setdefault(b, []).append((i, k, at))
+    assert sorted(sorted(map(str, x)) for x in want.values()) == sorted(sorted(str((r.doc_id, r.piece, r.bin_offset)) for r in x) for x in by_bin.values())
+    assert packing.pack_apart(frame.limit(0)).count() == 0
+
+
 def test_equal_rows_are_spread_over_shards(spark):
     frame = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'same text' as text", "cast(null as string) as source")
     got = packing.pack(frame, shard_rows=4096)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import normalised, shipped, staged
 
 #: Equal rows that are dealt together.
@@ -156,6 +157,18 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     return ordered.mapInArrow(run, "doc_id long, piece long, span_start long, tokens long, bin_id long, bin_offset long")
 
 
+def pack_apart(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bits: int = simhash.MAX_BITS, capacity: int = CAPACITY, shard_rows: int = 4096) -> DataFrame:
+    """``pack`` with SimHash components of ``bits`` as duplicate clusters: no bin holds near copies, from whatever sources.
+
+    Texts equal up to blanks and the case of A-Z have one fingerprint, so they are of one cluster too, and so are all texts
+    without a word. Texts are read once, for fingerprints and sizes; what moves after that are ids, sources and numbers.
+    Nulls, empty and long texts, repeated rows and empty tables are as in ``pack``.
+    """
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), byte_tokens(F.col(text_col)).alias("size"))
+    prints = staged(simhash.with_fingerprint(own, "text", "fp").drop("text"), "prints")
+    return pack(simhash.clustered(prints, bits), size=F.col("size"), cluster=F.col("cluster"), capacity=capacity, shard_rows=shard_rows)
+
+
 def packed(parts: list[pa.RecordBatch], capacity: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(parts)
     table = table.take(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())).combine_chunks()

@@ -258,18 +258,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def grouped(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """Adds component_id to staged rows (doc_id, fp). It goes to the rows of hot fingerprints by broadcast, to others by a
-    shuffle join."""
+    """Adds component_id to staged rows (doc_id, fp)."""
+    return _named(prints, bits).select(*prints.columns, "component_id")
+
+
+def clustered(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """Adds ``cluster``, which is the component's own whatever the ids, to staged rows (doc_id, fp and others)."""
+    return _named(prints, bits).select(*prints.columns, F.col("root").alias("cluster"))
+
+
+def _named(prints: DataFrame, bits: int) -> DataFrame:
+    """Adds n, root and component_id. They go to the rows of hot fingerprints by broadcast, to others by a shuffle join."""
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
     roots = components(near_links(classes.select("fp"), bits=bits)).withColumnsRenamed({"node": "fp", "root": "root"})
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = staged(rooted.join(smallest, "root").select("fp", "n", "component_id"), "simhash-named")
+    named = staged(rooted.join(smallest, "root").select("fp", "n", "root", "component_id"), "simhash-named")
     hot = F.col("n") > max(HOT_ROWS, int((named.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     # at most 1 / HOT_SHARE fingerprints can be hot
     marked = prints.join(F.broadcast(named.where(hot)), "fp", "left")
-    others = marked.where("n is null").select("doc_id", "fp").join(named.where(~hot), "fp")
-    return marked.where("n is not null").select("doc_id", "fp", "component_id").unionByName(others.select("doc_id", "fp", "component_id"))
+    others = marked.where("n is null").select(*prints.columns).join(named.where(~hot), "fp")
+    return marked.where("n is not null").unionByName(others)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
