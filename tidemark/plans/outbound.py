@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -338,34 +340,37 @@ def framed_batches(spark, sf_dir):
     return live.framed_batches(frames(spark, sf_dir))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, order: str, slices: int) -> str:
-    """``rows`` as files that a stream reads one by one, cut into even stretches of ``order``."""
+def _arrivals(spark: SparkSession, rows: DataFrame, order: str, slices: int) -> Iterator[str]:
+    """``rows`` as files that arrive in even stretches of ``order``, each written by as many tasks as read it; gives the folder after
+    each arrival."""
     folder = new_path(spark, "stream-input")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     if low is None:
         rows.limit(0).write.parquet(folder)
-        return folder
+        yield folder
+        return
     place = F.floor((F.col(order) - F.lit(low)) * slices / F.lit(high - low + 1))
-    for k in range(slices):  # a few files in their order of arrival
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+    for k in range(slices):
+        rows.where(place == k).write.mode("append").parquet(folder)
+        yield folder
 
 
 @query(f"WITH {FR} SELECT * FROM fb WHERE status <> 'open'")
 def stream_frames(spark, sf_dir):
     """Batches from a stream of frames, by a stateful operator."""
     rows = frames(spark, sf_dir)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(_streamed(spark, rows, "seq", 3))
-    out = new_path(spark, "stream-frames")
-    live.framed(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    out, checkpoint = new_path(spark, "stream-frames"), new_path(spark, "stream-checkpoint")
+    for folder in _arrivals(spark, rows, "seq", 3):  # each run takes up where the last one ended
+        source = spark.readStream.schema(rows.schema).parquet(folder)
+        live.framed(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(live.FRAMES_OUT).parquet(out)
 
 
 def _merged_stream(spark, sf_dir, **options) -> live.MergeSink:
     rows = logs_io.aligned(profile_log(spark, sf_dir)).withColumn("at", F.col("hlc.ms"))
-    source = live.change_stream(spark, _streamed(spark, rows, "at", 3))
-    sink = live.MergeSink(new_path(spark, "stream-state"), PROFILE, **options)
-    live.merging(source, sink, new_path(spark, "stream-checkpoint")).awaitTermination()
+    sink, checkpoint = live.MergeSink(new_path(spark, "stream-state"), PROFILE, **options), new_path(spark, "stream-checkpoint")
+    for folder in _arrivals(spark, rows, "at", 3):
+        live.merging(live.change_stream(spark, folder, None), sink, checkpoint).awaitTermination()
     return sink
 
 
@@ -383,8 +388,7 @@ def stream_watch(spark, sf_dir):
     """A live query: results that changed after a batch, as (batch, rows)."""
     seen: list[tuple[int, int]] = []
     rows = logs_io.aligned(profile_log(spark, sf_dir)).withColumn("at", F.col("hlc.ms"))
-    source = live.change_stream(spark, _streamed(spark, rows, "at", 3))
-    sink = live.MergeSink(new_path(spark, "watch-state"), PROFILE)
+    sink, checkpoint = live.MergeSink(new_path(spark, "watch-state"), PROFILE), new_path(spark, "watch-checkpoint")
     now = {"batch": 0}
     watch = live.Watch(lambda s: sink.state(s, now["batch"]).rows, lambda k, r: seen.append((k, r.count())))
 
@@ -393,5 +397,6 @@ def stream_watch(spark, sf_dir):
         now["batch"] = batch_id
         watch(batch, batch_id)
 
-    source.writeStream.foreachBatch(both).option("checkpointLocation", new_path(spark, "watch-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    for folder in _arrivals(spark, rows, "at", 3):
+        live.merging(live.change_stream(spark, folder, None), both, checkpoint).awaitTermination()
     return spark.createDataFrame(seen, "batch long, rows long")

@@ -57,14 +57,15 @@ class MergeSink:
             self.on_merge(batch_id, changes)
 
 
-def merging(changes: DataFrame, sink: MergeSink, checkpoint: str, **trigger: object) -> StreamingQuery:
+def merging(changes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger: object) -> StreamingQuery:
     """Starts continuous merging of a streaming change log; ``trigger`` as in ``DataStreamWriter.trigger``."""
     return changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def change_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """A change log as a stream of its Parquet files."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def change_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A change log as a stream of its Parquet files, so many a micro-batch (None: all that have arrived)."""
+    reader = spark.readStream.schema(SCHEMA)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
 def fingerprint(result: DataFrame) -> tuple:
