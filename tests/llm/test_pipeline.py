@@ -57,7 +57,7 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     assert made.num_rows > 0 and len(set(made.column_names)) == made.num_columns
     if name in registry.oracle_sql():
         with duckdb.connect() as duck:
-            for table in ("documents", "pages", "benchmark"):
+            for table in ("documents", "pages", "benchmark", "conversations"):
                 duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
             want = duck.execute(registry.oracle_sql()[name]).to_arrow_table()
         assert made.num_rows == want.num_rows and rows(made) == rows(want)
@@ -69,5 +69,5 @@ def rows(found):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())

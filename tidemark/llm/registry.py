@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, license_scan, packing, quality_crf, simhash, token_counts, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, license_scan, packing, prefix_trie, quality_crf, resample, simhash, token_counts, token_ids, url_filter, warc
 from .common import new_path, read
 
 
@@ -59,6 +59,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_apart(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -71,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_token_ids": op12_token_ids,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -120,6 +135,52 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY h)
 """
 
+#: The crc32 of a text, a byte at a time, by a table of the 256 bytes.
+CRC_TABLE = "tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"
+CRC = "xor(list_reduce(list_transform(range(octet_length(encode({}))), lambda i: CAST('0x' || substr(hex(encode({})), 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+OP11_SQL = r"""
+WITH @TABLE@, own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS w FROM conversations GROUP BY conv_id
+), h AS (
+  SELECT c, w, @CRC@ % 4 AS h FROM own, tbl
+), rebuilt AS (
+  SELECT h.c, list_concat(list_slice(coalesce(b.w, []), 1, h), list_slice(h.w, h + 1, len(h.w))) AS w FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20
+), member AS (
+  SELECT c, d, len(w) = d AS ends, list_slice(w, 1, d) AS path FROM (SELECT c, w, unnest(range(len(w) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM member GROUP BY path, d
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM node k WHERE k.d = n.d + 1 AND list_slice(k.path, 1, n.d) = n.path) AS n_children FROM node n LEFT JOIN node p ON p.d = n.d - 1 AND p.path = list_slice(n.path, 1, n.d - 1)
+)
+SELECT a.conv_id, a.d AS depth, any_value(a.parent_conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs, any_value(a.n_children) AS n_children,
+  CAST(sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, any_value(a.ends_sha256) AS ends_sha256
+FROM linked a JOIN linked b ON b.d >= a.d AND list_slice(b.path, 1, a.d) = a.path GROUP BY a.conv_id, a.d
+""".replace("@TABLE@", CRC_TABLE).replace("@CRC@", CRC.format("CAST(c AS VARCHAR)", "CAST(c AS VARCHAR)"))
+
+OP13_SQL = r"""
+WITH @TABLE@, w AS (
+  SELECT true AS own, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT false, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark
+), f AS (
+  SELECT own, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), n AS (SELECT own, id, f, count(*) AS n FROM f GROUP BY own, id, f),
+k AS (SELECT f, @CRC@ % 10000 AS b FROM (SELECT DISTINCT f FROM n), tbl),
+p AS (SELECT own, id, b, sum(n) AS n FROM n JOIN k USING (f) GROUP BY own, id, b),
+g AS (SELECT b, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM p GROUP BY b),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM g),
+gain AS (SELECT b, floor(1000 * ln(CAST(g.t + 1 AS DOUBLE) * CAST(z.s + 10000 AS DOUBLE) / (CAST(g.s + 1 AS DOUBLE) * CAST(z.t + 10000 AS DOUBLE)))) AS gain FROM g, z),
+d AS (SELECT id, sum(n) AS size, floor(sum(n * gain) / sum(n)) AS weight FROM p JOIN gain USING (b) WHERE own GROUP BY id),
+e AS (
+  SELECT doc_id, len(w) AS words, CAST(coalesce(size, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents JOIN w ON own AND w.id = doc_id LEFT JOIN d ON d.id = doc_id
+), r AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (words >= 20) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM r
+""".replace("@TABLE@", CRC_TABLE).replace("@CRC@", CRC.format("f", "f"))
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -127,4 +188,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_archive": OP4_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op11_prefix_trie": OP11_SQL,
+        "op13_importance_resampling": OP13_SQL,
     }
