@@ -38,16 +38,31 @@ def test_a_record_is_read_block_by_block():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\t'sdl1é漢\x85\xa0\x1c"), st.characters(exclude_categories=["Cs"])), max_size=60))
-def test_parts_and_words_give_the_tokenizer_s_ids(text):
+@given(st.text(st.one_of(st.sampled_from("  \n\n\t'sdl1é漢\x85\xa0\x1c"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_words_give_the_tokenizer_s_ids(text):
     encode = token_ids.encoder(None)
+    assert all(encode(t) == encode.whole(t) for t in (text, f"x {text}y", text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs", "Zs", "Zl", "Zp", "Cc"]), min_size=1, max_size=5), min_size=1, max_size=9), st.randoms())
+def test_even_texts_go_by_words(words, rng):
+    encode = token_ids.encoder(None)
+    text = "".join(w + rng.choice([" ", "\n", "\n\n"]) for w in words).strip(" \n")
     assert encode(text) == encode.whole(text)
 
 
+def test_words_are_kept_and_given_up(monkeypatch):
+    monkeypatch.setattr(token_ids, "CACHED", 5)
+    encode = token_ids.Encoder(token_ids.vocabulary_path(None))
+    texts = [" ".join(f"w{k % n} it's\nso" for k in range(30)) for n in (1, 2, 7, 29)]
+    assert [encode(t) for t in texts] == [encode.whole(t) for t in texts]
+
+
 def test_odd_texts():
     encode = token_ids.encoder(None)
-    for text in ("", " ", "\n", "a  b", "<|endoftext|>", "x <|endoftext|> y", " lead", "trail ", "can't won't 'tis", "\x00a b", "a\n\nb", "ab " * 50_000, "word" * 20_000, "\t" * 3_000):
-        assert encode(text) == encode.whole(text)
+    for text in ("", " ", "\n", "a  b", "<|endoftext|>", "x <|endoftext|> y", " lead", "trail ", "can't won't 'tis", "\x00a b", "a\n\nb", "ab " * 50_000, "word" * 20_000, "\t" * 3_000, "one two\n" * 200_000 + "end"):
+        assert encode(text) == encode.whole(text), text[:50]
 
 
 def expected(rows, encode):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -10,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,94 +26,98 @@ WIDTHS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.ui
 #: The first word of a record, what the text writer puts behind each, and the words of a record's head.
 MAGIC, MARK, HEAD = b"S8BTOK01", "S8BEND01", 9
 #: Ids of a block, and ids after which a file ends with the document it is in.
-BLOCK, FILE_IDS = 4096, 1 << 23
+BLOCK, FILE_IDS = 4096, 1 << 22
 VOCABULARY = "byte_bpe_50k.json"
-#: Fixed value: how that vocabulary cuts a text before merging.
-PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Letters, digits, marks and plain spaces whose classes no version of Unicode has changed for long, so both regular expression
-#: engines cut alike; a text with others goes to the tokenizer whole, and so does one with a special token.
-STABLE = regex.compile(r"[\x01-\x1b\x20-\x84\x86-\x9f\xa1-\u052f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
-#: Found in texts that have more between their words than single spaces and line breaks.
-UNEVEN = ("\t", "\r", "\v", "\f", "  ", "\n\n", " \n", "\n ")
-CACHED = 400_000
-
-
-def shown() -> dict[int, int]:
-    """The characters by which a byte-level model names bytes: itself where Latin-1 prints it, else the next beyond."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(others)}
-
-
-SHOWN = shown()
-BLANK = chr(SHOWN[ord(" ")])
+#: Words are told apart by single blanks and line breaks; a text with other blanks, or more of them, goes to the tokenizer whole.
+OTHER_BLANKS = re.compile("[\\t\\r\\v\\f\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+UNEVEN = ("  ", " \n", "\n ", "\n\n\n")
+#: Words kept with their ids: so many, and so many older ones.
+CACHED = 150_000
 RECORD_OUT = "record binary"
 FACTS_OUT = "part long, seq long, at long, doc_id long, n_tokens long, ids_crc32 long"
 IDS_OUT = "doc_id long, ids array<long>"
 
 
 class Known(dict):
-    """What ``make`` gives for each key, kept for ``CACHED`` keys at most."""
+    """What ``make`` gives for each key. When there are ``CACHED`` keys they become the old ones, and those asked for again move on; so
+    twice that number is kept at most."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= CACHED:
+            self.old = dict(self)
             self.clear()
-        self[key] = found = self.make(key)
+        self[key] = found
         return found
 
 
 class Encoder:
-    """The ids of a text as little-endian 32-bit bytes. Merging never crosses the parts that the pattern makes, and a blank between
-    two words begins the second one's part; so the tokenizer's model is asked for each different part once, and a word's
-    ids are kept with the blank before it."""
+    """The ids of a text as little-endian 32-bit bytes.
+
+    A byte-level vocabulary merges within the parts of its pattern alone, and a blank between two words begins the part of the
+    second, a line break is one of its own; so a text's ids are those of its words, each with what stands before it. The
+    tokenizer cuts and merges each different word once, and its ids are kept.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.model = self.tokenizer.model
+        self.model, self.cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.part = Known(self._part).__getitem__
+        described = json.loads(self.tokenizer.to_str())
+        cut = described["pre_tokenizer"] or {}
+        self.by_words = described["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        if self.by_words:
+            self.blank, self.line_break = self.cut.pre_tokenize_str(" ")[0][0], self.whole("\n")
+        self.part = Known(self._merged).__getitem__
         self.word = Known(self._word).__getitem__
-        self.line_break = self.part("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merged(self, shown: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        return self._merged(part.encode().decode("latin-1").translate(SHOWN))
+    def _merged(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word.isalpha():
-            return b"".join(map(self.part, PATTERN.findall(" " + word)))
-        return self._merged(BLANK + word) if word.isascii() else self._part(" " + word)
+        """The ids of a word: of one that begins with its line break, or else of one behind a blank."""
+        if word.isascii() and word.isalpha():
+            return self._merged(self.blank + word)
+        after_break = word[:1] == "\n"
+        parts = self.cut.pre_tokenize_str(word[1:] if after_break else " " + word)
+        return (self.line_break if after_break else b"") + b"".join([self.part(p) for p, _ in parts])
+
+    def is_even(self, text: str) -> bool:
+        """Whether words can be told apart by single blanks and line breaks."""
+        if not self.by_words or not text or text[0] in " \n" or text[-1] in " \n" or OTHER_BLANKS.search(text):
+            return False
+        return not any(s in text for s in (*UNEVEN, *self.special))
 
     def __call__(self, text: str) -> bytes:
-        if STABLE.fullmatch(text) is None or any(s in text for s in self.special):
-            return self.whole(text)
-        if text[:1].isspace() or text[-1:].isspace() or any(u in text for u in UNEVEN):
-            return b"".join(map(self.part, PATTERN.findall(text)))
-        lines = []
-        for line in text.split("\n"):
-            first, *words = line.split(" ")
-            lines.append(b"".join([*map(self.part, PATTERN.findall(first)), *map(self.word, words)]))
-        return self.line_break.join(lines)
+        if not self.is_even(text):
+            return self.whole(text) if text else b""
+        words = ("\n" + text).replace("\n", " \n").split(" ")
+        return b"".join(map(self.word, words[1:]))[len(self.line_break) :]  # without the line break put before the text
+
+
+def vocabulary_path(vocabulary: str | None) -> str:
+    """The file of a vocabulary, by default of the public byte-level one."""
+    if vocabulary is not None:
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str | None) -> Encoder:
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    return Encoder(vocabulary)
+    return Encoder(vocabulary_path(vocabulary))
 
 
 #: Bits of the numbers below 2^16.
@@ -147,27 +152,35 @@ def _fitting(bits: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def _word_starts(steps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of each block (rows of ``steps``, of which the first ``sizes`` count) begin, block by block, and how many each has:
+    all blocks go on by a word at a time."""
+    rows = np.arange(len(steps))
+    at, places = np.zeros(len(steps), np.int64), []
+    while len(rows):
+        places.append((rows, at))
+        at = at + steps[rows, at]
+        going = at < sizes[rows]
+        if not going.all():
+            rows, at = rows[going], at[going]
+    every, starts = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+    order = np.argsort(every, kind="stable")
+    return every[order] * steps.shape[1] + starts[order], np.bincount(every, minlength=len(steps))
+
+
 def packed(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, offsets, escapes) of unsigned 64-bit ids: offsets[k] is the first word of block k, and the last one their number."""
-    ids = np.ascontiguousarray(ids, np.uint64)
-    words, offsets, escapes, at = [], [0], [], 0
-    for low in range(0, len(ids), 64 * block):  # so many blocks at a time
-        part = ids[low : low + 64 * block]
+    """(words, offsets, escapes) of unsigned ids: offsets[k] is the first word of block k, and the last one their number."""
+    words, sizes, escapes, at = [], [np.zeros(1, np.int64)], [], 0
+    blocks_at_once = max(1, (1 << 20) // block)
+    for low in range(0, len(ids), blocks_at_once * block):
+        part = ids[low : low + blocks_at_once * block].astype(np.uint64)
         rows = -(-len(part) // block)
         bits = np.full((rows, block), 255, np.uint8)
         bits.reshape(-1)[: len(part)] = bit_lengths(part)
-        chosen = _fitting(bits).reshape(-1)
-        steps = COUNTS.astype(np.uint8)[chosen].tobytes()
-        starts: list[int] = []
-        for k in range(rows):
-            here, end = k * block, min((k + 1) * block, len(part))
-            before = len(starts)
-            while here < end:
-                starts.append(here)
-                here += steps[here]
-            offsets.append(offsets[-1] + len(starts) - before)
-        place = np.array(starts, np.int64)
-        selectors = chosen[place]
+        chosen = _fitting(bits)
+        place, counts = _word_starts(COUNTS.astype(np.uint8)[chosen], np.minimum(len(part) - np.arange(rows) * block, block))
+        sizes.append(counts)
+        selectors = chosen.reshape(-1)[place]
         out = selectors.astype(np.uint64) << np.uint64(60)
         for selector in np.unique(selectors):
             own = np.flatnonzero(selectors == selector)
@@ -176,11 +189,13 @@ def packed(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
                 escapes.append(part[place[own]])
                 at += len(own)
                 continue
+            first, payload = place[own], out[own]
             for j in range(int(COUNTS[selector]) if WIDTHS[selector] else 0):
-                out[own] |= part[place[own] + j] << np.uint64(j * int(WIDTHS[selector]))
+                payload |= part[first + j] << np.uint64(j * int(WIDTHS[selector]))
+            out[own] = payload
         words.append(out)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return join(words), np.array(offsets, np.uint64), join(escapes)
+    return join(words), np.cumsum(np.concatenate(sizes)).astype(np.uint64), join(escapes)
 
 
 def unpacked(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
