@@ -164,3 +164,79 @@ def test_schema_plans():
     assert order.index("a") < order.index("b") < order.index("c") and component(edges, {"c"}) == {"a", "b", "c"}
     assert needs_projection(good(), {"note": {"title"}}) and not needs_projection(good(), {"note": {"body"}})
     assert schema_hash(good()) == schema_hash(good()[::-1]) != schema_hash(good(indexes=()))
+
+
+def test_a_hub_is_judged_without_its_children(spark):
+    """A deleted supplier with 5,000 lines that fall back on a default, and a deleted nation with firm customers, stay out of the inner rows."""
+    node, ref = "tbl string, row_id string, deleted boolean, reason string", "tbl string, row_id string, col string, value string, target_tbl string, action string, nullable boolean, default_id string"
+    lines = spark.range(5000).selectExpr("'line' as tbl", "cast(id as string) as row_id", "false as deleted", "'userDelete' as reason")
+    others = spark.createDataFrame([("supplier", "9", True, "userDelete"), ("supplier", "1", False, "userDelete"), ("nation", "0", True, "userDelete"), *[("customer", str(i), False, "userDelete") for i in range(50)]], node)
+    refs = spark.range(5000).selectExpr("'line' as tbl", "cast(id as string) as row_id", "'s' as col", "'9' as value", "'supplier' as target_tbl", "'setDefault' as action", "true as nullable", "'1' as default_id")
+    refs = refs.unionByName(spark.createDataFrame([("customer", str(i), "n", "0", "nation", "noAction", False, None) for i in range(50)] + [("line", "7", "c", "7", "customer", "cascade", True, None)], ref))
+    nodes = lines.unionByName(others)
+    seeds = spark.createDataFrame([("line", "7"), ("customer", "7")], "tbl string, row_id string")
+    part = projection.scope(nodes, refs, seeds)
+    assert {tuple(r) for r in part.inner.collect()} == {("line", "7"), ("customer", "7")}
+    assert {tuple(r) for r in part.rejected.collect()} == {("nation", "0")}
+    whole = {(r.tbl, r.row_id): r.visibility for r in projection.visibility(nodes, refs).collect()}
+    assert {(r.tbl, r.row_id): r.visibility for r in projection.project(nodes, refs, seeds).collect()} == {k: whole[k] for k in (("line", "7"), ("customer", "7"))}
+    # the default itself among the seeds: then all lines may change
+    every = projection.scope(nodes, refs, spark.createDataFrame([("supplier", "1")], seeds.schema))
+    assert every.inner.count() > 5000
+
+
+def test_claims_with_a_null_stay_out_of_windows(spark):
+    rows = spark.range(2000).selectExpr("'s' as space", "cast(id as string) as row_id", "case when id % 100 = 0 then 'x' end as name", "id % 200 = 0 as hidden", "id as claim_hlc", "false as restoring")
+    got = {r.row_id: (r.name, r.unique_reason) for r in projection.unique(rows, [UniqueIndex(("name",), "name")], {"name": "text"}).collect()}
+    assert len(got) == 2000 and got["1"] == (None, None) and got["0"] == ("x__hidden__0", "hiddenUniqueRelease") and got["100"] == ("x", None) and got["300"] == ("x__conflict__300", "uniqueConflict")
+    local = {r.row_id: r.outcome for r in projection.local_unique(rows, UniqueIndex(("name",), "name")).collect()}
+    assert local["1"] == "kept" and local["0"] == "released" and local["100"] == "refused"
+    plan = projection.unique(rows, [UniqueIndex(("name",), "name")], {"name": "text"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan.partition("Window")[2].partition("Union")[0]
+
+
+@pytest.mark.parametrize(("seed", "cyclic"), [(11, False), (12, True), (13, True)])
+def test_projecting_seeds_of_more_worlds(spark, seed, cyclic):
+    _, rows, refs = world(seed, cyclic)
+    refs = [r for k, r in enumerate(refs) if k % 2]
+    nodes = spark.createDataFrame([(*r, d, "userDelete") for r, d in rows.items()], "tbl string, row_id string, deleted boolean, reason string")
+    frame = spark.createDataFrame(refs, "tbl string, row_id string, col string, value string, target_tbl string, action string, nullable boolean, default_id string")
+    seen, _ = model(rows, refs)
+    seeds = [("b", "2"), ("d", "4")]
+    got = {(r.tbl, r.row_id): r.visibility for r in projection.project(nodes, frame, spark.createDataFrame(seeds, "tbl string, row_id string")).collect()}
+    assert got == {k: seen[k] for k in got}
+    other, _ = model({k: (not d if k in seeds else d) for k, d in rows.items()}, refs)
+    assert {k for k in seen if other[k] != seen[k]} <= set(got)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_claims_of_some_rows_equal_the_whole(spark, seed):
+    """Seeds change their columns and visibility; what they may change is found, and gets what all rows together would get."""
+    rng = random.Random(seed)
+    indexes = [UniqueIndex(("a", "b"), "b"), UniqueIndex(("b", "c"), "c"), UniqueIndex(("a", "c"), "a")]
+    kinds = {"a": "null", "b": "text", "c": "null"}
+    value = lambda k: rng.choice([None, *"xyzw"[:k]])
+    schema = "space string, row_id string, a string, b string, c string, hidden boolean, claim_hlc int"
+    old = [(rng.choice("st"), str(i), value(4), value(3), value(4), rng.random() < 0.3, rng.randrange(9)) for i in range(40)]
+    seeds = [str(i) for i in rng.sample(range(40), 2)]
+    new = [(r[0], r[1], value(4), value(3), value(4), not r[5], r[6]) if r[1] in seeds else r for r in old]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    result = lambda rows: {r.row_id: tuple(r) for r in projection.unique(frame(rows), indexes, kinds).collect()}
+    before, after = result(old), result(new)
+    got = {r.row_id: tuple(r) for r in projection.project_unique(frame(new), indexes, kinds, frame(new).where(F.col("row_id").isin(seeds)).select("space", "row_id"), frame([r for r in old if r[1] in seeds])).collect()}
+    assert got == {k: after[k] for k in got}
+    assert set(seeds) | {k for k in after if after[k] != before[k]} <= set(got)
+
+
+@pytest.mark.parametrize(("seed", "cyclic"), [(1, False), (12, True)])
+def test_values_of_some_rows_equal_the_whole(spark, seed, cyclic):
+    _, rows, refs = world(seed, cyclic)
+    refs = [r for k, r in enumerate(refs) if k % 3]
+    nodes = spark.createDataFrame([(*r, d, "userDelete") for r, d in rows.items()], "tbl string, row_id string, deleted boolean, reason string")
+    frame = spark.createDataFrame(refs, "tbl string, row_id string, col string, value string, target_tbl string, action string, nullable boolean, default_id string")
+    seen, values = model(rows, refs)
+    seeds = spark.createDataFrame([("a", "0"), ("d", "3")], "tbl string, row_id string")
+    shown, repaired = projection.project_values(nodes, frame, seeds)
+    got = {(r.tbl, r.row_id): r.visibility for r in shown.collect()}
+    assert got == {k: seen[k] for k in got}
+    assert {(r.tbl, r.row_id, r.col): (r.shown, r.reason) for r in repaired.collect()} == {k: v for k, v in values.items() if k[:2] in got}

@@ -75,6 +75,12 @@ def release_kind(nullable: bool, data_type: str, foreign_key: bool) -> str | Non
     return "null" if nullable else "text" if data_type == "string" else "uuid" if data_type == "uuid" and not foreign_key else None
 
 
+def release(nullable: Column, data_type: Column, foreign_key: Column) -> Column:
+    """``release_kind`` of described columns."""
+    free = F.when(nullable, "null").when(data_type == "string", "text").when((data_type == "uuid") & ~foreign_key, "uuid")
+    return F.when(data_type != "json", free)
+
+
 def is_reserved(value: Column, kind: str = "text") -> Column:
     """Authored values that only projection may write."""
     found = value.rlike(RESERVED_SUFFIX) if kind == "text" else F.substring(value, 15, 1) == "8"

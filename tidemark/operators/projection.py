@@ -10,6 +10,7 @@ has a bound: each ends when nothing changes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,44 @@ from ..sources.shared import staged
 KEY = ["tbl", "row_id"]
 
 
+#: Rows that a round may hand to the next by the driver; more are written.
+SMALL = 20_000
+
+
 def _kept(rows: DataFrame) -> DataFrame:
     return staged(rows, "projection")
 
 
+@dataclass(frozen=True)
+class Found:
+    """What a round found, and how many rows: few (SMALL) are rows of the plan itself, which joins broadcast, others a written table."""
+
+    rows: DataFrame
+    count: int
+
+    def __bool__(self) -> bool:
+        return self.count > 0
+
+    @property
+    def few(self) -> bool:
+        return self.count <= SMALL
+
+
+def _local(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame(rows.toArrow(), schema=rows.schema)
+
+
+def _found(rows: DataFrame, few: bool = False) -> Found:
+    """``few``: whether to expect few rows, as after a round that found few. One round that was wrong costs its work once more."""
+    if few:
+        table = rows.limit(SMALL + 1).toArrow()
+        if table.num_rows <= SMALL:
+            return Found(rows.sparkSession.createDataFrame(table, schema=rows.schema), table.num_rows)
+    kept = _kept(rows)
+    count = kept.count()
+    return Found(_local(kept) if count <= SMALL else kept, count)
+
+
 def references(tables: dict[str, DataFrame], edges: list[ForeignKey], ids: dict[str, str]) -> DataFrame:
     """The authored references of all tables, each table read once; null values are none."""
     parts = []
@@ -91,39 +126,43 @@ def with_shortcuts(links: DataFrame, pairs: set[tuple[str, str]] | None = None)
     return plain if more is None else _kept(plain.unionByName(more))
 
 
-def closure(roots: DataFrame, links: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+def closure(roots: DataFrame, links: DataFrame, settled: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Rows (tbl, row_id) reachable from ``roots`` along cascading references (P4, J14), each with ``lead``, the smallest root
     that reaches it. ``links`` has (target_tbl, value) as parent and (tbl, row_id) as child. A round follows only rows whose
     lead has just become smaller, and looks up only rows it reaches. ``settled`` are rows whose lead is known already, from
     a run with more roots: only what lies beyond them is followed."""
     own = roots.select(*KEY, F.struct("tbl", "row_id").alias("lead"))
     if settled is None:
-        front = _kept(own)
-        labels = front
+        front = _found(own, few)
+        labels = front.rows
     else:
         beyond = links.join(settled.select(*KEY), KEY, "left_anti")
         border = settled.join(_keys(beyond.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")), "tbl", "row_id"), KEY, "left_semi")
-        fresh = _kept(own.join(settled.select(*KEY), KEY, "left_anti"))
-        front = _kept(border.unionByName(fresh))
-        if front.isEmpty():
+        fresh = _found(own.join(settled.select(*KEY), KEY, "left_anti"), few).rows
+        front = _found(border.unionByName(fresh), few)
+        if not front:
             return settled
         labels = settled.unionByName(fresh)
-    while not front.isEmpty():
-        down = front.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), "lead").join(links, ["target_tbl", "value"]).select(*KEY, "lead")
-        reached = _kept(down.groupBy(*KEY).agg(F.min("lead").alias("new")))
-        if reached.isEmpty():
+    rounds = 0
+    while front:
+        down = front.rows.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), "lead").join(links, ["target_tbl", "value"]).select(*KEY, "lead")
+        reached = _found(down.groupBy(*KEY).agg(F.min("lead").alias("new")), front.few)
+        if not reached:
             break
-        known = labels.join(reached.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("lead").alias("old"))
-        front = _kept(reached.join(known, KEY, "left").where("old is null or new < old").select(*KEY, F.col("new").alias("lead")))
-        labels = labels.unionByName(front)
-    return _kept(labels.groupBy(*KEY).agg(F.min("lead").alias("lead")))
+        known = labels.join(reached.rows.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("lead").alias("old"))
+        front = _found(reached.rows.join(known, KEY, "left").where("old is null or new < old").select(*KEY, F.col("new").alias("lead")), reached.few)
+        labels = labels.unionByName(front.rows)
+        rounds += 1
+        if rounds % 8 == 0:  # plans stay short
+            labels = _kept(labels.groupBy(*KEY).agg(F.min("lead").alias("lead")))
+    return _found(labels.groupBy(*KEY).agg(F.min("lead").alias("lead")), few).rows
 
 
 def _defaults(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The defaults that references may fall back on (as many as the schema has) and whether their rows exist."""
     named = refs.where("action = 'setDefault' and default_id is not null").select("target_tbl", "default_id").distinct()
     found = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("default_id"))
-    return _kept(found.join(F.broadcast(named), ["target_tbl", "default_id"]).distinct())
+    return _found(found.join(F.broadcast(named), ["target_tbl", "default_id"]).distinct(), True).rows
 
 
 def _default_holds(rows: DataFrame, defaults: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -133,7 +172,7 @@ def _default_holds(rows: DataFrame, defaults: DataFrame, hidden: DataFrame) -> D
     return joined.withColumn("_default", F.when(F.col("default_id").isNull(), F.col("nullable")).otherwise(F.coalesce("_live", F.lit(False)))).drop("_live")
 
 
-def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root_hidden: DataFrame, pairs: set[tuple[str, str]] | None = None) -> DataFrame:
+def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root_hidden: DataFrame, pairs: set[tuple[str, str]] | None = None, few: bool = False) -> DataFrame:
     """Rows hidden because a row they reference is missing, or hidden for that reason, and cannot be repaired (P5).
 
     ``held`` are references whose target exists, ``absent`` the others. Only references to rows just hidden are followed;
@@ -142,9 +181,9 @@ def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root
     free = root_hidden.select(*KEY)
     lost = absent.where("action <> 'setNull'").join(free, KEY, "left_anti")
     follow = held.where("action <> 'setNull'").join(free, KEY, "left_anti")
-    front = _kept(_default_holds(lost, defaults, free).where("action <> 'setDefault' or not _default").select(*KEY).distinct())
-    hidden = front
-    if front.isEmpty():
+    front = _found(_default_holds(lost, defaults, free).where("action <> 'setDefault' or not _default").select(*KEY).distinct(), few)
+    hidden = front.rows
+    if not front:
         return hidden
     # a row in between must not be one that its own root hides
     sure = follow.where("action <> 'setDefault'")
@@ -152,20 +191,26 @@ def missing_hidden(held: DataFrame, absent: DataFrame, defaults: DataFrame, root
     if more is not None:
         nothing = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns if c not in (*KEY, "target_tbl", "value", "action")]
         follow = follow.unionByName(more.select(*KEY, "target_tbl", "value", F.lit("noAction").alias("action"), *nothing))
+    rounds = 0
     while True:
-        reached = follow.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi")
-        lost = _kept(lost.where("action = 'setDefault'").unionByName(reached.select(lost.columns)).join(hidden, KEY, "left_anti"))
-        if lost.isEmpty():
+        reached = follow.join(_keys(front.rows, "target_tbl", "value"), ["target_tbl", "value"], "left_semi")
+        lost = lost.where("action = 'setDefault'").unionByName(reached.select(lost.columns)).join(hidden, KEY, "left_anti")
+        again = _found(lost, front.few)
+        if not again:
             return hidden
+        lost = again.rows
         judged = _default_holds(lost, defaults, free.unionByName(hidden)).where("action <> 'setDefault' or not _default")
-        front = _kept(judged.select(*KEY).distinct())
-        if front.isEmpty():
+        front = _found(judged.select(*KEY).distinct(), again.few)
+        if not front:
             return hidden
-        hidden = hidden.unionByName(front)
+        hidden = hidden.unionByName(front.rows)
+        rounds += 1
+        if rounds % 8 == 0:
+            hidden = _kept(hidden)
 
 
-def visibility(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """nodes with ``hidden`` and the materialised ``visibility``.
+def visibility(nodes: DataFrame, refs: DataFrame, few: bool = False) -> DataFrame:
+    """nodes with ``hidden`` and the materialised ``visibility`` (P3-P7). ``few`` tells that there are few nodes and references.
 
     Deletions are accepted with their cascade closures unless a row outside still needs one of the closure's rows: by a
     restricting reference, or by a default that cannot be shown. All such roots are rejected together, and the rest is
@@ -174,85 +219,179 @@ def visibility(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     row) pairs is ever built.
     """
     exists = nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value"), F.lit(True).alias("_exists"))
-    marked = staged(refs.join(exists, ["target_tbl", "value"], "left"), "references")
+    marked = refs.join(exists, ["target_tbl", "value"], "left")
+    marked = _found(marked, True).rows if few else staged(marked, "references")
     held, absent = marked.where("_exists").drop("_exists"), marked.where("_exists is null").drop("_exists")
     kinds = {tuple(r) for r in marked.select("tbl", "target_tbl", "action").distinct().collect()}  # as many as the schema has
     links = with_shortcuts(held.where("action = 'cascade'"), {(t, p) for t, p, a in kinds if a == "cascade"})
     binding = {(t, p) for t, p, a in kinds if a not in ("setNull", "setDefault")}
     defaults = _defaults(marked, nodes)
-    roots = _kept(nodes.where("deleted").select(*KEY))
-    labels = closure(roots, links)
+    roots = _found(nodes.where("deleted").select(*KEY), few).rows
+    labels = closure(roots, links, few=few)
     while True:
-        hidden = labels.select(*KEY).unionByName(missing_hidden(held, absent, defaults, labels, binding))
+        hidden = labels.select(*KEY).unionByName(missing_hidden(held, absent, defaults, labels, binding, few))
         needing = held.where("action <> 'setNull'").join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").join(hidden, KEY, "left_anti")
         blocked = _default_holds(needing, defaults, hidden).where("action <> 'setDefault' or not _default")
-        blocked = _kept(blocked.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct())
-        if blocked.isEmpty():
+        blocked = _found(blocked.select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct(), True)
+        if not blocked:
             break
-        blocked = _climbed(blocked, links, labels)
+        climbed = _climbed(blocked, links, labels)
         leading = labels.where("lead.tbl = tbl and lead.row_id = row_id")
-        invalid = _kept(leading.select(*KEY).join(blocked, KEY, "left_semi"))
-        if invalid.isEmpty():
+        invalid = _found(leading.select(*KEY).join(climbed, KEY, "left_semi"), True)
+        if not invalid:
             break
-        roots = _kept(roots.join(invalid, KEY, "left_anti"))
-        of_invalid = invalid.select(F.struct("tbl", "row_id").alias("lead"))
-        labels = closure(roots, links, _kept(labels.join(of_invalid, "lead", "left_anti").select(*KEY, "lead")))
+        roots = _found(roots.join(invalid.rows, KEY, "left_anti"), few).rows
+        of_invalid = invalid.rows.select(F.struct("tbl", "row_id").alias("lead"))
+        labels = closure(roots, links, _found(labels.join(of_invalid, "lead", "left_anti").select(*KEY, "lead"), few).rows, few)
     shown = nodes.join(hidden.withColumn("hidden", F.lit(True)), KEY, "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
     own = values.visibility(F.col("reason"), F.lit(True))
     live = F.when(F.col("deleted"), 2).otherwise(0)
     return shown.withColumn("visibility", F.when(F.col("hidden"), F.when(F.col("deleted"), own).otherwise(5)).otherwise(live).cast("int"))
 
 
-def _climbed(blocked: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+def _climbed(blocked: Found, links: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocked rows and those whose closure holds one."""
     within = links.join(_keys(labels, "target_tbl", "value"), ["target_tbl", "value"], "left_semi")
-    front = blocked
+    front, every, rounds = blocked, blocked.rows, 0
     while True:
-        up = within.join(front, KEY, "left_semi").select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct()
-        front = _kept(up.join(blocked, KEY, "left_anti"))
-        if front.isEmpty():
-            return blocked
-        blocked = blocked.unionByName(front)
-
-
-def scope(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """What a projection of some rows has to read (P1, P17): (tbl, row_id, inner). Inner rows are those whose state may change with the
-    seeds: what refers to an inner row, also by a default, and the deleted rows above one. The others are only what inner
-    rows refer to, and so on upwards. A row that many refer to is entered from below without all that refers to it."""
-    edges = refs.select(*KEY, "target_tbl", "value").unionByName(
-        refs.where("action = 'setDefault' and default_id is not null").select(*KEY, "target_tbl", F.col("default_id").alias("value"))
-    )
-    edges = _kept(edges.distinct())
-    quick = with_shortcuts(edges)
+        up = within.join(front.rows, KEY, "left_semi").select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct()
+        front = _found(up.join(every, KEY, "left_anti"), front.few)
+        if not front:
+            return every
+        every, rounds = every.unionByName(front.rows), rounds + 1
+        if rounds % 8 == 0:
+            every = _kept(every)
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What a projection of some rows has to read (P1, P17): inner rows, whose state may change with the seeds; outer ones, which inner rows
+    refer to, and so on upwards; and of these the deleted rows that are known to stay visible, whatever the seeds do."""
+
+    inner: DataFrame
+    outer: DataFrame
+    rejected: DataFrame
+
+
+def scope(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> Scope:
+    """Inner rows are the seeds, what refers to an inner row, also by a default, and the deleted rows above one whose verdict may turn with
+    it. A deleted row reached from below is judged without its children where that is certain (see ``_judged``): only where
+    it is not do its children enter. So a row that many refer to costs a count of them, not their closure."""
+    refs = _kept(refs.select(*KEY, "target_tbl", "value", "action", "nullable", "default_id"))
+    default = F.when(F.col("action") == "setDefault", F.col("default_id"))
+    edges = refs.select(*KEY, "target_tbl", F.explode(F.array("value", default)).alias("value")).where("value is not null")
+    kinds = {tuple(r) for r in refs.select("tbl", "target_tbl", "action", "default_id", "nullable").distinct().collect()}  # as many as the schema has
+    quick = with_shortcuts(edges, {k[:2] for k in kinds})
     deleted = nodes.where("deleted").select(*KEY)
-    inner = outer = nodes.select(*KEY).limit(0)
-    front = _kept(seeds.select(*KEY).distinct())
-    while not front.isEmpty():
-        while not front.isEmpty():  # down
-            inner = inner.unionByName(front)
-            down = quick.join(_keys(front, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").select(*KEY).distinct()
-            front = _kept(down.join(inner, KEY, "left_anti"))
-        inner = _kept(inner)
-        reach = inner.unionByName(outer)
-        up = _kept(_above(edges, inner).join(reach, KEY, "left_anti"))
-        while not up.isEmpty():
-            outer = outer.unionByName(up)
-            reach = reach.unionByName(up)
-            up = _kept(_above(edges, up).join(reach, KEY, "left_anti"))
-        outer = _kept(outer)
-        front = _kept(outer.join(deleted, KEY, "left_semi").join(inner, KEY, "left_anti"))
-    return _kept(inner.withColumn("inner", F.lit(True)).unionByName(outer.join(inner, KEY, "left_anti").withColumn("inner", F.lit(False))))
+    none = nodes.sparkSession.createDataFrame([], nodes.select(*KEY).schema)
+    inner = outer = rejected = none
+    front = _found(seeds.select(*KEY).distinct(), True)
+    while front:
+        few = front.few
+        while front:  # down
+            inner = inner.unionByName(front.rows)
+            down = quick.join(_keys(front.rows, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").select(*KEY).distinct()
+            front = _found(down.join(inner, KEY, "left_anti"), front.few)
+            few = few and front.few
+        inner = _found(inner, few).rows
+        up = _found(_above(edges, inner).join(inner.unionByName(outer), KEY, "left_anti"), few)
+        while up:
+            outer = outer.unionByName(up.rows)
+            up = _found(_above(edges, up.rows).join(inner.unionByName(outer), KEY, "left_anti"), up.few)
+        outer = _found(outer.join(inner, KEY, "left_anti"), few).rows
+        rejected, front = _judged(_found(outer.join(deleted, KEY, "left_semi"), few), nodes, refs, kinds, inner)
+    return Scope(inner, outer, rejected)
+
+
+def _judged(candidates: Found, nodes: DataFrame, refs: DataFrame, kinds: set[tuple], inner: DataFrame) -> tuple[DataFrame, Found]:
+    """Of deleted rows reached from below: those that stay visible for certain, and those that may turn with the inner rows.
+
+    A row is hidden for certain if no table that its deletion cascades to is ever needed: none is named by a restricting
+    reference, or by a default's that may fail. It stays visible for certain if it has a firm child: one outside of the inner
+    rows, not deleted, that restricts it and has no other reference that could hide it.
+    """
+    if not candidates:
+        return candidates.rows, candidates
+    fallible = [k for k in kinds if k[2] == "setDefault" and (k[3] is not None or not k[4])]
+    needed = {k[1] for k in kinds if k[2] in ("noAction", "restrict")} | {k[1] for k in fallible if k[3] is None}
+    asked = {(k[1], k[3]) for k in fallible if k[3] is not None}
+    binding = {k[0] for k in kinds if k[2] != "setNull"}
+    if asked:
+        named = nodes.where(reduce(lambda a, b: a | b, [(F.col("tbl") == t) & (F.col("row_id") == i) for t, i in asked]))
+        sure = {tuple(r) for r in named.where("not deleted").join(inner, KEY, "left_anti").select(*KEY).collect()}  # as many as the schema has
+        needed |= {t for t, i in asked if (t, i) not in sure or t in binding}
+    falls = {(k[1], k[0]) for k in kinds if k[2] == "cascade"}  # deletions go from parent to child
+    settled = {t for t in {x for k in kinds for x in k[:2]} if not _reached(t, falls) & needed}
+    open_rows = candidates.rows.where(~F.col("tbl").isin(*settled)) if settled else candidates.rows
+    hides = refs.where("action <> 'setNull'")
+    children = hides.where("action in ('noAction', 'restrict')").join(_keys(open_rows, "target_tbl", "value"), ["target_tbl", "value"], "left_semi").select(*KEY, "target_tbl", "value")
+    children = children.join(inner, KEY, "left_anti").join(nodes.where("not deleted").select(*KEY), KEY, "left_semi")
+    others = hides.join(children.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.count_distinct("target_tbl", "value").alias("n")).where("n = 1")
+    firm = children.join(others.select(*KEY), KEY, "left_semi").select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct()
+    rejected = _found(firm, candidates.few).rows
+    return rejected, _found(open_rows.join(rejected, KEY, "left_anti"), candidates.few)
+
+
+def _reached(start: str, pairs: set[tuple[str, str]]) -> set[str]:
+    found = {start}
+    while more := {b for a, b in pairs if a in found} - found:
+        found |= more
+    return found
 
 
 def _above(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return edges.join(rows.select(*KEY), KEY, "left_semi").select(F.col("target_tbl").alias("tbl"), F.col("value").alias("row_id")).distinct()
 
 
+def _of_scope(nodes: DataFrame, refs: DataFrame, part: Scope) -> tuple[DataFrame, DataFrame]:
+    """The visibility of all rows of a scope, and their references."""
+    every = part.inner.unionByName(part.outer)
+    kept = part.rejected.withColumn("_stays", F.lit(True))
+    own = nodes.join(every, KEY, "left_semi").join(kept, KEY, "left").withColumn("deleted", F.col("deleted") & F.col("_stays").isNull()).drop("_stays")
+    links = _found(refs.join(every, KEY, "left_semi"), True).rows
+    return visibility(_found(own, True).rows, links, few=True), links
+
+
 def project(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> DataFrame:
     """``visibility`` of the rows that may change with ``seeds`` (Z10), from their scope alone; the same as the whole projection gives them."""
     part = scope(nodes, refs, seeds)
-    own = _kept(visibility(nodes.join(part.select(*KEY), KEY, "left_semi"), refs.join(part.select(*KEY), KEY, "left_semi")))
-    return own.join(part.where("inner").select(*KEY), KEY, "left_semi")
+    return _of_scope(nodes, refs, part)[0].join(part.inner, KEY, "left_semi")
+
+
+def project_values(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``visibility`` and the ``repaired`` references of the rows that may change with ``seeds`` (Z10, P8), from their scope alone. All rows
+    that refer to one that may change are among them, and what they refer to, defaults too, is in the scope."""
+    part = scope(nodes, refs, seeds)
+    shown, links = _of_scope(nodes, refs, part)
+    shown = _found(shown, True).rows
+    return shown.join(part.inner, KEY, "left_semi"), repaired(links.join(part.inner, KEY, "left_semi"), shown)
+
+
+def project_unique(rows: DataFrame, indexes: list[UniqueIndex], kinds: dict[str, str], seeds: DataFrame, before: DataFrame | None = None, *, hidden: str = "hidden", clock: str = "claim_hlc", row_id: str = "row_id", space: str = "space") -> DataFrame:
+    """``unique`` of the rows that may change with ``seeds`` (space, row_id), from the rows they contest tuples with alone.
+
+    ``rows`` are as they are now; ``before`` are the seeds as they were, whose claims are free now. Forwards along the indexes, rows
+    that claim a tuple of rows found so far may change, as those may release or restore it. Backwards, what a row shows
+    depends on those that claim its tuples. A released column claims nothing, or a text that is its row's own, so authored tuples
+    tell all. A step is a semi join on the exact tuple; rows with a null in it share none.
+    """
+    key = [space, row_id]
+    own = rows.select(*key, *dict.fromkeys(c for i in indexes for c in i.columns))
+    found = own.join(seeds.select(*key), key, "left_semi")
+    if before is not None:
+        found = found.unionByName(before.select(own.columns))
+    found = _found(found, True)
+    for index in indexes:
+        found = _found(found.rows.unionByName(_sharing(own, found.rows, index, space)).distinct(), found.few)
+    affected = found.rows.select(*key)
+    for index in reversed(indexes):
+        found = _found(found.rows.unionByName(_sharing(own, found.rows, index, space)).distinct(), found.few)
+    return unique(rows.join(found.rows.select(*key), key, "left_semi"), indexes, kinds, hidden=hidden, clock=clock, row_id=row_id, space=space).join(affected, key, "left_semi")
+
+
+def _sharing(rows: DataFrame, found: DataFrame, index: UniqueIndex, space: str) -> DataFrame:
+    """Rows that claim a tuple of an index which a row in ``found`` claims."""
+    return claimants(rows, found, [space, *index.columns])
 
 
 def overlaid(refs: DataFrame, overlays: DataFrame) -> DataFrame:
@@ -342,23 +481,24 @@ def unique(rows: DataFrame, indexes: list[UniqueIndex], kinds: dict[str, str], *
     the earliest claim (ties: the smaller id) keeps it. A tuple with a null claims nothing. The released column shows
     null, a marked text or a synthetic id by its kind in ``kinds``; ``unique_reason`` tells why.
 
-    One window per index, by claim tuple. A tuple that very many rows claim is still one sort: hence only keys and
-    clocks enter it when the caller selects them so.
+    One window per index, by claim tuple; rows without a whole tuple, which may be most, do not enter it. A tuple that very many
+    rows claim is still one sort: hence only keys and clocks enter it when the caller selects them so.
     """
     out = rows.withColumn("unique_reason", F.lit(None).cast("string"))
     for index in indexes:
         claims = [F.col(c) for c in index.columns]
         whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in claims])
         place = F.row_number().over(W.partitionBy(space, *index.columns, F.col(hidden)).orderBy(clock, row_id))
-        why = F.when(whole & F.col(hidden), "hiddenUniqueRelease").when(whole & ~F.col(hidden) & (place > 1), "uniqueConflict")
+        why = F.when(F.col(hidden), "hiddenUniqueRelease").when(~F.col(hidden) & (place > 1), "uniqueConflict")
         released = index.release
         suffix = F.when(F.col("_why") == "hiddenUniqueRelease", "hidden").otherwise("conflict")
         free = values.conflict_free(kinds[released], F.col(released).cast("string"), F.col(row_id), released)
         if kinds[released] == "text":
             free = F.concat(F.col(released), F.lit("__"), suffix, F.lit("__"), F.col(row_id))
-        out = out.withColumn("_why", why)
-        out = out.withColumn(released, F.when(F.col("_why").isNotNull(), free.cast(rows.schema[released].dataType)).otherwise(F.col(released)))
-        out = out.withColumn("unique_reason", F.coalesce("_why", "unique_reason")).drop("_why")
+        claiming = out.where(whole).withColumn("_why", why)
+        claiming = claiming.withColumn(released, F.when(F.col("_why").isNotNull(), free.cast(rows.schema[released].dataType)).otherwise(F.col(released)))
+        claiming = claiming.withColumn("unique_reason", F.coalesce("_why", "unique_reason")).drop("_why")
+        out = claiming.unionByName(out.where(~whole))
     return out
 
 
@@ -384,8 +524,9 @@ def local_unique(rows: DataFrame, index: UniqueIndex, *, hidden: str = "hidden",
     being restored are exempt), ``released`` for hidden claims, else ``kept``."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in index.columns])
     others = F.sum(F.when(~F.col(hidden), 1).otherwise(0)).over(W.partitionBy(space, *index.columns))
-    outcome = F.when(whole & F.col(hidden), "released").when(whole & ~F.col(hidden) & (others > 1) & ~F.col(restoring), "refused").otherwise("kept")
-    return rows.withColumn("outcome", outcome)
+    outcome = F.when(F.col(hidden), "released").when(~F.col(hidden) & (others > 1) & ~F.col(restoring), "refused").otherwise("kept")
+    # rows without a whole tuple claim nothing and stay out of the window
+    return rows.where(whole).withColumn("outcome", outcome).unionByName(rows.where(~whole).withColumn("outcome", F.lit("kept")))
 
 
 def claimants(rows: DataFrame, claims: DataFrame, columns: list[str]) -> DataFrame:

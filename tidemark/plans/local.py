@@ -126,12 +126,13 @@ def drift_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", clocks.drift_text(F.when(n % 3 == 0, n * 1000).otherwise(n * 37)).alias("drift"))
 
 
-@query("""SELECT nullable, kind, fk, CASE WHEN kind = 'json' THEN NULL WHEN nullable THEN 'null' WHEN kind = 'string' THEN 'text' WHEN kind = 'uuid' AND NOT fk THEN 'uuid' END AS release
-  FROM (VALUES (true), (false)) a(nullable), (VALUES ('string'), ('uuid'), ('json'), ('bigint')) b(kind), (VALUES (true), (false)) c(fk)""")
+@query("""SELECT o_orderkey, CASE WHEN kind = 'json' THEN NULL WHEN nullable THEN 'null' WHEN kind = 'string' THEN 'text' WHEN kind = 'uuid' AND NOT fk THEN 'uuid' END AS release
+  FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'uuid' WHEN 2 THEN 'json' ELSE 'bigint' END AS kind, o_custkey % 2 = 0 AS nullable, o_orderstatus = 'F' AS fk FROM orders)""")
 def release_kinds(spark, sf_dir):
-    """How columns can give up a unique claim."""
-    every = [(n, k, f, values.release_kind(n, k, f)) for n in (True, False) for k in ("string", "uuid", "json", "bigint") for f in (True, False)]
-    return spark.createDataFrame(every, "nullable boolean, kind string, fk boolean, release string")
+    """How the columns of a registry can give up a unique claim."""
+    k = F.col("o_orderkey") % 4
+    kind = F.when(k == 0, "string").when(k == 1, "uuid").when(k == 2, "json").otherwise("bigint")
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.release(F.col("o_custkey") % 2 == 0, kind, F.col("o_orderstatus") == "F").alias("release"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 OR p_partkey % 5 = 0 THEN NULL ELSE p_brand || chr(31) || CAST(p_size AS VARCHAR) END AS claim, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN lower(p_brand) END, '') AS text FROM part""")
@@ -170,12 +171,14 @@ def column_defaults(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", values.default_value(quoted, "string").alias("of_text"), values.default_value(uid, "uuid").alias("of_uuid"))
 
 
-@query("""SELECT * FROM (VALUES ('line', 'l_suppkey', true, true), ('line', 'l_comment', false, true), ('part', 'id', true, false), ('part', 'p_name', false, false), ('orders', 'o_custkey', true, false)) v(tbl, "column", affects, by_default)""")
+@query("""WITH w AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'line' WHEN 1 THEN 'line' WHEN 2 THEN 'part' WHEN 3 THEN 'part' ELSE 'orders' END AS tbl, CASE event_id % 5 WHEN 0 THEN 'l_suppkey' WHEN 1 THEN 'l_comment' WHEN 2 THEN 'id' WHEN 3 THEN 'p_name' ELSE 'o_custkey' END AS col FROM events)
+  SELECT event_id, col IN ('l_suppkey', 'id', 'o_custkey') AS affects, tbl = 'line' AS by_default FROM w""")
 def reference_helpers(spark, sf_dir):
-    """Whether a column's write may change references, and tables that fall back on defaults."""
-    asked = [("line", "l_suppkey"), ("line", "l_comment"), ("part", "id"), ("part", "p_name"), ("orders", "o_custkey")]
-    rows = [(t, c, schema.may_affect_references(EDGES, t, {c}), t in schema.default_consumers(EDGES)) for t, c in asked]
-    return spark.createDataFrame(rows, "tbl string, column string, affects boolean, by_default boolean")
+    """Writes that may change references, and those of tables that fall back on defaults."""
+    k = F.col("event_id") % 5
+    tbl = F.when(k < 2, "line").when(k < 4, "part").otherwise("orders")
+    column = F.when(k == 0, "l_suppkey").when(k == 1, "l_comment").when(k == 2, "id").when(k == 3, "p_name").otherwise("o_custkey")
+    return table(spark, sf_dir, "events").select("event_id", schema.affects_references(EDGES, tbl, column).alias("affects"), tbl.isin(*schema.default_consumers(EDGES)).alias("by_default"))
 
 
 #: A table of which two columns are not direct.
@@ -201,6 +204,35 @@ def project_seeds(spark, sf_dir):
     return found.join(own, ["tbl", "row_id"], "left_semi").select("tbl", "row_id", "visibility")
 
 
+@query(f"""WITH {WORLD}, {SUPPLIER_HIDDEN}, one AS (SELECT NOT hidden AS live FROM sh WHERE s_suppkey = 1), l AS (SELECT ln.*, (SELECT live FROM one) AS live FROM ln WHERE l_orderkey % 40 = 0)
+  SELECT line_id AS row_id, 'l_partkey' AS col, CASE WHEN p_size > 45 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS shown, CASE WHEN p_size > 45 THEN 'foreignKeySetNull' END AS reason FROM l JOIN part ON p_partkey = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM od)
+  UNION ALL SELECT line_id, 'l_suppkey', CASE WHEN hidden AND live THEN '1' ELSE CAST(l_suppkey AS VARCHAR) END, CASE WHEN hidden AND live THEN 'foreignKeySetDefault' END FROM l JOIN sh ON s_suppkey = l_suppkey WHERE l_orderkey IN (SELECT o_orderkey FROM od)
+  UNION ALL SELECT line_id, 'l_orderkey', CAST(l_orderkey AS VARCHAR), NULL FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM od)""")
+def project_values(spark, sf_dir):
+    """What the references of some orders' lines show, projected anew from their scope."""
+    nodes, refs = world(spark, sf_dir)
+    seeds = nodes.where("tbl = 'orders' and cast(row_id as bigint) % 40 = 0").select("tbl", "row_id")
+    values_shown = projection.project_values(nodes, refs, seeds)[1]
+    return values_shown.where("tbl = 'line'").select("row_id", "col", "shown", "reason")
+
+
+@query(f"""WITH {PARTS}, s AS (SELECT p_brand, p_size, p_type FROM p WHERE CAST(row_id AS BIGINT) % 100 = 0 UNION SELECT p_brand, p_size % 7, p_type FROM p WHERE CAST(row_id AS BIGINT) % 100 = 0),
+  f AS (SELECT row_id, p_brand, p_size, p_type FROM p WHERE (p_brand, p_size) IN (SELECT p_brand, p_size FROM s) OR CAST(row_id AS BIGINT) % 100 = 0),
+  aff AS (SELECT row_id FROM f UNION SELECT row_id FROM p WHERE (p_type, p_size) IN (SELECT p_type, p_size FROM f UNION SELECT p_type, p_size FROM s)),
+  a AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size, hidden ORDER BY ms, row_id) AS k FROM p),
+  b AS (SELECT row_id, p_brand, p_type, hidden, ms, CASE WHEN hidden OR k > 1 THEN NULL ELSE p_size END AS p_size, hidden OR k > 1 AS free FROM a),
+  c AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_size, hidden ORDER BY ms, row_id) AS k2 FROM b)
+  SELECT row_id, CAST(CASE WHEN p_size IS NOT NULL AND k2 > 1 THEN NULL ELSE p_size END AS INTEGER) AS p_size,
+    CASE WHEN free THEN CASE WHEN hidden THEN 'hiddenUniqueRelease' ELSE 'uniqueConflict' END WHEN p_size IS NOT NULL AND k2 > 1 THEN 'uniqueConflict' END AS unique_reason FROM c SEMI JOIN aff USING (row_id)""")
+def project_claims(spark, sf_dir):
+    """Unique claims that some parts' new sizes may change, projected anew from the parts they contest tuples with."""
+    rows = parts(spark, sf_dir)
+    indexes = [UniqueIndex(("p_brand", "p_size"), "p_size"), UniqueIndex(("p_type", "p_size"), "p_size")]
+    seeds = rows.where(F.col("row_id").cast("bigint") % 100 == 0)
+    found = projection.project_unique(rows, indexes, {"p_size": "null"}, seeds.select("space", "row_id"), seeds.withColumn("p_size", (F.col("p_size") % 7).cast("int")))
+    return found.select("row_id", "p_size", "unique_reason")
+
+
 @query(f"""WITH {WORLD}, x AS (SELECT line_id, l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN l_suppkey END ELSE l_partkey END AS v FROM ln)
   SELECT line_id AS row_id, CAST(v AS VARCHAR) AS value FROM x WHERE v IS NOT NULL""")
 def planned_references(spark, sf_dir):

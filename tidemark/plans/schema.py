@@ -151,6 +151,12 @@ def may_affect_references(edges: list[ForeignKey], table: str, touched: set[str]
     return bool(touched & reference_columns(edges, table)) or ("id" in touched and any(e.parent == table for e in edges))
 
 
+def affects_references(edges: list[ForeignKey], table: SqlColumn, column: SqlColumn) -> SqlColumn:
+    """``may_affect_references`` of each write of a log."""
+    own = {(e.table, e.column) for e in edges} | {(e.parent, "id") for e in edges}
+    return F.struct(table.alias("t"), column.alias("c")).isin(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in sorted(own)])
+
+
 def default_consumers(edges: list[ForeignKey]) -> set[str]:
     """Tables whose references may fall back on a default row."""
     return {e.table for e in edges if e.on_delete == "setDefault" and e.default is not None}
