@@ -95,3 +95,19 @@ def test_grants_and_violations(spark):
         spaces.granted_all(members, users, members.select("space").distinct(), "s", "owner")
     rows = spark.createDataFrame([("t", None, 5), ("t", None, 3), ("t", "o", 4)], "type string, owner string, seen_at long").withColumn("hlc", F.col("seen_at"))
     assert {(r.owner, r.first_seen, r.last_seen, r.occurrences) for r in spaces.violations(rows, ["type", "owner"]).collect()} == {(None, 3, 5, 2), ("o", 4, 4, 1)}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_inserts_in_any_order_of_batches_give_the_rebuild(spark, seed):
+    frame, log = make_log(spark, seed)
+    log = [r for r in log if r[3] == "insert"]
+    rng = random.Random(seed)
+    rng.shuffle(log)
+    plain = lambda state: ({(r.row_id, r.hlc) for r in state.rows.collect()}, {(r.row_id, r.cl_flag, r.hlc, r.reason) for r in state.generations.collect()}, {(r.row_id, r.column, r.value, r.hlc) for r in state.fields.collect()})
+    want = plain(merge.state_of(spark.createDataFrame(log, logs.SCHEMA), COLUMNS, with_later_inserts=True))
+    cuts = sorted(rng.sample(range(1, len(log)), 2))
+    state = merge.state_of(spark.createDataFrame([], logs.SCHEMA), COLUMNS)
+    for a, b in zip([0, *cuts], [*cuts, len(log)]):
+        state = merge.merged(state, spark.createDataFrame(log[a:b], logs.SCHEMA), COLUMNS, with_later_inserts=True)
+    again = merge.merged(state, spark.createDataFrame(log[:4], logs.SCHEMA), COLUMNS, with_later_inserts=True)
+    assert plain(state) == want == plain(again)

@@ -108,3 +108,13 @@ def test_checkpoints(spark):
     assert {r.node: r.hlc.ms for r in replicate.advanced(known, older, force=True).collect()} == {"a": 3, "c": 1}
     assert replicate.after_checkpoints(changes.limit(0), known).count() == 0
     assert replicate.resume_vector(known.withColumnRenamed("hlc", "last"), older.limit(0), "z", F.lit(9)).first().hlc.ms == 0
+
+
+def test_a_count_starts_anew_when_a_checkpoint_goes_back(spark):
+    clock = "struct<ms:bigint,counter:int,node:string>"
+    rows = spark.createDataFrame([("s", "t", str(i), (i, 0, "n")) for i in range(10)], f"space string, tbl string, row_id string, hlc {clock}")
+    at = lambda ms: spark.createDataFrame([("s", "n", (ms, 0, "n"))] if ms is not None else [], f"space string, node string, hlc {clock}")
+    count = lambda *seen: replicate.unsent_count(lambda: [rows], iter([at(m) for m in seen]).__next__, "n")
+    assert count(6, 6) == 3 and count(6, 8) == 3  # forwards is fine
+    assert count(6, 2, 2) == 7 and count(6, None, None) == 10  # replaced by an older one, or gone
+    assert count(8, 7, 6, 5) == 10  # after three attempts all count

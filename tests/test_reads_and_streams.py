@@ -8,6 +8,7 @@ from tidemark import errors
 from tidemark.operators import accounts, merge, record, spaces, visibility
 from tidemark.plans import schema
 from tidemark.sources import log as logs
+from tidemark.sources.log import SCHEMA
 from tidemark.streaming import live
 
 
@@ -75,7 +76,7 @@ def test_versions_take_turns(spark, tmp_path):
     sink = live.MergeSink(str(tmp_path / "state"), {"note": ["title"]}, kept=2)
     for k in range(4):
         sink(spark.createDataFrame([("s", "note", str(k), "insert", None, None, {"title": "a"}, None, None, (k, 0, "a"))], logs.SCHEMA), k)
-    assert sink.newest == 3 and sink.state(spark, 3).rows.count() == 4 and sink.state(spark, 2).rows.count() == 3
+    assert sink.newest(spark) == 3 and sink.state(spark, 3).rows.count() == 4 and sink.state(spark, 2).rows.count() == 3
     assert len(list((tmp_path / "state").iterdir())) == 2
     with pytest.raises(LookupError):
         sink.state(spark, 1)
@@ -150,3 +151,49 @@ def test_frames_over_a_table_and_a_stream(spark, tmp_path):
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     live.framed(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == WANT
+
+
+def change(row, kind, ms, *, space="s", node="n", column=None, value=None, payload=None, cl=None, reason=None):
+    return (space, "note", row, kind, column, value, payload, cl, reason, (ms, 0, node))
+
+
+def test_a_batch_rewrites_the_buckets_it_touches_and_a_new_sink_finds_them(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    sink = live.MergeSink(folder, {"note": ["title"]}, buckets=32)
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    sink(frame([change(str(i), "insert", 1, payload={"title": f"t{i}"}) for i in range(400)]), 0)
+    before = sink.manifest(spark, 0)
+    sink(frame([change("7", "update", 5, column="title", value="new")]), 1)
+    after = sink.manifest(spark, 1)
+    assert len(before) == 32 and [b for b in before if after[b] != 0] == [b for b in after if after[b] == 1] and sum(v == 1 for v in after.values()) == 1
+    again = live.MergeSink(folder, {"note": ["title"]}, buckets=32)
+    assert again.newest(spark) == 1 and again.state(spark, 1).rows.count() == 400
+    assert {r.value for r in again.state(spark, 1).fields.where("row_id = '7'").collect()} == {"new"}
+    assert {r.value for r in again.state(spark, 0).fields.where("row_id = '7'").collect()} == {"t7"}
+    # a batch that broke off before its manifest leaves the version before it as the newest, and is tried again
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{folder}/data/v2/rows/bucket=0")
+    assert again.newest(spark) == 1
+    again(frame([change("8", "update", 6, column="title", value="newer")]), 2)
+    for k in range(3, 7):
+        again(frame([change("8", "update", 6 + k, column="title", value=f"x{k}")]), k)
+    assert again.versions(spark) == [4, 5, 6] and again.state(spark, 6).rows.count() == 400
+    with pytest.raises(LookupError):
+        again.state(spark, 1)
+    assert not (tmp_path / "state" / "data" / "v2").exists()
+
+
+def test_a_unit_with_a_violation_falls_whole(spark, tmp_path):
+    granted = spark.createDataFrame([("s", "n", "readWrite"), ("t", "n", "readWrite"), ("s", "m", "readOnly"), ("t", "m", "readWrite")], "space string, node string, role string")
+    sink = live.MergeSink(str(tmp_path / "state"), {"note": ["title"]}, unit="hlc.node", granted=granted, reserved={"title": "text"})
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    mark = "x__hidden__00000000-0000-4000-8000-000000000001"
+    sink(frame([change("1", "insert", 1, payload={"title": "a"}), change("2", "insert", 1, node="m", space="t", payload={"title": "b"}), change("3", "insert", 2, node="m", payload={"title": "c"})]), 0)
+    assert {r.row_id for r in sink.state(spark, 0).rows.collect()} == {"1"}
+    sink(frame([change("2", "insert", 4, node="m", space="t", payload={"title": "b"}), change("4", "insert", 4, payload={"title": "d"}), change("1", "update", 5, column="title", value=mark)]), 1)
+    state = sink.state(spark, 1)
+    assert {r.row_id for r in state.rows.collect()} == {"1", "2"} and {r.value for r in state.fields.where("row_id = '1'").collect()} == {"a"}
+    sink(frame([change("1", "update", 6, node="m", space="t", column="title", value="mine"), change("5", "insert", 6, payload={"title": mark})]), 2)
+    sink(frame([change("1", "update", 9, node="m", space="t", column="title", value="mine")]), 3)
+    found = {(r.kind, r.row_id, r.node): (r.first_seen, r.last_seen, r.occurrences) for r in sink.violations(spark, 3).collect()}
+    assert found == {("unauthorizedWrite", "3", "m"): (0, 0, 1), ("reservedValue", "1", "n"): (1, 1, 1), ("ownershipCollision", "1", "m"): (2, 3, 2), ("reservedValue", "5", "n"): (2, 2, 1)}
+    assert {r.row_id for r in sink.state(spark, 3).rows.collect()} == {"1", "2"}

@@ -5,12 +5,14 @@ A change log has the columns space, tbl, row_id, kind (insert, update, delete),
 clock per column) and generations (visibility). Registers and generations are maxima over clocks, so merging them is commutative,
 associative and idempotent, and one shuffle by row key with map-side partials is all it takes. Births are not: a row that
 is stored keeps its clock, so batches that bring the inserts of one row in another order give it another birth (a
-rebuild takes the smallest), and updates that come before any insert of their row are dropped.
+rebuild takes the smallest, and so does ``merged`` where it is asked to), and updates that come before any insert of their
+row are dropped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,15 +83,54 @@ def state_of(changes: DataFrame, columns: dict[str, list[str]], *, with_later_in
     return State(rows, fields, stored)
 
 
-def merged(state: State, changes: DataFrame, columns: dict[str, list[str]]) -> State:
-    """State after one more batch. Stored row clocks stay; registers take the larger clock of both sides."""
-    fresh = births(changes).join(state.rows.select(*ROW), ROW, "left_anti")
-    rows = state.rows.unionByName(fresh)
+def merged(state: State, changes: DataFrame, columns: dict[str, list[str]], *, with_later_inserts: bool = False) -> State:
+    """State after one more batch. Stored row clocks stay; registers take the larger clock of both sides.
+
+    ``with_later_inserts`` (M5) makes births a register as well: a row's clock is the smallest of its inserts, whichever batch
+    brings it, and every other insert's, a stored birth's too, a generation. So batches of inserts in any order give what a
+    rebuild gives.
+    """
+    if with_later_inserts:
+        inserts = changes.where("kind = 'insert'").select(*ROW, "hlc").unionByName(state.rows.select(*ROW, "hlc"))
+        rows = inserts.groupBy(*ROW).agg(F.min("hlc").alias("hlc"))
+        again = inserts.join(rows.withColumnRenamed("hlc", "_born"), ROW).where("hlc > _born")
+        more = again.select(*ROW, F.lit(1).alias("cl_flag"), "hlc", F.lit("userInsert").alias("reason"))
+    else:
+        rows = state.rows.unionByName(births(changes).join(state.rows.select(*ROW), ROW, "left_anti"))
+        more = None
     keys = rows.select(*ROW)
     fields = registers(state.fields.unionByName(field_writes(changes, columns))).join(keys, ROW, "left_semi")
     new = generations(changes).join(keys, ROW, "left_semi")
-    both = state.generations.unionByName(new).groupBy(*ROW).agg(F.max(F.struct("cl_flag", "hlc", "reason")).alias("last"))
-    return State(rows, fields, both.select(*ROW, F.col("last.cl_flag").alias("cl_flag"), F.col("last.hlc").alias("hlc"), F.col("last.reason").alias("reason")))
+    both = state.generations.unionByName(new)
+    return State(rows, fields, _largest(both if more is None else both.unionByName(more)))
+
+
+VIOLATION = [*ROW, "column", "node", "hlc", "kind"]
+
+
+def violations_of(changes: DataFrame, *, owners: DataFrame, granted: DataFrame | None = None, reserved: dict[str, str] | None = None, by: list[str] = ()) -> DataFrame:
+    """What a batch may not do, found before anything of it is merged (M2, M9, T11, M15): ``VIOLATION`` and the columns ``by``.
+
+    ``reservedValue``: a text that only projection writes, in a column of ``reserved`` (column to text or uuid).
+    ``ownershipCollision``: a row that another space owns, by ``owners`` (tbl, row_id, owner_space) or by the first insert of it here.
+    ``unauthorizedWrite``: a space in which the author's node (``granted``: space, node, role) may not write.
+    """
+    kept = lambda rows, column, kind: rows.select(*by, *ROW, column.alias("column"), F.col("hlc.node").alias("node"), "hlc", F.lit(kind).alias("kind"))
+    none = F.lit(None).cast("string")
+    found = []
+    if reserved:
+        text = lambda c: F.when(F.col("kind") == "insert", F.try_element_at("payload", F.lit(c))).when((F.col("kind") == "update") & (F.col("column") == c), F.col("value"))
+        bad = F.array(*[F.when(values.is_reserved(text(c), kind), c) for c, kind in reserved.items()])
+        spread = changes.withColumn("column", F.explode(bad)).where("column is not null")
+        found.append(kept(spread, F.col("column"), "reservedValue"))
+    first = changes.where("kind = 'insert'").groupBy("tbl", "row_id").agg(F.min_by("space", "hlc").alias("owner_space"))
+    every = owners.select("tbl", "row_id", "owner_space").unionByName(first.join(owners.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti"))
+    found.append(kept(ownership_collisions(changes, every), none, "ownershipCollision"))
+    if granted is not None:
+        may = granted.where("role = 'readWrite'").select(F.col("space").alias("_space"), F.col("node").alias("_node"))
+        others = changes.join(may, (F.col("space") == F.col("_space")) & (F.col("hlc.node") == F.col("_node")), "left_anti")
+        found.append(kept(others, none, "unauthorizedWrite"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def row_visibility(state: State) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
@@ -73,6 +73,27 @@ def unsent_rows(parts: list[DataFrame], checkpoints: DataFrame, own_node: str, h
     return reduce(DataFrame.unionByName, keys).distinct().agg(F.count("*").alias("unsent"))
 
 
+def went_back(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(space, node) whose checkpoint is gone or older than it was."""
+    now = after.select("space", "node", F.col("hlc").alias("_now"))
+    return before.join(now, ["space", "node"], "left").where("_now is null or _now < hlc").select("space", "node")
+
+
+def unsent_count(parts: Callable[[], list[DataFrame]], checkpoints: Callable[[], DataFrame], own_node: str, held: Callable[[], DataFrame] | None = None, *, attempts: int = 3) -> int:
+    """``unsent_rows`` while others write (T14): the functions read what is stored at that time. Checkpoints that are read before a count
+    and again after it must not have gone back in between, as replaced ones do: else rows they cleared were not counted. After
+    ``attempts`` such counts all own rows count, which is never too few."""
+    counted = lambda confirmed: unsent_rows(parts(), confirmed, own_node, held() if held else None).first()["unsent"]
+    before = staged(checkpoints().select("space", "node", "hlc"), "checkpoints")
+    for _ in range(attempts):
+        found = counted(before)
+        after = staged(checkpoints().select("space", "node", "hlc"), "checkpoints")
+        if went_back(before, after).isEmpty():
+            return found
+        before = after
+    return counted(before.limit(0))
+
+
 def pending(state: State, checkpoints: DataFrame) -> DataFrame:
     """Changes to send, without payload (T1, U4): births, then sparse field clocks, then replicated generations after the checkpoints.
     Checkpoints filter each table before anything is joined."""

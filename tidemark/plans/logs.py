@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hlc as clocks
 from ..functions import values
 from ..operators import merge, replicate
+from ..sources.shared import staged
 from .registry import query, table
 
 #: The columns of the replicated profile table.
@@ -114,6 +115,20 @@ def incremental_merge(spark, sf_dir):
     return state.rows.join(merge.wide(state.fields, PROFILE["profile"]), merge.ROW).select("row_id", F.col("hlc.ms").alias("birth_ms"), "name", "score")
 
 
+@query(f"""WITH {LOG}, i AS (SELECT space, row_id, event_id, {{'ms': ms, 'c': c, 'n': n}} AS k FROM log WHERE event_type = 'signup'), b AS (SELECT space, row_id, min(k) AS k0, bool_or(event_id % 2 = 0) AS early FROM i GROUP BY space, row_id),
+  g AS (SELECT space, row_id, cl, {{'ms': ms, 'c': c, 'n': n}} AS k, reason FROM log JOIN b USING (space, row_id) WHERE cl IS NOT NULL AND (event_id % 2 = 1 OR early)
+    UNION ALL SELECT space, row_id, 1, k, 'userInsert' FROM i JOIN b USING (space, row_id) WHERE k > k0),
+  m AS (SELECT space, row_id, max({{'cl': cl, 'k': k, 'r': reason}}) AS m FROM g GROUP BY space, row_id)
+  SELECT row_id, k0.ms AS birth_ms, m.cl AS cl_flag, m.k.ms AS hlc_ms, m.r AS reason FROM b LEFT JOIN m USING (space, row_id)""")
+def incremental_known_insert(spark, sf_dir):
+    """Births and generations after two batches where births are registers too: what a rebuild gives."""
+    log = profile_log(spark, sf_dir)
+    first = merge.state_of(log.where("event_id % 2 = 0"), PROFILE, with_later_inserts=True)
+    state = merge.merged(first, log.where("event_id % 2 = 1"), PROFILE, with_later_inserts=True)
+    kept = state.generations.withColumnRenamed("hlc", "generation")
+    return state.rows.join(kept, merge.ROW, "left").select("row_id", F.col("hlc.ms").alias("birth_ms"), "cl_flag", F.col("generation.ms").alias("hlc_ms"), "reason")
+
+
 CUT_MS = "(SELECT CAST((min(ms) + max(ms)) // 2 AS BIGINT) FROM ev)"
 CP = f"cp AS (SELECT space, n, max({STAMP}) AS k FROM ev WHERE ms <= {CUT_MS} AND n <> 'n2' GROUP BY space, n)"
 NEWER = "(k IS NULL OR ms > k.ms OR (ms = k.ms AND c > k.c))"
@@ -172,6 +187,20 @@ def unsent_row_count(spark, sf_dir):
     return replicate.unsent_rows(parts, half_checkpoints(event_log(spark, sf_dir)), "n1", held)
 
 
+@query(f"""WITH {LOG}, {CP}, b AS (SELECT space, row_id, min({STAMP}) AS s FROM log WHERE event_type = 'signup' GROUP BY space, row_id),
+  w AS (SELECT space, row_id, 'name' AS col, {STAMP} AS s FROM log WHERE event_type IN ('signup', 'view') UNION ALL SELECT space, row_id, 'score', {STAMP} FROM log WHERE event_type IN ('signup', 'click')),
+  f AS (SELECT space, row_id, col, max(s) AS s FROM w SEMI JOIN b USING (space, row_id) GROUP BY space, row_id, col),
+  g AS (SELECT space, row_id, max({{'cl': cl, 's': {STAMP}}}).s AS s FROM log SEMI JOIN b USING (space, row_id) WHERE cl IS NOT NULL GROUP BY space, row_id),
+  every AS (SELECT space, row_id, s.n AS n, s.ms AS ms, s.c AS c FROM b UNION ALL SELECT space, row_id, s.n, s.ms, s.c FROM f UNION ALL SELECT space, row_id, s.n, s.ms, s.c FROM g)
+  SELECT count(*) AS unsent FROM (SELECT DISTINCT space, row_id FROM every LEFT JOIN cp USING (space, n) WHERE n = 'n1' AND {NEWER})""")
+def unsent_stored_rows(spark, sf_dir):
+    """Own rows of a stored state that still wait, counted while checkpoints may be replaced."""
+    state = merge.state_of(profile_log(spark, sf_dir), PROFILE)
+    stored = [staged(t.select("space", "tbl", "row_id", "hlc"), "stored") for t in (state.rows, state.fields, state.generations)]
+    confirmed = half_checkpoints(event_log(spark, sf_dir))
+    return spark.createDataFrame([(replicate.unsent_count(lambda: stored, lambda: confirmed, "n1"),)], "unsent long")
+
+
 STATE_SQL = f"""b AS (SELECT space, row_id, min({STAMP}) AS k0 FROM log WHERE event_type = 'signup' GROUP BY space, row_id),
   w AS (SELECT space, row_id, 'name' AS col, nm AS v, {STAMP} AS s FROM log WHERE event_type IN ('signup', 'view')
     UNION ALL SELECT space, row_id, 'score', CASE event_type WHEN 'click' THEN cents END, {STAMP} FROM log WHERE event_type IN ('signup', 'click')),

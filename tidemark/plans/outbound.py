@@ -12,7 +12,7 @@ from ..functions import hlc as clocks
 from ..functions import values
 from ..operators import accounts, merge, record, replicate
 from ..sources import log as logs_io
-from ..sources.shared import new_path
+from ..sources.shared import new_path, staged
 from ..streaming import live
 from . import schema
 from .logs import EV, LOG, PROFILE, event_log, flat, profile_log
@@ -366,23 +366,69 @@ def stream_frames(spark, sf_dir):
     return spark.read.schema(live.FRAMES_OUT).parquet(out)
 
 
-def _merged_stream(spark, sf_dir, **options) -> live.MergeSink:
-    rows = logs_io.aligned(profile_log(spark, sf_dir)).withColumn("at", F.col("hlc.ms"))
+def _merged_stream(spark, sf_dir, rows: DataFrame | None = None, **options) -> live.MergeSink:
+    rows = logs_io.aligned(profile_log(spark, sf_dir)) if rows is None else rows
     sink, checkpoint = live.MergeSink(new_path(spark, "stream-state"), PROFILE, **options), new_path(spark, "stream-checkpoint")
-    for folder in _arrivals(spark, rows, "at", 3):
+    for folder in _arrivals(spark, rows.withColumn("at", F.col("hlc.ms")), "at", 3):
         live.merging(live.change_stream(spark, folder, None), sink, checkpoint).awaitTermination()
     return sink
 
 
-@query()
-def stream_merge(spark, sf_dir):
-    """A log merged batch by batch from a stream."""
-    sink = _merged_stream(spark, sf_dir)
-    state = sink.state(spark, sink.newest) or merge.state_of(logs_io.aligned(profile_log(spark, sf_dir)).limit(0), PROFILE)
+def _shown(spark, sf_dir, sink: live.MergeSink) -> DataFrame:
+    state = sink.state(spark, sink.newest(spark)) or merge.state_of(logs_io.aligned(profile_log(spark, sf_dir)).limit(0), PROFILE)
     fields = merge.wide(state.fields, PROFILE["profile"])
     return merge.row_visibility(state).join(fields, merge.ROW).select("row_id", "name", "score", F.col("hlc.ms").alias("birth_ms"), "cl_flag", "visibility")
 
 
+#: The state after three arrivals, even stretches of the clock: a row is known from the arrival of its first insert on.
+ARRIVED = """tm AS (SELECT min(ms) AS low, max(ms) AS high FROM log), arr AS (SELECT log.*, (ms - low) * 3 // (high - low + 1) AS a FROM log, tm)"""
+STREAMED = """b AS (SELECT row_id, a0, min({'ms': ms, 'c': c, 'n': n}).ms AS birth_ms FROM (SELECT *, min(a) OVER (PARTITION BY row_id) AS a0 FROM fct WHERE event_type = 'signup') WHERE a = a0 GROUP BY row_id, a0),
+  w AS (SELECT row_id, a, 'name' AS col, nm AS v, ms, c, n FROM fct WHERE event_type IN ('signup', 'view') UNION ALL SELECT row_id, a, 'score', CASE event_type WHEN 'click' THEN cents END, ms, c, n FROM fct WHERE event_type IN ('signup', 'click')),
+  f AS (SELECT row_id, max(CASE col WHEN 'name' THEN v END) AS name, max(CASE col WHEN 'score' THEN v END) AS score FROM
+    (SELECT row_id, col, last(v ORDER BY ms, c, n) AS v FROM w JOIN b USING (row_id) WHERE a >= a0 GROUP BY row_id, col) GROUP BY row_id),
+  g AS (SELECT row_id, max(cl) AS cl, arg_max(reason, {'cl': cl, 'ms': ms, 'c': c, 'n': n}) AS reason FROM fct JOIN b USING (row_id) WHERE cl IS NOT NULL AND a >= a0 GROUP BY row_id)
+  SELECT b.row_id, name, score, birth_ms, coalesce(cl, 1) AS cl_flag, CASE WHEN coalesce(cl, 1) % 2 = 0 THEN 3 ELSE CASE reason WHEN 'userReinsert' THEN 1 ELSE 0 END END AS visibility
+  FROM b JOIN f USING (row_id) LEFT JOIN g USING (row_id)"""
+
+
+@query(f"WITH {LOG}, {ARRIVED}, fct AS (SELECT * FROM arr), {STREAMED}")
+def stream_merge(spark, sf_dir):
+    """A log merged batch by batch from a stream."""
+    return _shown(spark, sf_dir, _merged_stream(spark, sf_dir))
+
+
+SUFFIX_ID = "'__hidden__00000000-0000-4000-8000-000000000001'"
+#: Units are (arrival, node): one with a reserved name, a row of another space or a space its node may only read falls whole.
+REFUSED = f"""prm AS (SELECT * REPLACE (CASE WHEN event_type = 'view' AND event_id % 991 = 7 THEN nm || {SUFFIX_ID} ELSE nm END AS nm) FROM arr),
+  vio AS (SELECT a, n, row_id, ms, CASE WHEN event_type = 'view' AND event_id % 991 = 7 THEN 'reservedValue' END AS kind, 'name' AS col FROM prm WHERE event_type = 'view' AND event_id % 991 = 7
+    UNION ALL SELECT a, n, row_id, ms, 'unauthorizedWrite', NULL FROM prm WHERE n = 'n1' AND space = 's3' AND a = 1 AND event_id % 3 = 1)"""
+
+
+@query(f"WITH {LOG}, {ARRIVED}, {REFUSED}, fct AS (SELECT * FROM prm WHERE NOT EXISTS (SELECT 1 FROM vio WHERE vio.a = prm.a AND vio.n = prm.n) AND NOT (n = 'n1' AND space = 's3')), {STREAMED}")
+def stream_validated_merge(spark, sf_dir):
+    """A stream of which some nodes' batches are refused whole, for a reserved value or a space their node may only read."""
+    return _shown(spark, sf_dir, _validated(spark, sf_dir))
+
+
+@query(f"WITH {LOG}, {ARRIVED}, {REFUSED} SELECT row_id, kind, n AS node, count(*) AS occurrences, max(ms) AS hlc_ms FROM vio GROUP BY ALL")
+def stream_violations(spark, sf_dir):
+    """What was refused, rolled up over the batches of a stream."""
+    sink = _validated(spark, sf_dir)
+    found = sink.violations(spark, sink.newest(spark)).groupBy("row_id", "kind", "node").agg(F.sum("occurrences").alias("occurrences"), F.max("hlc").alias("hlc"))
+    return found.select("row_id", "kind", "node", "occurrences", F.col("hlc.ms").alias("hlc_ms"))
+
+
+def _validated(spark, sf_dir) -> live.MergeSink:
+    log = profile_log(spark, sf_dir)
+    low, high = log.agg(F.min("hlc.ms"), F.max("hlc.ms")).first()
+    marked = F.when((F.col("column") == "name") & (F.col("event_id") % 991 == 7), F.concat("value", F.lit("__hidden__00000000-0000-4000-8000-000000000001"))).otherwise(F.col("value"))
+    # n1 leaves s3 alone but in the second arrival
+    second = F.floor((F.col("hlc.ms") - (low or 0)) * 3 / F.lit((high or 0) - (low or 0) + 1)) == 1
+    rows = log.withColumn("value", marked).where(~((F.col("hlc.node") == "n1") & (F.col("space") == "s3")) | second)
+    granted = rows.select("space", F.col("hlc.node").alias("node")).distinct().withColumn("role", F.when((F.col("node") == "n1") & (F.col("space") == "s3"), "readOnly").otherwise("readWrite"))
+    return _merged_stream(spark, sf_dir, logs_io.aligned(rows), unit="hlc.node", granted=staged(granted, "granted"), reserved={"name": "text"})
+
+
 @query()
 def stream_watch(spark, sf_dir):
     """A live query: results that changed after a batch, as (batch, rows)."""

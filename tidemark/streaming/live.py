@@ -12,49 +12,121 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import hlc as clocks
-from ..operators import merge
+from ..operators import merge, spaces
 from ..sources.log import SCHEMA
-from ..sources.shared import shipped
+from ..sources.shared import paths_like, remove, shipped, staged
 
 
-class MergeSink:
-    """foreachBatch target: merges micro-batches into versioned state.
+PARTS = ("rows", "fields", "generations")
+_VIOLATIONS = f"{', '.join(f'{c} string' for c in (*merge.ROW, 'column', 'node', 'kind'))}, unit string, first_seen long, last_seen long, hlc {clocks.TYPE}, occurrences long"
+
 
-    A version is a folder, one of ``kept`` that take turns; so the last ``kept`` versions are there to be read and older ones
-    give up their room. A batch that is tried again, on a new executor or after a restart, reads the version before its
-    own and rewrites its own only; registers make merging it twice harmless. Late changes need no watermark, as clocks
-    and not arrival decide (T19); stamps too far in the future are refused. Each batch writes the whole state anew.
+class MergeSink:
+    """foreachBatch target: merges micro-batches into stored state (M15), all of a unit or nothing of it.
+
+    State lies in ``buckets`` by a hash of the row key. A batch reads and rewrites the buckets it touches alone, into a
+    folder of its version, and then writes a manifest that names for every bucket the version that holds it; the
+    manifest's success file makes the version the newest in one step. So a batch that breaks off leaves no trace, one that is
+    tried again rewrites its own, and a sink that starts anew finds the newest version in the folder. Versions that none of
+    the last ``kept`` manifests names are removed. Late changes need no watermark, as clocks and not arrival decide (T19).
+
+    ``unit`` names the column whose values are the batches of a micro-batch that stand or fall together (None: it is one).
+    Before anything is written, stamps too far in the future are refused and units with a violation (see
+    ``merge.violations_of``; ``granted`` and ``reserved`` as there) are left out whole. Their violations are kept, rolled up by
+    kind, row and column (A9), as part of the version.
     """
 
-    def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None, kept: int = 3):
+    def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None, kept: int = 3, *, buckets: int = 64,
+                 unit: str | None = None, granted: DataFrame | None = None, reserved: dict[str, str] | None = None, validate: bool = False, with_later_inserts: bool = False):
         if kept < 2:
             raise ValueError("a batch needs the version before its own")
-        self.folder, self.columns, self.now_ms, self.on_merge, self.kept = folder, columns, now_ms, on_merge, kept
-        self.newest = -1
-
-    def path(self, version: int, part: str) -> str:
-        return f"{self.folder}/v{version % self.kept}/{part}"
+        self.folder, self.columns, self.now_ms, self.on_merge, self.kept, self.buckets = folder, columns, now_ms, on_merge, kept, buckets
+        self.unit, self.granted, self.reserved, self.with_later_inserts = unit, granted, reserved, with_later_inserts
+        self.validate = validate or bool(granted is not None or reserved)
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """The versions that are there to be read, in order."""
+        return sorted(int(p.split("/")[-2][1:]) for p in paths_like(spark, f"{self.folder}/manifest/v*/_SUCCESS"))
+
+    def newest(self, spark: SparkSession) -> int:
+        """The newest version, -1 before the first."""
+        return max(self.versions(spark), default=-1)
+
+    def manifest(self, spark: SparkSession, version: int) -> dict[int, int]:
+        """The version that holds each bucket (one row for each of them)."""
+        return {r.bucket: r.version for r in spark.read.schema("bucket int, version int").parquet(f"{self.folder}/manifest/v{version}").collect()}
+
+    def _read(self, spark: SparkSession, part: str, held: dict[int, int]) -> DataFrame:
+        schema = {"rows": f"{', '.join(f'{c} string' for c in merge.ROW)}, hlc {clocks.TYPE}", "fields": f"{', '.join(f'{c} string' for c in merge.FIELD)}, value string, hlc {clocks.TYPE}",
+                  "generations": f"{', '.join(f'{c} string' for c in merge.ROW)}, cl_flag int, hlc {clocks.TYPE}, reason string"}[part]
+        paths = [f"{self.folder}/data/v{v}/{part}/bucket={b}" for b, v in held.items()]
+        there = [p for p in paths if p in self._known(spark, part, held)]
+        return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+    def _known(self, spark: SparkSession, part: str, held: dict[int, int]) -> set[str]:
+        """Folders of buckets that hold rows of a part, spelt as the sink does."""
+        found: set[str] = set()
+        for v in set(held.values()):
+            found |= {f"{self.folder}/data/v{v}/{part}/{p.rsplit('/', 1)[1]}" for p in paths_like(spark, f"{self.folder}/data/v{v}/{part}/bucket=*")}
+        return found
 
     def state(self, spark: SparkSession, version: int) -> merge.State | None:
         """The state after micro-batch ``version``, one of the last ``kept``; None before the first."""
         if version < 0:
             return None
-        if version <= self.newest - self.kept:
-            raise LookupError(f"version {version} is gone, the newest is {self.newest}")
-        return merge.State(*(spark.read.parquet(self.path(version, p)) for p in ("rows", "fields", "generations")))
+        if version not in self.versions(spark):
+            raise LookupError(f"version {version} is not there, the newest is {self.newest(spark)}")
+        held = self.manifest(spark, version)
+        return merge.State(*(self._read(spark, p, held) for p in PARTS))
+
+    def violations(self, spark: SparkSession, version: int) -> DataFrame:
+        """The violations up to a version."""
+        there = version >= 0 and paths_like(spark, f"{self.folder}/violations/v{version}/_SUCCESS")
+        return spark.read.schema(_VIOLATIONS).parquet(f"{self.folder}/violations/v{version}") if there else spark.createDataFrame([], _VIOLATIONS)
+
+    def _facts(self, changes: DataFrame, old: merge.State, last: int, batch_id: int) -> DataFrame:
+        """The changes of units without a violation; the others' violations are written."""
+        unit = F.col(self.unit).cast("string") if self.unit else F.lit("batch")
+        changes = changes.withColumn("unit", F.coalesce(unit, F.lit("")))
+        owners = old.rows.select("tbl", "row_id", F.col("space").alias("owner_space"))
+        found = staged(merge.violations_of(changes, owners=owners, granted=self.granted, reserved=self.reserved, by=["unit"]), "violations")
+        key = [*merge.ROW, "column", "node", "kind", "unit"]
+        rolled = spaces.violations(found.withColumn("seen_at", F.lit(batch_id).cast("long")), key)
+        before = self.violations(changes.sparkSession, last).select(rolled.columns)
+        spaces.merged_violations(before, rolled, key).write.mode("overwrite").parquet(f"{self.folder}/violations/v{batch_id}")
+        return changes.join(found.select("unit").distinct(), "unit", "left_anti").drop("unit")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        changes = batch
-        if self.now_ms is not None:
-            changes = batch.where(~clocks.too_far_ahead(F.col("hlc"), F.lit(self.now_ms)))
-        old = self.state(spark, batch_id - 1)
-        new = merge.state_of(changes, self.columns) if old is None else merge.merged(old, changes, self.columns)
-        for name in ("rows", "fields", "generations"):
-            getattr(new, name).write.mode("overwrite").parquet(self.path(batch_id, name))
-        self.newest = max(self.newest, batch_id)
+        changes = batch if self.now_ms is None else batch.where(~clocks.too_far_ahead(F.col("hlc"), F.lit(self.now_ms)))
+        last = max((v for v in self.versions(spark) if v < batch_id), default=-1)
+        held = self.manifest(spark, last) if last >= 0 else {}
+        bucket = F.pmod(F.xxhash64("tbl", "row_id"), F.lit(self.buckets)).cast("int")
+        of = [r[0] for r in changes.select(bucket.alias("bucket")).distinct().collect()]  # as many as there are buckets
+        old = merge.State(*(self._read(spark, p, {b: held[b] for b in of if b in held}) for p in PARTS))
+        facts = self._facts(changes, old, last, batch_id) if self.validate else changes
+        new = merge.merged(old, facts, self.columns, with_later_inserts=self.with_later_inserts)
+        for part in PARTS:
+            rows = getattr(new, part).withColumn("bucket", bucket)
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/v{batch_id}/{part}")
+        named = {**held, **dict.fromkeys(of, batch_id)}
+        spark.createDataFrame(sorted(named.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/v{batch_id}")
+        self._forget(spark, batch_id)
         if self.on_merge:
-            self.on_merge(batch_id, changes)
+            self.on_merge(batch_id, facts)
+
+    def _forget(self, spark: SparkSession, newest: int) -> None:
+        """Removes manifests that are older than the last ``kept``, and data that none of those names."""
+        every = [v for v in self.versions(spark) if v <= newest]
+        stay = every[-self.kept :]
+        for version in every[: -self.kept]:
+            for what in ("manifest", "violations"):
+                remove(spark, f"{self.folder}/{what}/v{version}")
+        needed = {v for m in stay for v in self.manifest(spark, m).values()}
+        for path in paths_like(spark, f"{self.folder}/data/v*"):
+            version = int(path.rsplit("/v", 1)[1])
+            if version <= newest and version not in needed:
+                remove(spark, path)
 
 
 def merging(changes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger: object) -> StreamingQuery:
