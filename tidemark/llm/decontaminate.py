@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_words, without
+from .common import plain_words, staged, without
 
 #: Token offsets that each spaced seed compares; the others are ignored. In every stretch of 15 aligned words with
 #: three substitutions or fewer, some seed lies on equal words only (tests/llm tries all 455 patterns).
@@ -138,7 +138,7 @@ def _same(at: Column, item_at: Column) -> Column:
     return F.coalesce((F.get("words", at) == F.get("item_words", item_at)).cast("int"), F.lit(0))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, broadcast_hashes: int = 2_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, broadcast_hashes: int = 2_000_000, broadcast_texts: int = 1_000_000) -> DataFrame:
     """One row per (doc_id, item_id) that overlap: doc_id, item_id, equal_words, item_words.
 
     Words are lower-cased and stand between ASCII blanks and punctuation. Some stretch of ``window`` words of the item
@@ -153,8 +153,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     differ, so one block is equal; a document's positions give one hash more for each width of block that the benchmark
     has (3, 4 and 5 words for items of 7 to 14). For another ``window`` or ``similarity`` than the seeds are proved for,
     an unbroken run that must be equal takes their place. The words around a hit are compared at once, beside the hit
-    and before anything is shuffled; then all words of the alignments that are close enough are counted. All steps are
-    built-in expressions over whole texts, in one generated loop: what leaves it is one row for each alignment.
+    and before anything is shuffled; what leaves that loop is the numbers of the alignments that are close enough, each
+    of which then has all its words counted once, beside its text's words. All steps are built-in expressions over whole texts,
+    so a very long text, or one of few different words, costs what its alignments have words.
 
     The item hashes are broadcast where they number ``broadcast_hashes`` at most; a larger benchmark is met by a shuffle
     join of (text, position, hash) rows, whose hits are joined to the texts.
@@ -164,12 +165,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("words"))
     close, size = _alignments(texts, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, similarity=similarity, broadcast_hashes=broadcast_hashes)
-    laid = close.select("doc_id", "text_key", "item_id", "item_key", "words", "item_words", "start", size.alias("item_size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("place"))
+    # an alignment comes once for each of its hits; only its numbers move, and its words are counted once
+    found = staged(close.select("doc_id", "text_key", "item_id", "item_key", "start").distinct(), "alignments")
+    matched = found.select("text_key").distinct()
+    few = matched.count() <= broadcast_texts
+    held = texts.select("text_key", "words").join(F.broadcast(matched) if few else matched, "text_key", "left_semi").dropDuplicates(["text_key"])
+    once = found.select("text_key", "item_key", "start").distinct().join(held, "text_key")
+    laid = once.join(_items(benchmark, item_col, item_text_col).select("item_key", "item_words"), "item_key").select(
+        "text_key", "item_key", "start", "words", "item_words", size.alias("item_size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("place")
+    )
     equal = _same(F.col("start") + F.col("place"), F.col("place"))
-    summed = laid.groupBy("doc_id", "text_key", "item_id", "item_key", "start", "item_size").agg(F.sum(equal).alias("equal"), F.count("*").alias("compared"))
-    # an alignment that comes n times is compared n times as often
-    once = (F.col("equal") * F.col("item_size")).cast("long") / F.col("compared")
-    return summed.groupBy("doc_id", "item_id").agg(F.max(once).cast("int").alias("equal_words"), F.max("item_size").alias("item_words"))
+    summed = laid.groupBy("text_key", "item_key", "start").agg(F.sum(equal).cast("int").alias("equal"), F.max("item_size").alias("item_size"))
+    most = summed.groupBy("text_key", "item_key").agg(F.max("equal").alias("equal"), F.max("item_size").alias("item_size"))
+    pairs = found.select("doc_id", "text_key", "item_id", "item_key").distinct().join(most, ["text_key", "item_key"])
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("equal").alias("equal_words"), F.max("item_size").alias("item_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, broadcast_hashes: int = 2_000_000) -> DataFrame:
