@@ -70,7 +70,13 @@ def _banded(windows: DataFrame, columns: list[str], shingles: list[str], single:
         one = F.col(f"single{k}")
         key = key.when((band == BANDS + k) & one.isNotNull(), F.xxhash64(one, F.lit(BANDS)))
     spread = windows.select(*columns, *shingles, *[c.alias(f"single{k}") for k, c in enumerate(single)], bands)
-    return spread.select(*columns, key.alias("key")).where("key is not null")
+    return spread.select(*columns, "band", key.alias("key")).where("key is not null")
+
+
+def _key_at(words: Column, at: Column, count: int, band: Column) -> Column:
+    """The key of a band at another place of the words, from ``count`` shingles (null for keys of single shingles)."""
+    hashes = [F.xxhash64(s, band) for s in (_shingle(words, at + i) for i in range(count))]
+    return F.when(band < BANDS, F.least(*[F.when(_shingle(words, at + i).isNotNull(), h) for i, h in enumerate(hashes)]))
 
 
 def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, broadcast_keys: int = 2_000_000) -> DataFrame:
@@ -96,9 +102,12 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     count = F.size("t_words") - (SHINGLE_WORDS - 1)
     pieces = known.select("template", "t_size", "t_words", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), count - 3))).alias("t_at"))
     t_names = [f"t{i}" for i in range(3)]
-    pieces = pieces.select("template", "t_size", "t_at", *[_shingle(F.col("t_words"), F.col("t_at") + i).alias(n) for i, n in enumerate(t_names)])
-    keys = _banded(pieces, ["template", "t_size", "t_at"], t_names, [F.when(F.col("t_size") == SHINGLE_WORDS, F.col(t_names[0]))]).distinct()
-    few = keys.count() <= broadcast_keys
+    pieces = pieces.select("template", "t_size", "t_words", "t_at", *[_shingle(F.col("t_words"), F.col("t_at") + i).alias(n) for i, n in enumerate(t_names)])
+    banded = _banded(pieces, ["template", "t_size", "t_words", "t_at"], t_names, [F.when(F.col("t_size") == SHINGLE_WORDS, F.col(t_names[0]))])
+    before = F.when(F.col("t_at") >= STEP, _key_at(F.col("t_words"), F.col("t_at") - STEP, len(t_names), F.col("band")))
+    # equal keys of a template are a row: what goes on from a step before is told apart
+    keys = banded.withColumn("before", before).groupBy("key", "band", "before", "template", "t_size").agg(F.collect_set("t_at").alias("t_ats"))
+    few = (keys.agg(F.sum(F.size("t_ats"))).first()[0] or 0) <= broadcast_keys
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("words"))
     last = F.size("words") - SHINGLE_WORDS
@@ -110,14 +119,21 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     own = [F.col(s) for s in names[:STEP]]  # those that the next window does not begin with
 
     slack = F.ceil(F.col("t_size") / 5).cast("int")
-    # a window's position less the piece's is the alignment, give or take a step
+    # a window's position less the piece's is the alignment, give or take a step; a hit that goes on from the one a step
+    # before, in its band, has the same alignment and is left to that one
     start = F.col("at") - F.col("t_at")
+    goes_on = F.coalesce(F.col("before") == F.when(F.col("at") >= STEP, _key_at(F.col("words"), F.col("at") - STEP, WINDOW, F.col("band"))), F.lit(False))
     if few:
-        hits = _banded(windows, ["doc_id", "words", "at"], names, own).join(F.broadcast(keys), "key")
+        hits = _banded(windows, ["doc_id", "words", "at"], names, own).join(F.broadcast(keys.withColumnRenamed("band", "_band")), "key").where(F.col("_band") == F.least("band", F.lit(BANDS)))
+        hits = hits.where(~goes_on).select("doc_id", "words", "at", "template", "t_size", F.explode("t_ats").alias("t_at"))
         regions = hits.select("doc_id", "template", start.alias("start"), _region(F.col("words"), start, F.col("t_size"), slack).alias("region")).distinct()
     else:
         # by the text, so that rows without an id or with one that repeats meet their own text alone
-        met = _banded(windows, ["text_key", "at"], names, own).join(keys, "key").select("text_key", "template", "t_size", start.alias("start")).distinct()
+        spread = _banded(windows, ["text_key", "words", "at"], names, own)
+        prior = F.when(F.col("at") >= STEP, _key_at(F.col("words"), F.col("at") - STEP, WINDOW, F.col("band")))
+        met = spread.select("text_key", "at", "band", "key", prior.alias("prior")).join(keys.withColumnRenamed("band", "_band"), "key").where(F.col("_band") == F.least("band", F.lit(BANDS)))
+        met = met.where(~F.coalesce(F.col("before") == F.col("prior"), F.lit(False))).select("text_key", "template", "t_size", "at", F.explode("t_ats").alias("t_at"))
+        met = met.select("text_key", "template", "t_size", start.alias("start")).distinct()
         regions = met.join(texts, "text_key").select(
             "doc_id", "template", "start", _region(F.col("words"), F.col("start"), F.col("t_size"), slack).alias("region")
         ).distinct()
