@@ -38,6 +38,19 @@ FACTS_OUT = "part long, seq long, at long, doc_id long, n_tokens long, ids_crc32
 IDS_OUT = "doc_id long, ids array<long>"
 
 
+#: Letters below are such in every version of Unicode; stops that are a part of their own behind letters.
+LATIN, STOPS = "\u0250", tuple(".,;:!?")
+
+
+def shown() -> dict[int, int]:
+    """The characters by which a byte-level model names bytes: itself where Latin-1 prints it, else the next beyond."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+SHOWN = shown()
+
+
 class Known(dict):
     """What ``make`` gives for each key. When there are ``CACHED`` keys they become the old ones, and those asked for again move on; so
     twice that number is kept at most."""
@@ -87,8 +100,10 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """The ids of a word: of one that begins with its line break, or else of one behind a blank."""
-        if word.isascii() and word.isalpha():
-            return self._merged(self.blank + word)
+        if word.isalpha() and max(word) < LATIN:  # one part
+            return self._merged(self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)))
+        if word[-1:] in STOPS and word[:-1].isalpha():
+            return self.word(word[:-1]) + self.part(word[-1])
         after_break = word[:1] == "\n"
         parts = self.cut.pre_tokenize_str(word[1:] if after_break else " " + word)
         return (self.line_break if after_break else b"") + b"".join([self.part(p) for p, _ in parts])
