@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hlc as clocks
 from ..functions import values
-from ..operators import merge, replicate
+from ..operators import merge, replicate, session
 from ..sources.shared import staged
 from .registry import query, table
 
@@ -129,6 +129,25 @@ def incremental_known_insert(spark, sf_dir):
     return state.rows.join(kept, merge.ROW, "left").select("row_id", F.col("hlc.ms").alias("birth_ms"), "cl_flag", F.col("generation.ms").alias("hlc_ms"), "reason")
 
 
+@query(f"""WITH {LOG}, k AS (SELECT CAST((min(ms) + max(ms)) // 2 AS BIGINT) AS cut FROM log), own AS (SELECT * FROM log WHERE row_id IN (SELECT row_id FROM log, k WHERE event_type = 'signup' AND ms <= cut)),
+  b AS (SELECT row_id, min({STAMP}).ms AS birth_ms FROM own WHERE event_type = 'signup' GROUP BY row_id),
+  w AS (SELECT row_id, 'name' AS col, nm AS v, {STAMP} AS s FROM own WHERE event_type IN ('signup', 'view') UNION ALL SELECT row_id, 'score', CASE event_type WHEN 'click' THEN cents END, {STAMP} FROM own WHERE event_type IN ('signup', 'click')),
+  f AS (SELECT row_id, max(CASE col WHEN 'name' THEN v END) AS name, max(CASE col WHEN 'score' THEN v END) AS score FROM (SELECT row_id, col, last(v ORDER BY s) AS v FROM w GROUP BY row_id, col) GROUP BY row_id)
+  SELECT side, row_id, birth_ms, name, score FROM b JOIN f USING (row_id), (VALUES ('a'), ('b')) t(side)""")
+def session_convergence(spark, sf_dir):
+    """Two replicas that were alike at the middle of the log's time and then saw other nodes' changes: after one round both have all."""
+    log = profile_log(spark, sf_dir)
+    middle = log.agg(F.floor((F.min("hlc.ms") + F.max("hlc.ms")) / 2).alias("cut"))
+    early = staged(log.join(F.broadcast(middle)).withColumn("early", F.col("hlc.ms") <= F.col("cut")).drop("cut"), "session-log")
+    own = early.join(early.where("early and kind = 'insert'").select("row_id").distinct(), "row_id", "left_semi")
+    spaces, none = log.select("space").distinct(), replicate.checkpoints_of(log.limit(0))
+    mine = {"a": own.where("early or hlc.node = 'n0'"), "b": own.where("early or hlc.node <> 'n0'")}
+    sides = [session.Replica("h", spaces, merge.state_of(rows, PROFILE, with_later_inserts=True), none) for rows in mine.values()]
+    after = session.session_round(*sides, PROFILE)
+    out = [r.state.rows.join(merge.wide(r.state.fields, PROFILE["profile"]), merge.ROW).select(F.lit(n).alias("side"), "row_id", F.col("hlc.ms").alias("birth_ms"), "name", "score") for n, r in zip(mine, after, strict=True)]
+    return out[0].unionByName(out[1])
+
+
 CUT_MS = "(SELECT CAST((min(ms) + max(ms)) // 2 AS BIGINT) FROM ev)"
 CP = f"cp AS (SELECT space, n, max({STAMP}) AS k FROM ev WHERE ms <= {CUT_MS} AND n <> 'n2' GROUP BY space, n)"
 NEWER = "(k IS NULL OR ms > k.ms OR (ms = k.ms AND c > k.c))"

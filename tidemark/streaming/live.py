@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ class MergeSink:
     kind, row and column (A9), as part of the version.
     """
 
-    def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None, kept: int = 3, *, buckets: int = 64,
+    def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None, kept: int = 3, *, buckets: int = 16,
                  unit: str | None = None, granted: DataFrame | None = None, reserved: dict[str, str] | None = None, validate: bool = False, with_later_inserts: bool = False):
         if kept < 2:
             raise ValueError("a batch needs the version before its own")
@@ -59,16 +60,12 @@ class MergeSink:
     def _read(self, spark: SparkSession, part: str, held: dict[int, int]) -> DataFrame:
         schema = {"rows": f"{', '.join(f'{c} string' for c in merge.ROW)}, hlc {clocks.TYPE}", "fields": f"{', '.join(f'{c} string' for c in merge.FIELD)}, value string, hlc {clocks.TYPE}",
                   "generations": f"{', '.join(f'{c} string' for c in merge.ROW)}, cl_flag int, hlc {clocks.TYPE}, reason string"}[part]
-        paths = [f"{self.folder}/data/v{v}/{part}/bucket={b}" for b, v in held.items()]
-        there = [p for p in paths if p in self._known(spark, part, held)]
-        return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
-
-    def _known(self, spark: SparkSession, part: str, held: dict[int, int]) -> set[str]:
-        """Folders of buckets that hold rows of a part, spelt as the sink does."""
-        found: set[str] = set()
-        for v in set(held.values()):
-            found |= {f"{self.folder}/data/v{v}/{part}/{p.rsplit('/', 1)[1]}" for p in paths_like(spark, f"{self.folder}/data/v{v}/{part}/bucket=*")}
-        return found
+        by_version: dict[int, list[int]] = {}
+        for bucket, version in held.items():
+            by_version.setdefault(version, []).append(bucket)
+        # one folder for each version that holds a bucket; the scan prunes the others
+        found = [spark.read.schema(f"{schema}, bucket int").parquet(f"{self.folder}/data/v{v}/{part}").where(F.col("bucket").isin(*of)).drop("bucket") for v, of in sorted(by_version.items())]
+        return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
     def state(self, spark: SparkSession, version: int) -> merge.State | None:
         """The state after micro-batch ``version``, one of the last ``kept``; None before the first."""
