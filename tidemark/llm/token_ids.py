@@ -31,8 +31,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words are told apart by single blanks and line breaks; a text with other blanks, or more of them, goes to the tokenizer whole.
 OTHER_BLANKS = re.compile("[\\t\\r\\v\\f\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 UNEVEN = ("  ", " \n", "\n ", "\n\n\n")
-#: Words kept with their ids: so many, and so many older ones.
-CACHED = 150_000
+#: Words kept with their ids: so many, and so many older ones (about 150 MB of a worker in all).
+CACHED = 400_000
 RECORD_OUT = "record binary"
 FACTS_OUT = "part long, seq long, at long, doc_id long, n_tokens long, ids_crc32 long"
 IDS_OUT = "doc_id long, ids array<long>"
