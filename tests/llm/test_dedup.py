@@ -46,7 +46,7 @@ def test_exact_decisions_equal_brute_force(spark):
 
 def test_a_full_filter_changes_nothing(spark):
     rows = [(i, f"text {i % 700}") for i in range(1000)]
-    got = exact_dedup.decide(docs(spark, rows), max_filter_bits=1, bits_per_hash=1)
+    got = exact_dedup.decide(docs(spark, rows), bits_per_row=0, broadcast_words=0)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_exact(rows)
 
 
@@ -75,10 +75,28 @@ def test_columns_of_any_type_stay(spark):
 
 def test_only_what_repeats_goes_through_the_filter(spark):
     rows = spark.range(20_000).selectExpr("xxhash64(if(id % 100 < 5, id % 100, id)) as h")
-    flagged = exact_dedup.may_repeat(rows, exact_dedup.repeated_hashes(rows), bits_per_hash=16, probes=3, max_filter_bits=2**28)
+    flagged = exact_dedup.may_repeat(rows, rows, rows.count(), bits_per_row=64, broadcast_words=1 << 20)
     assert 1000 <= flagged.where("repeats").count() < 1100
 
 
+@pytest.mark.parametrize("words", [1, 7, 400, 100_000])
+def test_every_hash_that_comes_twice_has_its_bits_in_the_filter(spark, words):
+    # hashes that come once to four times, in words that are crowded, shared and empty
+    hashes = spark.range(2000).selectExpr("xxhash64(id) as h", "id % 4 + 1 as n").selectExpr("h", "explode(sequence(1, n))").select("h")
+    found = {r.word: r.twice for r in exact_dedup.bloom_filter(hashes, words).collect()}
+    every = hashes.select("h", exact_dedup._word(words).alias("word"), exact_dedup._bits().alias("bits")).collect()
+    count, bits = {}, {}
+    for r in every:
+        count[r.h] = count.get(r.h, 0) + 1
+        bits.setdefault(r.word, []).append(r.bits)
+    assert all(found.get(r.word, 0) & r.bits == r.bits for r in every if count[r.h] > 1)
+    for word, of in bits.items():
+        sets = [sum(b >> k & 1 for b in of) for k in range(64)]
+        again = sum(1 << k for k, n in enumerate(sets) if n > 1)
+        want = sum(1 << k for k, n in enumerate(sets) if n) if max(sets) > 2 else again
+        assert found.get(word, 0) % 2**64 == want
+
+
 def test_hot_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_ROWS", 5)
     frame = docs(spark, [(i, "same words here" if i % 3 == 0 else f"text number {i} of many") for i in range(2, 62)] + [(1, None), (0, "")])

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import normalised, staged
 
-#: Bits of one bitmap (what bitmap_construct_agg makes); a hash's probes all fall into one bitmap.
-BLOCK_BITS = 32768
 #: A group of copies is hot beyond this share of all rows and this number of rows.
 HOT_SHARE, HOT_ROWS = 1e-5, 1000
 
@@ -18,42 +16,49 @@ def text_digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def repeated_hashes(hashes: DataFrame) -> DataFrame:
-    """Pass one: the hashes (column ``h``) that come twice or more. They are counted on the map side first, so a task sends eight
-    bytes for each distinct text and a text that a third of the rows share is one row of each task; what goes on is only
-    what repeats."""
-    return staged(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "exact-repeated")
+def _word(words: int) -> Column:
+    return F.pmod(F.col("h"), F.lit(words))
 
 
-def _place(h: Column, blocks: int) -> Column:
-    return F.pmod(h, F.lit(blocks))
+def _bits() -> Column:
+    """The bits that a hash ``h`` sets in its word, two (by chance one), as a long."""
+    one = "shiftleft(1L, cast(shiftrightunsigned(xxhash64(h, 1), {}) & 63 as int))"
+    return F.expr(f"{one.format(58)} | {one.format(52)}")
 
 
-def _probes(h: Column, probes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(BLOCK_BITS)) for i in range(1, probes + 1)]
+def bloom_filter(hashes: DataFrame, words: int) -> DataFrame:
+    """Pass one: the Bloom filter of ``hashes`` (column ``h``), as (word, twice): its 64-bit words, each with the bits that may have been
+    set more than once; words without such a bit are left out.
+
+    A hash sets two bits of one word. Tasks set their bits in words of their own, which are then merged, so a task sends each word that it
+    touches once (a word, its bits, their parity and how many were set): never more than the filter has, nor than
+    there are hashes, and a text that a third of the rows share is one word of each task. Parity tells bits that were set
+    twice from those set once, unless some bit of the word was set three times or more: then the sum is greater than parity
+    explains, and all bits of the word count as set again. So every hash that comes twice is found, and few others.
+    """
+    merged = hashes.groupBy(_word(words).alias("word")).agg(F.bit_or(_bits()).alias("any"), F.bit_xor(_bits()).alias("odd"), F.sum(F.bit_count(_bits())).alias("n"))
+    even = F.col("any").bitwiseXOR(F.col("odd"))
+    explained = F.col("n") == F.bit_count("odd") + 2 * F.bit_count(even)
+    twice = F.when(explained, even).otherwise(F.col("any"))
+    return staged(merged.select("word", twice.alias("twice")).where("twice <> 0"), "exact-filter")
 
 
-def may_repeat(rows: DataFrame, repeated: DataFrame, *, bits_per_hash: int, probes: int, max_filter_bits: int) -> DataFrame:
-    """Pass two: adds ``repeats`` to rows with a hash ``h``, true for all whose hash is among ``repeated`` and, by chance, for few others.
+def may_repeat(rows: DataFrame, hashes: DataFrame, n_rows: int, *, bits_per_row: int, broadcast_words: int) -> DataFrame:
+    """Pass two: ``rows`` with a hash ``h`` get ``repeats``, true for all whose hash comes twice in ``hashes`` and, by chance, for few others
+    (at 64 bits a row for some 0.3 % of those that come once; with fewer bits for more, and the result stays the same).
 
-    The Bloom filter of the repeated hashes is a table of bitmaps (block, bits) and is broadcast, so ``rows`` need not move.
-    It has ``bits_per_hash`` bits for each repeated hash, and ``max_filter_bits`` at most (the bound of the broadcast): with
-    the bound of 32 MB it keeps its sharpness to 16 million repeated hashes, however many rows there are. Beyond that it
-    only lets more rows through to the shuffle, and the result stays the same.
+    The filter has ``bits_per_row`` bits for each of ``n_rows`` rows. Words with bits that were set again are broadcast, so
+    ``rows`` need not move; beyond ``broadcast_words`` of them rows are joined to their word by a shuffle instead.
     """
-    h = F.col("h")
-    blocks = -(-min(max(repeated.count(), 1) * bits_per_hash, max_filter_bits) // BLOCK_BITS)
-    positions = repeated.select(_place(h, blocks).alias("block"), F.explode(F.array_distinct(F.array(*_probes(h, probes)))).alias("bit"))
-    bitmaps = positions.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    joined = rows.withColumn("block", _place(h, blocks)).join(F.broadcast(bitmaps), "block", "left")
-    byte = [F.conv(F.hex(F.substring(F.col("bits"), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int") for p in _probes(h, probes)]
-    every = F.lit(True)
-    for b, p in zip(byte, _probes(h, probes), strict=True):
-        every = every & (F.getbit(b, (p % 8).cast("int")) == 1)
-    return joined.withColumn("repeats", F.coalesce(every, F.lit(False))).drop("block", "bits", "h")
-
-
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_hash: int = 16, probes: int = 3, max_filter_bits: int = 2**28) -> DataFrame:
+    words = max(1, n_rows * bits_per_row // 64)
+    found = bloom_filter(hashes, words)
+    found = F.broadcast(found) if found.count() <= broadcast_words else found
+    joined = rows.withColumn("word", _word(words)).join(found, "word", "left")
+    repeats = F.coalesce(F.col("twice").bitwiseAND(_bits()) == _bits(), F.lit(False))
+    return joined.withColumn("repeats", repeats).drop("word", "twice", "h")
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 64, broadcast_words: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are read and digested once; both passes run over the staged (id, digest) table. Rows that the filter clears are
@@ -63,12 +68,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
 
     Null texts count as empty. A null id is larger than every other: it is kept only where its whole group has null
     ids. Of rows with one id and one text, the first stays and the others are dropped rows of their own. An empty
-    table gives an empty result. Extra columns are ignored, whatever their names.
+    table gives an empty result. Very long texts are digested whole, where they are read; only their digests go on. Extra
+    columns are ignored, whatever their names.
     """
     keys = staged(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "exact-keys")
     rows = keys.count()
     hashed = F.xxhash64("digest").alias("h")
-    flagged = may_repeat(keys.select("*", hashed), repeated_hashes(keys.select(hashed)), bits_per_hash=bits_per_hash, probes=probes, max_filter_bits=max_filter_bits)
+    flagged = may_repeat(keys.select("*", hashed), keys.select(hashed), rows, bits_per_row=bits_per_row, broadcast_words=broadcast_words)
     alone = flagged.where("not repeats").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
     )
@@ -87,17 +93,17 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
     return alone.unionByName(shared)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_hash: int = 16, probes: int = 3, max_filter_bits: int = 2**28) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = 64, broadcast_words: int = 1 << 20) -> DataFrame:
     """``docs`` with one row for each text, that of the smallest id, all columns as they were (of any type).
 
     Rows that the filter clears pass straight through; the rest meet in one min_by aggregate with map-side partials.
-    Nulls, ties and empty tables as in ``decide``; of rows with one id and text, that with the smallest hash of its JSON
+    Nulls, ties and empty tables as in ``decide``; very long texts are hashed whole in both passes; of rows with one id and text, that with the smallest hash of its JSON
     form stays.
     """
     text = F.col(f"`{text_col}`")
     hashed = F.xxhash64(normalised(text)).alias("h")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), hashed)
-    flagged = may_repeat(rows, repeated_hashes(docs.select(hashed)), bits_per_hash=bits_per_hash, probes=probes, max_filter_bits=max_filter_bits)
+    flagged = may_repeat(rows, docs.select(hashed), docs.count(), bits_per_row=bits_per_row, broadcast_words=broadcast_words)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64(F.to_json("whole")))
     first = flagged.where("repeats").groupBy(text_digest(F.col("text")).alias("digest")).agg(F.min_by("whole", order).alias("whole"))
     return flagged.where("not repeats").select("whole.*").unionByName(first.select("whole.*"))
