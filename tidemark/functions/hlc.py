@@ -116,7 +116,7 @@ def too_far_ahead(clock: Column, now_ms: Column, max_drift_ms: int = MAX_DRIFT_M
     return clock["ms"] - now_ms > max_drift_ms
 
 
-def stamped(writes: DataFrame, *, node: str, wall_ms: str, order: str | list[str], last: str | None = None, out: str = "hlc", bucket: int | None = None) -> DataFrame:
+def stamped(writes: DataFrame, *, node: str, wall_ms: str, order: str | list[str], last: str | None = None, out: str = "hlc", bucket: int | None = None, max_drift_ms: int | None = None) -> DataFrame:
     """Stamps each node's writes in ``order`` as its clock would, one after another.
 
     The sequential rule (time never goes back; the counter goes up while the time stands still) in closed form: the
@@ -126,25 +126,37 @@ def stamped(writes: DataFrame, *, node: str, wall_ms: str, order: str | list[str
     Without ``bucket`` a node's writes are one window. With it (for one whole-number ``order`` column) they are windows of
     that many numbers each: maxima and counts of whole buckets run along the node first, so that a node with very many
     writes is many tasks' work.
+
+    With ``max_drift_ms`` writes whose time would be further before their wall clock are refused, as are those past the last
+    counter (X6): they have no stamp, are not counted, and a column ``error`` says why.
     """
     by = [order] if isinstance(order, str) else order
     start = F.col(f"{last}.ms") if last else F.lit(None).cast("bigint")
     after = F.when(F.col("_ms") == F.col(f"{last}.ms"), F.col(f"{last}.counter") + 1).otherwise(0) if last else F.lit(0)
+    counted = F.lit(1) if max_drift_ms is None else F.when(F.col("_ms") - F.col(wall_ms) <= max_drift_ms, 1).otherwise(0)
+
+    def with_stamp(rows: DataFrame, counter: Column) -> DataFrame:
+        stamp = hlc(F.col("_ms"), counter, F.col(node))
+        if max_drift_ms is None:
+            return rows.withColumn(out, stamp).select(*writes.columns, out)
+        error = F.when(F.col("_ms") - F.col(wall_ms) > max_drift_ms, "localAhead").when(F.col("_counter") > MAX_COUNTER, "overflow")
+        rows = rows.withColumn("_counter", counter).withColumn("error", error).withColumn(out, F.when(F.col("error").isNull(), stamp))
+        return rows.select(*writes.columns, out, "error")
+
     if bucket is None:
         so_far = F.max(wall_ms).over(W.partitionBy(node).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow))
         timed = writes.withColumn("_ms", F.greatest(start, so_far))
-        place = F.row_number().over(W.partitionBy(node, "_ms").orderBy(*by)) - 1
-        return timed.withColumn(out, hlc(F.col("_ms"), place + after, F.col(node))).drop("_ms")
+        place = F.sum(counted).over(W.partitionBy(node, "_ms").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
+        return with_stamp(timed, place + after)
     rows = writes.withColumn("_bucket", F.floor(F.col(by[0]) / bucket))
     earlier = W.partitionBy(node).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     tops = rows.groupBy(node, "_bucket").agg(F.max(wall_ms).alias("_top")).select(node, "_bucket", F.max("_top").over(earlier).alias("_before"))
     inside = F.max(wall_ms).over(W.partitionBy(node, "_bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow))
     timed = rows.join(tops, [node, "_bucket"]).withColumn("_ms", F.greatest(start, F.col("_before"), inside))
     along = W.partitionBy(node, "_ms").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = timed.groupBy(node, "_ms", "_bucket").agg(F.count("*").alias("_n")).select(node, "_ms", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_passed"))
-    place = F.row_number().over(W.partitionBy(node, "_ms", "_bucket").orderBy(*by)) - 1
-    stamped_rows = timed.join(counts, [node, "_ms", "_bucket"]).withColumn(out, hlc(F.col("_ms"), F.col("_passed") + place + after, F.col(node)))
-    return stamped_rows.select(*writes.columns, out)
+    counts = timed.groupBy(node, "_ms", "_bucket").agg(F.sum(counted).alias("_n")).select(node, "_ms", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_passed"))
+    place = F.sum(counted).over(W.partitionBy(node, "_ms", "_bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
+    return with_stamp(timed.join(counts, [node, "_ms", "_bucket"]), F.col("_passed") + place + after)
 
 
 def follows(clock: Column, before: Column) -> Column:

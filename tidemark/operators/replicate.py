@@ -292,6 +292,27 @@ def isolated(changes: DataFrame, withheld: DataFrame, released: DataFrame) -> Da
     return changes.join(withheld, key, "left_anti").unionByName(released).dropDuplicates([*key, "kind", "column"])
 
 
+SENT = ["session", "space", "tbl", "row_id", "kind", "column"]
+
+
+def sent_once(sent: DataFrame, changes: DataFrame) -> DataFrame:
+    """Of ``changes`` (session, row, kind, column, hlc) those that their session has not ``sent`` yet, or in an older writing (D17, T3): the
+    newest of each. Marks of kind ``end`` pass. Both tables meet in one aggregate with map-side partials, where nulls are
+    equal, so a row that is released again and again is one row of each task."""
+    both = sent.select(*SENT, F.col("hlc").alias("_old"), F.lit(None).cast(clocks.TYPE).alias("_new")).unionByName(
+        changes.where("kind <> 'end'").select(*SENT, F.lit(None).cast(clocks.TYPE).alias("_old"), F.col("hlc").alias("_new"))
+    )
+    newest = both.groupBy(*SENT).agg(F.max("_old").alias("_old"), F.max("_new").alias("hlc"))
+    going = newest.where(F.col("hlc").isNotNull() & (F.col("_old").isNull() | (F.col("hlc") > F.col("_old")))).drop("_old")
+    return going.unionByName(changes.where("kind = 'end'").select(*SENT, "hlc"))
+
+
+def sent_after(sent: DataFrame, out: DataFrame) -> DataFrame:
+    """What sessions remember after ``out`` has gone: the newest clock of each change; nothing of sessions that have ended."""
+    newest = sent.unionByName(out.where("kind <> 'end'")).groupBy(*SENT).agg(F.max("hlc").alias("hlc"))
+    return newest.join(out.where("kind = 'end'").select("session").distinct(), "session", "left_anti")
+
+
 def status(rounds: DataFrame) -> DataFrame:
     """The state of each replica from its rounds (T17): rounds has (replica, at, phase, ok, unsent). The newest phase and count,
     and the newest success and failure."""

@@ -60,6 +60,17 @@ def pruned(local: DataFrame, granted: DataFrame) -> DataFrame:
     return old.join(new, ["user", "space"], "full").select("user", "space", action.alias("action"), F.coalesce("_new", "_old").alias("role"))
 
 
+def announced(last: DataFrame, events: DataFrame) -> DataFrame:
+    """Grants (user, space, role, at; null role: revoked) that change what was ``last`` announced of their user and space, in order of
+    ``at``, with the ``action`` that a follower takes: insert, update or delete (T10). What a stored grant repeats, or revokes
+    where nothing is granted, is not announced."""
+    line = W.partitionBy("user", "space").orderBy("at", "role")
+    joined = events.join(last.select("user", "space", F.col("role").alias("_last")), ["user", "space"], "left")
+    was = F.when(F.row_number().over(line) == 1, F.col("_last")).otherwise(F.lag("role").over(line))
+    action = F.when(F.col("role").isNull(), "delete").when(F.col("_was").isNull(), "insert").otherwise("update")
+    return joined.withColumn("_was", was).where(~F.col("role").eqNullSafe(F.col("_was"))).select("user", "space", "role", "at", action.alias("action"))
+
+
 def granted_all(members: DataFrame, users: DataFrame, spaces: DataFrame, space: str, role: str) -> DataFrame:
     """Membership after granting a role to all users in a space (T23); an unknown space is an error."""
     if role not in ROLES:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import constraints, local, logs, outbound, reads, rest
+from . import constraints, local, logs, outbound, reads, rest, rounds
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (logs, reads, constraints, outbound, rest, local)
+MODULES = (logs, reads, constraints, outbound, rest, local, rounds)
 
 
 def queries() -> dict[str, Query]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -163,6 +164,7 @@ class Watch:
 
 FRAMES_OUT = "session string, batch long, chunks long, changes long, status string"
 _STATE = "batch long, chunks long, changes long"
+_FRAMES = {"chunk": 0, "endOfBatch": 1, "close": 2}
 
 
 def framed(frames: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -181,13 +183,17 @@ def framed(frames: DataFrame, idle_ms: int | None = None) -> DataFrame:
                 yield pd.DataFrame([(key[0], batch, 0, 0, "idle")], columns=[c.split()[0] for c in FRAMES_OUT.split(", ")])
         else:
             out = []
-            for row in pd.concat(list(parts)).sort_values("seq").itertuples():
-                if row.type == "chunk":
-                    chunks, changes = chunks + 1, changes + int(row.changes)
-                elif row.type == "endOfBatch":
+            # three numbers of each frame are held, not the frames
+            kept = [(p["seq"].to_numpy("int64"), p["type"].map(_FRAMES).fillna(len(_FRAMES)).to_numpy("int8"), p["changes"].fillna(0).to_numpy("int64")) for p in parts]
+            seq, kinds, sizes = (np.concatenate(c) for c in zip(*kept, strict=True))
+            for at in np.argsort(seq, kind="stable"):
+                kind = kinds[at]
+                if kind == _FRAMES["chunk"]:
+                    chunks, changes = chunks + 1, changes + int(sizes[at])
+                elif kind == _FRAMES["endOfBatch"]:
                     out.append((key[0], batch, chunks, changes, "complete"))
                     batch, chunks, changes = batch + 1, 0, 0
-                elif row.type == "close":
+                elif kind == _FRAMES["close"]:
                     out.append((key[0], batch, chunks, changes, "premature" if chunks else "closed"))
                     batch, chunks, changes = batch + 1, 0, 0
             if out:
