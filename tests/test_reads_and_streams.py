@@ -1,12 +1,13 @@
 """Scoped reads, local writes and streaming on micro-tables."""
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import errors
 from tidemark.operators import accounts, merge, record, spaces, visibility
-from tidemark.plans import schema
+from tidemark.plans import catalogue, schema
 from tidemark.sources import log as logs
 from tidemark.sources.log import SCHEMA
 from tidemark.streaming import live
@@ -197,3 +198,17 @@ def test_a_unit_with_a_violation_falls_whole(spark, tmp_path):
     found = {(r.kind, r.row_id, r.node): (r.first_seen, r.last_seen, r.occurrences) for r in sink.violations(spark, 3).collect()}
     assert found == {("unauthorizedWrite", "3", "m"): (0, 0, 1), ("reservedValue", "1", "n"): (1, 1, 1), ("ownershipCollision", "1", "m"): (2, 3, 2), ("reservedValue", "5", "n"): (2, 2, 1)}
     assert {r.row_id for r in sink.state(spark, 3).rows.collect()} == {"1", "2"}
+
+
+def test_reserved_names_count_in_every_arrival(spark, tmp_path):
+    """n1 writes a reserved name in s3 in the first arrival, when it may: its batch falls, and the name is a violation."""
+    rows = [(7, 3, "view", 5), (10, 2, "view", 9), (1, 3, "signup", 1), (2, 3, "signup", 40), (4, 3, "click", 50), (11, 3, "view", 99), (998 * 991 + 7, 7, "view", 95)]
+    events = pd.DataFrame([(i, u, kind, 1.5, "{}", pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=at)) for i, u, kind, at in rows], columns=["event_id", "user_id", "event_type", "value", "props", "ts"])
+    events.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("stream_violations", "stream_validated_merge"):
+        got = catalogue.queries()[name](spark, str(tmp_path))
+        want = con.execute(catalogue.oracle_sql()[name])
+        names = [d[0] for d in want.description]
+        assert sorted(map(tuple, got.select(*[f"`{n}`" for n in names]).collect())) == sorted(want.fetchall())

@@ -340,11 +340,11 @@ def framed_batches(spark, sf_dir):
     return live.framed_batches(frames(spark, sf_dir))
 
 
-def _arrivals(spark: SparkSession, rows: DataFrame, order: str, slices: int) -> Iterator[str]:
-    """``rows`` as files that arrive in even stretches of ``order``, each written by as many tasks as read it; gives the folder after
-    each arrival."""
+def _arrivals(spark: SparkSession, rows: DataFrame, order: str, slices: int, bounds: tuple | None = None) -> Iterator[str]:
+    """``rows`` as files that arrive in even stretches of ``order`` (between ``bounds``, where rows of the log are left out), each written
+    by as many tasks as read it; gives the folder after each arrival."""
     folder = new_path(spark, "stream-input")
-    low, high = rows.agg(F.min(order), F.max(order)).first()
+    low, high = bounds or rows.agg(F.min(order), F.max(order)).first()
     if low is None:
         rows.limit(0).write.parquet(folder)
         yield folder
@@ -366,10 +366,10 @@ def stream_frames(spark, sf_dir):
     return spark.read.schema(live.FRAMES_OUT).parquet(out)
 
 
-def _merged_stream(spark, sf_dir, rows: DataFrame | None = None, **options) -> live.MergeSink:
+def _merged_stream(spark, sf_dir, rows: DataFrame | None = None, bounds: tuple | None = None, **options) -> live.MergeSink:
     rows = logs_io.aligned(profile_log(spark, sf_dir)) if rows is None else rows
     sink, checkpoint = live.MergeSink(new_path(spark, "stream-state"), PROFILE, **options), new_path(spark, "stream-checkpoint")
-    for folder in _arrivals(spark, rows.withColumn("at", F.col("hlc.ms")), "at", 3):
+    for folder in _arrivals(spark, rows.withColumn("at", F.col("hlc.ms")), "at", 3, bounds):
         live.merging(live.change_stream(spark, folder, None), sink, checkpoint).awaitTermination()
     return sink
 
@@ -421,12 +421,18 @@ def stream_violations(spark, sf_dir):
 def _validated(spark, sf_dir) -> live.MergeSink:
     log = profile_log(spark, sf_dir)
     low, high = log.agg(F.min("hlc.ms"), F.max("hlc.ms")).first()
-    marked = F.when((F.col("column") == "name") & (F.col("event_id") % 991 == 7), F.concat("value", F.lit("__hidden__00000000-0000-4000-8000-000000000001"))).otherwise(F.col("value"))
-    # n1 leaves s3 alone but in the second arrival
+    reserved = F.coalesce((F.col("column") == "name") & (F.col("event_id") % 991 == 7), F.lit(False))
+    marked = F.when(reserved, F.concat("value", F.lit("__hidden__00000000-0000-4000-8000-000000000001"))).otherwise(F.col("value"))
+    # n1 leaves s3 alone but in the second arrival, when it may only read it, and with reserved names, with which its batch falls
     second = F.floor((F.col("hlc.ms") - (low or 0)) * 3 / F.lit((high or 0) - (low or 0) + 1)) == 1
-    rows = log.withColumn("value", marked).where(~((F.col("hlc.node") == "n1") & (F.col("space") == "s3")) | second)
-    granted = rows.select("space", F.col("hlc.node").alias("node")).distinct().withColumn("role", F.when((F.col("node") == "n1") & (F.col("space") == "s3"), "readOnly").otherwise("readWrite"))
-    return _merged_stream(spark, sf_dir, logs_io.aligned(rows), unit="hlc.node", granted=staged(granted, "granted"), reserved={"name": "text"})
+    rows = log.withColumn("value", marked).where(~((F.col("hlc.node") == "n1") & (F.col("space") == "s3")) | second | reserved)
+    pairs = staged(rows.select("space", F.col("hlc.node").alias("node")).distinct(), "granted")
+    only_read = (F.col("node") == "n1") & (F.col("space") == "s3")
+
+    def granted(arrival: int) -> DataFrame:
+        return pairs.withColumn("role", F.when(only_read & F.lit(arrival == 1), "readOnly").otherwise("readWrite"))
+
+    return _merged_stream(spark, sf_dir, logs_io.aligned(rows), (low, high), unit="hlc.node", granted=granted, reserved={"name": "text"})
 
 
 @query()

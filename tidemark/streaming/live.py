@@ -34,12 +34,13 @@ class MergeSink:
 
     ``unit`` names the column whose values are the batches of a micro-batch that stand or fall together (None: it is one).
     Before anything is written, stamps too far in the future are refused and units with a violation (see
-    ``merge.violations_of``; ``granted`` and ``reserved`` as there) are left out whole. Their violations are kept, rolled up by
+    ``merge.violations_of``; ``granted`` and ``reserved`` as there, ``granted`` may be a function that gives a micro-batch's
+    grants by its number) are left out whole. Their violations are kept, rolled up by
     kind, row and column (A9), as part of the version.
     """
 
     def __init__(self, folder: str, columns: dict[str, list[str]], now_ms: int | None = None, on_merge: Callable[[int, DataFrame], None] | None = None, kept: int = 3, *, buckets: int = 16,
-                 unit: str | None = None, granted: DataFrame | None = None, reserved: dict[str, str] | None = None, validate: bool = False, with_later_inserts: bool = False):
+                 unit: str | None = None, granted: DataFrame | Callable[[int], DataFrame] | None = None, reserved: dict[str, str] | None = None, validate: bool = False, with_later_inserts: bool = False):
         if kept < 2:
             raise ValueError("a batch needs the version before its own")
         self.folder, self.columns, self.now_ms, self.on_merge, self.kept, self.buckets = folder, columns, now_ms, on_merge, kept, buckets
@@ -87,7 +88,8 @@ class MergeSink:
         unit = F.col(self.unit).cast("string") if self.unit else F.lit("batch")
         changes = changes.withColumn("unit", F.coalesce(unit, F.lit("")))
         owners = old.rows.select("tbl", "row_id", F.col("space").alias("owner_space"))
-        found = staged(merge.violations_of(changes, owners=owners, granted=self.granted, reserved=self.reserved, by=["unit"]), "violations")
+        granted = self.granted(batch_id) if callable(self.granted) else self.granted
+        found = staged(merge.violations_of(changes, owners=owners, granted=granted, reserved=self.reserved, by=["unit"]), "violations")
         key = [*merge.ROW, "column", "node", "kind", "unit"]
         rolled = spaces.violations(found.withColumn("seen_at", F.lit(batch_id).cast("long")), key)
         before = self.violations(changes.sparkSession, last).select(rolled.columns)
