@@ -240,3 +240,29 @@ def test_values_of_some_rows_equal_the_whole(spark, seed, cyclic):
     got = {(r.tbl, r.row_id): r.visibility for r in shown.collect()}
     assert got == {k: seen[k] for k in got}
     assert {(r.tbl, r.row_id, r.col): (r.shown, r.reason) for r in repaired.collect()} == {k: v for k, v in values.items() if k[:2] in got}
+
+
+def test_only_the_tables_asked_for_are_read(spark, tmp_path):
+    """Steps of a projection name tables: then branches of other edges are left out of the plan."""
+    spark.createDataFrame([(1, 2, 3)], "id int, up int, side int").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(1, 2)], "id int, up int").write.parquet(str(tmp_path / "b"))
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in "ab"}
+    edges = [ForeignKey("a", "up", "p", "cascade"), ForeignKey("a", "side", "q", "setNull"), ForeignKey("b", "up", "q", "setNull")]
+    refs = projection.references(tables, edges, {"a": "id", "b": "id"})
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.tbl, r.col, r.value) for r in refs.collect()) == [("a", "side", "3"), ("a", "up", "2"), ("b", "up", "2")]
+    one = plan(refs.where("target_tbl = 'p'"))
+    assert one.count("Relation [") == 1 and "Generate" not in one and "Union" not in one
+
+
+def test_no_step_writes_all_references(spark, monkeypatch):
+    """A thousand lines, one with a deleted order: what is written grows with what hangs on it, not with the lines."""
+    nodes = spark.range(1000).selectExpr("'line' as tbl", "cast(id as string) as row_id", "false as deleted", "'userDelete' as reason")
+    nodes = nodes.unionByName(spark.range(1000).selectExpr("'orders' as tbl", "cast(id as string) as row_id", "id = 7 as deleted", "'userDelete' as reason"))
+    refs = spark.range(1000).selectExpr("'line' as tbl", "cast(id as string) as row_id", "'o' as col", "cast(id as string) as value", "'orders' as target_tbl", "'cascade' as action", "false as nullable", "cast(null as string) as default_id")
+    written = []
+    keep = projection.staged
+    monkeypatch.setattr(projection, "staged", lambda rows, name: written.append(keep(rows, name)) or written[-1])
+    got = {(r.tbl, r.row_id): r.visibility for r in projection.visibility(nodes, refs).where("visibility > 0").collect()}
+    assert got == {("orders", "7"): 3, ("line", "7"): 5}
+    assert sum(w.count() for w in written) < 10

@@ -73,7 +73,7 @@ def fk_repaired_values(spark, sf_dir):
     """What references show when their targets are hidden or missing."""
     nodes, refs = world(spark, sf_dir)
     own = refs.where("tbl = 'line'")
-    return projection.repaired(own, staged(projection.visibility(nodes, refs), "visibility")).select("row_id", "col", "shown", "reason")
+    return projection.repaired(own, projection.visibility(nodes, refs)).select("row_id", "col", "shown", "reason")
 
 
 @query(f"""WITH {WORLD} SELECT 'orders' AS tbl, CAST(o_orderkey AS VARCHAR) AS row_id, 'customer' AS lead_tbl FROM oh
@@ -83,8 +83,7 @@ def fk_cascade_closure(spark, sf_dir):
     """Rows that deleted customers take along."""
     nodes, refs = world(spark, sf_dir)
     roots = nodes.where("deleted and tbl = 'customer'")
-    links = refs.where("action = 'cascade'").join(nodes.select(F.col("tbl").alias("target_tbl"), F.col("row_id").alias("value")), ["target_tbl", "value"], "left_semi")
-    return projection.closure(roots, links).select("tbl", "row_id", F.col("lead.tbl").alias("lead_tbl"))
+    return projection.closure(roots, refs.where("action = 'cascade'")).select("tbl", "row_id", F.col("lead.tbl").alias("lead_tbl"))
 
 
 PRESENT = """SELECT line_id AS row_id, 'l_orderkey' AS col, CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM od) THEN 'absent' WHEN o_orderstatus = 'P' THEN 'hidden' ELSE 'visible' END AS presence FROM ln JOIN orders ON o_orderkey = l_orderkey
