@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import resample
@@ -69,3 +71,21 @@ def test_runs_end_with_their_text():
     found, words = resample.features("Ab c-d", 3)
     assert words == 3 and sorted(found) == sorted(zlib.crc32(x) % 10_000 for x in (b"ab", b"c", b"d", b"ab c", b"c d", b"ab c d"))
     assert [len(x) if not isinstance(x, int) else x for x in resample.features("...")] == [0, 0]
+
+
+def test_memory_of_a_batch_and_of_a_task_are_bounded(spark):
+    """Pairs are sorted in place, as small numbers; rows of postings are dealt to tasks by their number, not by what AQE merges."""
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 100 * 64, 200_000).astype(np.int32)
+    keys, counts = np.unique(pairs, return_counts=True)
+    tracemalloc.start()
+    found = list(resample._inverted(pairs, 100, 4, 64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    docs, n = np.concatenate([f[4] for f in found]), np.concatenate([f[5] for f in found])
+    assert (docs == keys % 64).all() and (n == counts).all() and sum(int(f[2].sum()) for f in found) == len(pairs)
+    assert peak < pairs.nbytes * 1.2
+    assert list(resample._inverted(np.zeros(0, np.int32), 100, 4, 64)) == []
+    docs = spark.createDataFrame([(i, f"word{i} and other words of text {i % 7}") for i in range(600)], "doc_id long, text string")
+    plan = resample.weighted(docs, docs.limit(5), batch_docs=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [slot" in plan and ", 7" in plan.partition("RepartitionByExpression [slot")[2].split("\n")[0]

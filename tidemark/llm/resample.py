@@ -22,6 +22,8 @@ BUCKETS, RUN = 10_000, 2
 BATCH_DOCS, SLOTS = 4096, 32
 #: Batches whose postings of one range a task may share out.
 BATCHES_A_KEY = 16
+#: So many rows of postings, of one batch and one range each, are a task's share at the mean.
+ROWS_A_TASK = 64
 #: What belongs to words: ASCII letters (lower-cased) and digits, and all bytes of other characters.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 POSTINGS = "batch long, slot int, doc_ids array<long>, n_features array<long>, n_words array<long>, buckets array<int>, totals array<long>, ends array<int>, docs array<smallint>, counts array<int>"
@@ -49,8 +51,14 @@ def _batch(columns: list, kinds: str) -> pa.RecordBatch:
 
 
 def _inverted(pairs: np.ndarray, buckets: int, slots: int, batch_docs: int) -> Iterator[tuple]:
-    """(slot, buckets, totals, ends, docs, counts) of sorted (bucket, document) pairs: ``ends`` is where each bucket's postings end."""
-    keys, counts = np.unique(pairs, return_counts=True)
+    """(slot, buckets, totals, ends, docs, counts) of (bucket, document) pairs, which are sorted in place: ``ends`` is where each bucket's
+    postings end."""
+    if not len(pairs):
+        return
+    pairs.sort()
+    starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    keys, counts = pairs[starts], np.diff(starts, append=len(pairs)).astype(np.int32)
+    del starts
     bucket, doc = keys // batch_docs, keys % batch_docs
     own, first = np.unique(bucket, return_index=True)
     last = np.r_[first[1:], len(keys)]
@@ -58,22 +66,26 @@ def _inverted(pairs: np.ndarray, buckets: int, slots: int, batch_docs: int) -> I
     for s in np.unique(slot):
         a, b = np.searchsorted(slot, [s, s + 1])
         low, high = first[a], last[b - 1]
-        totals = np.add.reduceat(counts[low:high], first[a:b] - low)
+        totals = np.add.reduceat(counts[low:high], first[a:b] - low, dtype=np.int64)
         yield int(s), own[a:b], totals, last[a:b] - low, doc[low:high], counts[low:high]
 
 
-def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, slots: int = SLOTS, batch_docs: int = BATCH_DOCS, batch_features: int = 1 << 22) -> DataFrame:
+def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, slots: int = SLOTS, batch_docs: int = BATCH_DOCS, batch_features: int = 1 << 20) -> DataFrame:
     """Inverted postings, by batches of documents: for each range of buckets (``slot``) a row with its buckets, how often the batch has
     each, and (document of the batch, count) of each; and a row of slot -1 with the facts of the batch's documents. Extra
     columns are ignored; a batch ends with the document that fills it, so a very long text is one of its own.
     """
     if not 1 <= batch_docs <= 1 << 15:
         raise ValueError("a batch has 1 to 32,768 documents")
+    pair = np.int32 if buckets * batch_docs < 1 << 31 else np.int64
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def made(batch: int, ids: list, sizes: list, words: list, found: list) -> pa.RecordBatch:
         rows = [(batch, -1, ids, sizes, words, None, None, None, None, None)]
-        rows += [(batch, s, None, None, None, *lists) for s, *lists in _inverted(np.concatenate(found), buckets, slots, batch_docs)]
+        pairs = np.concatenate(found)
+        found.clear()
+        rows += [(batch, s, None, None, None, *lists) for s, *lists in _inverted(pairs, buckets, slots, batch_docs)]
+        del pairs
         return _batch(list(zip(*rows, strict=True)), POSTINGS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +94,7 @@ def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 bucket, count = features(text.as_py(), run, buckets)
-                found.append(bucket * batch_docs + len(ids))
+                found.append((bucket * batch_docs + len(ids)).astype(pair))
                 ids.append(name)
                 sizes.append(len(bucket))
                 words.append(count)
@@ -122,7 +134,7 @@ def weighted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     as a range holds postings of all documents. With each part come both corpora's totals of its buckets (counted with
     map-side partials, a row for each bucket); its task makes the gains from them and emits, for each batch, the sums of gains
     over its documents. Those shares meet once more by batch. What moves is the postings and ``slots`` numbers for
-    each document; a task holds one row of postings at a time.
+    each document; a task sorts some ROWS_A_TASK rows of postings, however many there are, and shares out one at a time.
     """
     inverted = staged(postings(docs, id_col=id_col, text_col=text_col, run=run, buckets=buckets, slots=slots, batch_docs=batch_docs), "postings")
     aimed = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{target_text_col}`").alias("text"))
@@ -130,12 +142,13 @@ def weighted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     t = bucket_totals(postings(aimed, run=run, buckets=buckets, slots=slots), "t").withColumn("s", F.lit(0).cast("long"))
     counted = staged(s.unionByName(t).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "bucket-totals")
     source, aim = counted.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    salts = -(-max(1, inverted.where("slot = -1").count()) // BATCHES_A_KEY)
+    made = max(1, inverted.where("slot = -1").count())
+    salts, tasks = -(-made // BATCHES_A_KEY), -(-made * slots // ROWS_A_TASK)
     slot = F.floor(F.col("bucket") * slots / F.lit(buckets)).cast("int").alias("slot")
     both = counted.groupBy(slot).agg(F.collect_list(F.struct("bucket", "s", "t")).alias("corpora"))  # a slot's share of the buckets
     both = both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lists = inverted.where("slot >= 0").withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int")).select("slot", "salt", "batch", "buckets", "ends", "docs", "counts")
-    dealt = lists.unionByName(both, allowMissingColumns=True).repartition("slot", "salt").sortWithinPartitions("slot", "salt", F.col("corpora").isNull())
+    dealt = lists.unionByName(both, allowMissingColumns=True).repartition(tasks, "slot", "salt").sortWithinPartitions("slot", "salt", F.col("corpora").isNull())
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = np.zeros(buckets)
