@@ -118,3 +118,12 @@ def test_a_count_starts_anew_when_a_checkpoint_goes_back(spark):
     assert count(6, 6) == 3 and count(6, 8) == 3  # forwards is fine
     assert count(6, 2, 2) == 7 and count(6, None, None) == 10  # replaced by an older one, or gone
     assert count(8, 7, 6, 5) == 10  # after three attempts all count
+
+
+def test_dependencies_are_pairs_once_and_not_shuffled(spark):
+    changes = spark.createDataFrame([("s", 1, "update", "x", "r1"), ("s", 2, "insert", "x", "r2"), ("s", 3, "insert", "x", "r1"), ("s", 4, "update", "x", "r1"), ("s", 5, "insert", "x", "r2"), ("t", 6, "insert", "x", "r2")], "session string, pos int, kind string, tbl string, row_id string")
+    references = spark.createDataFrame([("s", 1, "x", "r2"), ("s", 1, "x", "r2"), ("s", 1, "x", "r1"), ("s", 2, "x", "r2"), ("s", 3, "y", "r2"), ("s", 5, "x", "r1"), ("s", 4, "x", None)], "session string, pos int, target_tbl string, target_id string")
+    found = replicate.dependencies(changes, references)
+    assert sorted(map(tuple, found.collect())) == [("s", 1, 2), ("s", 1, 3), ("s", 1, 5), ("s", 2, 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # pairs grow with the square of a row's references

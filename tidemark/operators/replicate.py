@@ -157,10 +157,13 @@ def _before(rows: DataFrame, keys: list[str], what: list[str]) -> DataFrame:
 
 def dependencies(changes: DataFrame, references: DataFrame, by: str = "session") -> DataFrame:
     """(session, dependent, prerequisite) positions (J15): a change that names a row whose insert is sent after it. An equi join on
-    the referenced row with the order as residual. ``references`` has (session, pos, target_tbl, target_id)."""
+    the referenced row with the order as residual. ``references`` has (session, pos, target_tbl, target_id).
+
+    The pairs are as many as the answer, so nothing is done to them after the join: references named twice are dropped before it,
+    and a position is one change, so no pair comes twice."""
     parents = changes.where("kind = 'insert'").select(F.col(by), F.col("tbl").alias("target_tbl"), F.col("row_id").alias("target_id"), F.col("pos").alias("prerequisite"))
-    met = references.withColumnRenamed("pos", "dependent").join(parents, [by, "target_tbl", "target_id"])
-    return met.where("prerequisite > dependent").select(by, "dependent", "prerequisite").distinct()
+    named = references.select(F.col(by), F.col("pos").alias("dependent"), "target_tbl", "target_id").distinct()
+    return named.join(parents, [by, "target_tbl", "target_id"]).where("prerequisite > dependent").select(by, "dependent", "prerequisite")
 
 
 def units(changes: DataFrame, depends: DataFrame | None = None, by: str = "session", *, stretch: int = 65536) -> DataFrame:
