@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.errors import SchemaMismatch
 from tidemark.operators import merge, session
+from tidemark.plans import logs as log_queries
 from tidemark.sources import log as logs
 from tidemark.streaming.live import fingerprint
 
@@ -55,3 +56,27 @@ def test_only_shared_spaces_of_equal_tables_are_exchanged(spark):
     assert {(r.space, r.node, r.hlc.ms) for r in b.received.collect()} == {("s", "a", 1)}
     with pytest.raises(SchemaMismatch):
         session.session_round(a, replica(spark, [], tables="other"), COLUMNS)
+
+
+def test_a_round_works_states_out_once(spark, monkeypatch):
+    reads = []
+
+    def counting(df):
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        reads.extend(text for i in range(leaves.size()) if "event_type#" in (text := leaves.apply(i).toString()) or "payload#" in text)
+        return df
+
+    for module in (session, log_queries):
+        monkeypatch.setattr(module, "staged", lambda df, name, write=module.staged: write(counting(df), name))
+    counting(log_queries.session_convergence(spark, "/root/testdata/sf0.001"))
+    assert len(reads) <= 30  # reads of the log or a part of it
+
+
+def test_kept_states_equal_those_worked_out_at_each_use(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("st"), f"r{i}") for i in range(6)]
+    first, second = (spark.createDataFrame([c for n in "ab" for c in writes(rng, n, at, rows)], logs.SCHEMA) for at in (1, 30))
+    for again in (False, True):
+        kept = merge.merged(merge.state_of(first, COLUMNS, with_later_inserts=again, keep=session.stored), second, COLUMNS, with_later_inserts=again, keep=session.stored)
+        plain = merge.merged(merge.state_of(first, COLUMNS, with_later_inserts=again), second, COLUMNS, with_later_inserts=again)
+        assert digests(session.Replica("h", None, kept, None)) == digests(session.Replica("h", None, plain, None))

@@ -11,6 +11,7 @@ row are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +31,14 @@ class State:
     generations: DataFrame
 
 
+#: What becomes of a table of a new state, by its name, before the next one is made from it: nothing, or it is stored.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_it_is(table: DataFrame, name: str) -> DataFrame:
+    return table
+
+
 def field_writes(changes: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     """Every authored value with its clock: updates, and inserts over all columns of their table's schema (absent ones as null)."""
     inserts = changes.where("kind = 'insert'")
@@ -71,20 +80,21 @@ def _largest(synced: DataFrame) -> DataFrame:
     return last.select(*ROW, F.col("last.cl_flag").alias("cl_flag"), F.col("last.hlc").alias("hlc"), F.col("last.reason").alias("reason"))
 
 
-def state_of(changes: DataFrame, columns: dict[str, list[str]], *, with_later_inserts: bool = False) -> State:
+def state_of(changes: DataFrame, columns: dict[str, list[str]], *, with_later_inserts: bool = False, keep: Keep = _as_it_is) -> State:
     """State of a whole log. Updates and visibility changes of rows without an insert are dropped (M6, M7). ``with_later_inserts``
-    also stores the generations that inserts of known rows make (M5)."""
-    rows = births(changes)
+    also stores the generations that inserts of known rows make (M5). A ``keep`` that stores tables saves working out births for
+    each of the others, and the state for each use."""
+    rows = keep(births(changes), "rows")
     keys = rows.select(*ROW)
     fields = registers(field_writes(changes, columns)).join(keys, ROW, "left_semi")
     stored = generations(changes).join(keys, ROW, "left_semi")
     if with_later_inserts:
         stored = _largest(stored.unionByName(later_inserts(changes, rows)))
-    return State(rows, fields, stored)
+    return State(rows, keep(fields, "fields"), keep(stored, "generations"))
 
 
-def merged(state: State, changes: DataFrame, columns: dict[str, list[str]], *, with_later_inserts: bool = False) -> State:
-    """State after one more batch. Stored row clocks stay; registers take the larger clock of both sides.
+def merged(state: State, changes: DataFrame, columns: dict[str, list[str]], *, with_later_inserts: bool = False, keep: Keep = _as_it_is) -> State:
+    """State after one more batch. Stored row clocks stay; registers take the larger clock of both sides. ``keep`` as in ``state_of``.
 
     ``with_later_inserts`` (M5) makes births a register as well: a row's clock is the smallest of its inserts, whichever batch
     brings it, and every other insert's, a stored birth's too, a generation. So batches of inserts in any order give what a
@@ -92,17 +102,17 @@ def merged(state: State, changes: DataFrame, columns: dict[str, list[str]], *, w
     """
     if with_later_inserts:
         inserts = changes.where("kind = 'insert'").select(*ROW, "hlc").unionByName(state.rows.select(*ROW, "hlc"))
-        rows = inserts.groupBy(*ROW).agg(F.min("hlc").alias("hlc"))
+        rows = keep(inserts.groupBy(*ROW).agg(F.min("hlc").alias("hlc")), "rows")
         again = inserts.join(rows.withColumnRenamed("hlc", "_born"), ROW).where("hlc > _born")
         more = again.select(*ROW, F.lit(1).alias("cl_flag"), "hlc", F.lit("userInsert").alias("reason"))
     else:
-        rows = state.rows.unionByName(births(changes).join(state.rows.select(*ROW), ROW, "left_anti"))
+        rows = keep(state.rows.unionByName(births(changes).join(state.rows.select(*ROW), ROW, "left_anti")), "rows")
         more = None
     keys = rows.select(*ROW)
     fields = registers(state.fields.unionByName(field_writes(changes, columns))).join(keys, ROW, "left_semi")
     new = generations(changes).join(keys, ROW, "left_semi")
     both = state.generations.unionByName(new)
-    return State(rows, fields, _largest(both if more is None else both.unionByName(more)))
+    return State(rows, keep(fields, "fields"), keep(_largest(both if more is None else both.unionByName(more)), "generations"))
 
 
 VIOLATION = [*ROW, "column", "node", "hlc", "kind"]

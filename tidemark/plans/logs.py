@@ -137,12 +137,13 @@ def incremental_known_insert(spark, sf_dir):
 def session_convergence(spark, sf_dir):
     """Two replicas that were alike at the middle of the log's time and then saw other nodes' changes: after one round both have all."""
     log = profile_log(spark, sf_dir)
-    middle = log.agg(F.floor((F.min("hlc.ms") + F.max("hlc.ms")) / 2).alias("cut"))
-    early = staged(log.join(F.broadcast(middle)).withColumn("early", F.col("hlc.ms") <= F.col("cut")).drop("cut"), "session-log")
-    own = early.join(early.where("early and kind = 'insert'").select("row_id").distinct(), "row_id", "left_semi")
-    spaces, none = log.select("space").distinct(), replicate.checkpoints_of(log.limit(0))
-    mine = {"a": own.where("early or hlc.node = 'n0'"), "b": own.where("early or hlc.node <> 'n0'")}
-    sides = [session.Replica("h", spaces, merge.state_of(rows, PROFILE, with_later_inserts=True), none) for rows in mine.values()]
+    middle = staged(log.agg(F.floor((F.min("hlc.ms") + F.max("hlc.ms")) / 2).alias("cut")), "session-middle")
+    timed = log.join(F.broadcast(middle)).withColumn("early", F.coalesce(F.col("hlc.ms") <= F.col("cut"), F.lit(False)))
+    alike = merge.state_of(timed.where("early"), PROFILE, with_later_inserts=True, keep=session.stored)
+    late = staged(timed.where("not early").drop("event_id", "cut", "early").join(alike.rows.select("row_id"), "row_id", "left_semi"), "session-log")
+    spaces, none = staged(log.select("space").distinct(), "session-spaces"), staged(replicate.checkpoints_of(log.limit(0)), "session-checkpoints")
+    mine = {"a": late.where("hlc.node = 'n0'"), "b": late.where("hlc.node <> 'n0'")}
+    sides = [session.Replica("h", spaces, merge.merged(alike, rows, PROFILE, with_later_inserts=True, keep=session.stored), none) for rows in mine.values()]
     after = session.session_round(*sides, PROFILE)
     out = [r.state.rows.join(merge.wide(r.state.fields, PROFILE["profile"]), merge.ROW).select(F.lit(n).alias("side"), "row_id", F.col("hlc.ms").alias("birth_ms"), "name", "score") for n, r in zip(mine, after, strict=True)]
     return out[0].unionByName(out[1])
