@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import resample
@@ -89,3 +90,20 @@ def test_memory_of_a_batch_and_of_a_task_are_bounded(spark):
     docs = spark.createDataFrame([(i, f"word{i} and other words of text {i % 7}") for i in range(600)], "doc_id long, text string")
     plan = resample.weighted(docs, docs.limit(5), batch_docs=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [slot" in plan and ", 7" in plan.partition("RepartitionByExpression [slot")[2].split("\n")[0]
+
+
+def test_stored_postings_are_read_in_small_parts(spark, monkeypatch):
+    """A reader decodes a row group, or some thousand rows of it, at a time: groups must not grow with the input of the task that wrote them.
+    Postings are single values, as levels for each element would take a reader more memory than they do."""
+    monkeypatch.setattr(resample, "GROUP_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(resample, "staged", lambda df, name, *more, f=resample.staged: kept.append(f(df, name, *more)) or kept[-1])
+    kept, rng = [], random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(400)] + [(400, "the " * 70_000), (401, "of of " * 200)]
+    own = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = sorted(tuple(r) for r in resample.resample(own, own.limit(5), batch_docs=4).collect())
+    assert found == sorted(brute(docs, [t for _, t in docs[:5]]))
+    groups = [m.row_group(i) for f in kept[0].inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for i in range(m.num_row_groups)]
+    assert len(groups) > 10 and max(g.num_rows for g in groups) < 1000 and sum(g.num_rows for g in groups) == kept[0].count()
+    assert dict(kept[0].dtypes)["docs"] == dict(kept[0].dtypes)["counts"] == "binary"
+    most = kept[0].where("slot >= 0").selectExpr("max(length(counts) / (length(docs) / 2))").first()[0]
+    assert most == 4  # of the text with 70,000 equal words

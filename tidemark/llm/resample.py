@@ -24,9 +24,11 @@ BATCH_DOCS, SLOTS = 4096, 32
 BATCHES_A_KEY = 16
 #: So many rows of postings, of one batch and one range each, are a task's share at the mean.
 ROWS_A_TASK = 64
+#: Postings are stored in row groups of about so many bytes: readers decode a few thousand rows, or a whole group, at a time.
+GROUP_BYTES = 8 << 20
 #: What belongs to words: ASCII letters (lower-cased) and digits, and all bytes of other characters.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-POSTINGS = "batch long, slot int, doc_ids array<long>, n_features array<long>, n_words array<long>, buckets array<int>, totals array<long>, ends array<int>, docs array<smallint>, counts array<int>"
+POSTINGS = "batch long, slot int, doc_ids array<long>, n_features array<long>, n_words array<long>, buckets array<int>, totals array<long>, ends array<int>, docs binary, counts binary"
 SHARES = "batch long, kind int, sums array<long>"
 SCORED = "doc_id long, n_features long, n_words long, weight long, score long"
 
@@ -46,13 +48,13 @@ def features(text: str, run: int = RUN, buckets: int = BUCKETS) -> tuple[np.ndar
 
 def _batch(columns: list, kinds: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in kinds.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<smallint>": pa.list_(pa.int16())}
+    types = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, types[k.split()[1]]) for c, k in zip(columns, kinds.split(", "), strict=True)], names=names)
 
 
 def _inverted(pairs: np.ndarray, buckets: int, slots: int, batch_docs: int) -> Iterator[tuple]:
     """(slot, buckets, totals, ends, docs, counts) of (bucket, document) pairs, which are sorted in place: ``ends`` is where each bucket's
-    postings end."""
+    postings end. Counts have the smallest type that holds them."""
     if not len(pairs):
         return
     pairs.sort()
@@ -67,13 +69,19 @@ def _inverted(pairs: np.ndarray, buckets: int, slots: int, batch_docs: int) -> I
         a, b = np.searchsorted(slot, [s, s + 1])
         low, high = first[a], last[b - 1]
         totals = np.add.reduceat(counts[low:high], first[a:b] - low, dtype=np.int64)
-        yield int(s), own[a:b], totals, last[a:b] - low, doc[low:high], counts[low:high]
+        yield int(s), own[a:b], totals, last[a:b] - low, doc[low:high], counts[low:high].astype(np.min_scalar_type(counts[low:high].max()))
+
+
+def _numbers(docs: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a row of postings, 16 bits each, and their counts: as many numbers, so their size tells their type."""
+    held = np.frombuffer(docs.as_buffer(), "<i2")
+    return held, np.frombuffer(counts.as_buffer(), f"<u{counts.as_buffer().size // len(held)}")
 
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, slots: int = SLOTS, batch_docs: int = BATCH_DOCS, batch_features: int = 1 << 20) -> DataFrame:
     """Inverted postings, by batches of documents: for each range of buckets (``slot``) a row with its buckets, how often the batch has
-    each, and (document of the batch, count) of each; and a row of slot -1 with the facts of the batch's documents. Extra
-    columns are ignored; a batch ends with the document that fills it, so a very long text is one of its own.
+    each, and (document of the batch, count) of each, as the bytes of numpy's numbers (see ``_numbers``); and a row of slot -1 with the facts
+    of the batch's documents. Extra columns are ignored; a batch ends with the document that fills it, so a very long text is one of its own.
     """
     if not 1 <= batch_docs <= 1 << 15:
         raise ValueError("a batch has 1 to 32,768 documents")
@@ -84,7 +92,8 @@ def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         rows = [(batch, -1, ids, sizes, words, None, None, None, None, None)]
         pairs = np.concatenate(found)
         found.clear()
-        rows += [(batch, s, None, None, None, *lists) for s, *lists in _inverted(pairs, buckets, slots, batch_docs)]
+        for s, own, totals, ends, docs, counts in _inverted(pairs, buckets, slots, batch_docs):
+            rows.append((batch, s, None, None, None, own, totals, ends, docs.astype("<i2").tobytes(), counts.tobytes()))
         del pairs
         return _batch(list(zip(*rows, strict=True)), POSTINGS)
 
@@ -136,7 +145,7 @@ def weighted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     over its documents. Those shares meet once more by batch. What moves is the postings and ``slots`` numbers for
     each document; a task sorts some ROWS_A_TASK rows of postings, however many there are, and shares out one at a time.
     """
-    inverted = staged(postings(docs, id_col=id_col, text_col=text_col, run=run, buckets=buckets, slots=slots, batch_docs=batch_docs), "postings")
+    inverted = staged(postings(docs, id_col=id_col, text_col=text_col, run=run, buckets=buckets, slots=slots, batch_docs=batch_docs), "postings", {"parquet.block.size": GROUP_BYTES})
     aimed = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{target_text_col}`").alias("text"))
     s = bucket_totals(inverted, "s").withColumn("t", F.lit(0).cast("long"))
     t = bucket_totals(postings(aimed, run=run, buckets=buckets, slots=slots), "t").withColumn("s", F.lit(0).cast("long"))
@@ -159,10 +168,11 @@ def weighted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
                     for x in own:
                         gains[x["bucket"]] = gain(x["s"], x["t"], source, aim, buckets)
                     continue
-                lists = [batch.column(c)[k].values.to_numpy() for c in ("buckets", "ends", "docs", "counts")]
-                each = np.repeat(gains[lists[0]], np.diff(lists[1], prepend=0))
+                found, ends = (batch.column(c)[k].values.to_numpy() for c in ("buckets", "ends"))
+                held, counts = _numbers(batch.column("docs")[k], batch.column("counts")[k])
+                each = np.repeat(gains[found], np.diff(ends, prepend=0))
                 # whole numbers below 2^53: their sums are exact
-                out.append((batch.column("batch")[k].as_py(), 1, np.bincount(lists[2], each * lists[3]).astype(np.int64)))
+                out.append((batch.column("batch")[k].as_py(), 1, np.bincount(held, each * counts).astype(np.int64)))
             if out:
                 yield _batch(list(zip(*out, strict=True)), SHARES)
 

@@ -29,11 +29,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later passes reread files, and a lost executor costs no more than a task."""
+def staged(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, with the writer's ``options``, and reads it back: later passes reread files, and a lost executor
+    costs no more than a task."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
