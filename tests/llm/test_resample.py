@@ -107,3 +107,10 @@ def test_stored_postings_are_read_in_small_parts(spark, monkeypatch):
     assert dict(kept[0].dtypes)["docs"] == dict(kept[0].dtypes)["counts"] == "binary"
     most = kept[0].where("slot >= 0").selectExpr("max(length(counts) / (length(docs) / 2))").first()[0]
     assert most == 4  # of the text with 70,000 equal words
+
+
+def test_sums_are_dealt_by_the_number_of_batches(spark):
+    """Batches meet with their shares in tasks that AQE does not merge, whatever it thinks a task can hold."""
+    docs = spark.createDataFrame([(i, f"word{i} and other words of text {i % 7}") for i in range(600)], "doc_id long, text string").coalesce(1)
+    plan = resample.weighted(docs, docs.limit(5), batch_docs=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [batch" in plan and ", 10" in plan.partition("RepartitionByExpression [batch")[2].split("\n")[0]

@@ -24,6 +24,8 @@ BATCH_DOCS, SLOTS = 4096, 32
 BATCHES_A_KEY = 16
 #: So many rows of postings, of one batch and one range each, are a task's share at the mean.
 ROWS_A_TASK = 64
+#: Batches whose documents, and shares of their sums, are a task's at the mean.
+BATCHES_A_TASK = 16
 #: Postings are stored in row groups of about so many bytes: readers decode a few thousand rows, or a whole group, at a time.
 GROUP_BYTES = 8 << 20
 #: What belongs to words: ASCII letters (lower-cased) and digits, and all bytes of other characters.
@@ -143,7 +145,8 @@ def weighted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     as a range holds postings of all documents. With each part come both corpora's totals of its buckets (counted with
     map-side partials, a row for each bucket); its task makes the gains from them and emits, for each batch, the sums of gains
     over its documents. Those shares meet once more by batch. What moves is the postings and ``slots`` numbers for
-    each document; a task sorts some ROWS_A_TASK rows of postings, however many there are, and shares out one at a time.
+    each document; a task sorts some ROWS_A_TASK rows of postings, however many there are, and shares out one at a time, and
+    sums up some BATCHES_A_TASK batches.
     """
     inverted = staged(postings(docs, id_col=id_col, text_col=text_col, run=run, buckets=buckets, slots=slots, batch_docs=batch_docs), "postings", {"parquet.block.size": GROUP_BYTES})
     aimed = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{target_text_col}`").alias("text"))
@@ -193,7 +196,7 @@ def weighted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
 
     facts = inverted.where("slot = -1").select("batch", F.lit(0).alias("kind"), "doc_ids", "n_features", "n_words")
     shares = dealt.mapInArrow(share, SHARES)
-    met = facts.unionByName(shares, allowMissingColumns=True).repartition("batch").sortWithinPartitions("batch", "kind")
+    met = facts.unionByName(shares, allowMissingColumns=True).repartition(-(-made // BATCHES_A_TASK), "batch").sortWithinPartitions("batch", "kind")
     return met.mapInArrow(reduced, SCORED)
 
 
